@@ -1,0 +1,18 @@
+"""Registry of the core queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+FLAGSHIP = "voxel_downsample"
+
+
+def voxel_downsample(spark, sf_dir):
+    """Points of `embeddings` (first three components) averaged in voxels of 0.1."""
+    p = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(*[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")])
+    keys = [F.floor(F.col(c) / 0.1).alias(f"v{c}") for c in "xyz"]
+    return p.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in "xyz"])
+
+
+QUERIES = {"voxel_downsample": voxel_downsample}
+ORACLE_SQL: dict[str, str] = {}
