@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, sharding, tokens, topk
+from . import jaccard, language, mixing, sharding, substrings, tokens, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,16 @@ def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard.similar_groups(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +55,8 @@ QUERIES: dict[str, Query] = {
     "op1_bit_sliced_top_k": op1_bit_sliced_top_k,
     "op2_source_mix": op2_source_mix,
     "op5_byte_shards": op5_byte_shards,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
 }
@@ -117,4 +129,33 @@ ORACLE_SQL: dict[str, str] = {
                CAST(quota // blocks * size + greatest(0, least(stop, quota % blocks * 16) - (stop - size)) AS BIGINT) AS taken
         FROM o
     """,
+    "op7_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+        r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS o FROM p),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM r WHERE o > 1),
+        t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+        k AS (
+            SELECT t.doc_id, count(c.j) AS n_removed, coalesce(string_agg(CASE WHEN c.j IS NULL THEN word END, ' ' ORDER BY t.j), '') AS kept
+            FROM t LEFT JOIN c ON t.doc_id = c.doc_id AND t.j = c.j GROUP BY t.doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)
+    """,
+    "op6_ngram_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                   ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g
+            FROM d),
+        x AS (SELECT doc_id, unnest(g) AS t FROM s),
+        n AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        e AS (
+            SELECT a, b FROM n JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b
+            WHERE 100 * k >= 85 * (len(p.g) + len(q.g) - k)),
+        r AS (SELECT doc_id AS v, doc_id AS u FROM s UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.u),
+        c AS (SELECT v, min(u) AS component_id FROM r GROUP BY v)
+        SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM s JOIN c ON c.v = doc_id
+    """,
 }
