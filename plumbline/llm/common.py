@@ -110,3 +110,8 @@ def slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, pa.Arr
         hi = max(lo + 1, int(np.searchsorted(total, before + most, "right")))
         yield lo, texts.slice(lo, hi - lo)
         lo = hi
+
+
+def small(df: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `most` rows (of a few numbers each); as it is beyond, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

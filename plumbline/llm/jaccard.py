@@ -9,13 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices
+from .common import saved, slices, small
 from .graph import components
 from .words import Words, mix
 
 _CELL_BITS, _SLICE_BITS = 20, 14
-#: Candidates' ids are broadcast up to this number, and joined by a shuffle beyond it.
-MOST_BROADCAST = 2_000_000
 
 
 def token_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,9 +180,7 @@ def similar_groups(
 
 def _whole_sets(rows: DataFrame, wanted: DataFrame, weights: np.ndarray, shingle: int, percent: int) -> DataFrame:
     """(node, n, tokens, second, third) of the wanted documents: whole sets, and prefixes under two more orders (as 32-bit numbers)."""
-    ids = wanted.select("doc_id")
-    if ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        ids = F.broadcast(ids)
+    ids = small(wanted.select("doc_id"))
     picked = rows.join(ids, "doc_id", "left_semi").select("text")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,3 +210,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     whole = some.join(side("x", "tokens"), "x").join(side("y", "tokens"), "y")
     both = F.size(F.array_intersect("x_tokens", "y_tokens"))
     return whole.where(both * 100 >= (F.col("x_n") + F.col("y_n") - both) * percent).select("x", "y")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of `docs`, all columns as they are, without near duplicates: the smallest id of each component stays.
+
+    Rows that repeat an id are one document, of which any one row stays; rows with a null id stay.
+    """
+    groups = saved(similar_groups(docs, id_col=id_col, **options), "jaccard-groups").select(F.col(id_col).alias("_id"), "component_id")
+    groups = groups.where("_id is not null").groupBy("_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    gone, repeated = groups.where("least <> _id").select("_id"), groups.where("n > 1").select("_id")
+    kept = docs.join(small(gone), docs[id_col] == gone["_id"], "left_anti")
+    if repeated.limit(1).count():
+        some = small(repeated)
+        apart = kept.join(some, kept[id_col] == some["_id"], "left_semi").dropDuplicates([id_col])
+        kept = kept.join(some, kept[id_col] == some["_id"], "left_anti").unionByName(apart)
+    return kept

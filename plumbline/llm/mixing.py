@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -93,7 +93,7 @@ def mix_sources(
     plan = plan.withColumnsRenamed({"source": "p_source"})
     place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = (
-        rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p_source")))
+        rows.join(small(plan), F.col("source").eqNullSafe(F.col("p_source")))
         .withColumn("place_in", place)
         .withColumn("shard", F.conv(F.substring("place_in", 1, 8), 16, 10).cast("long") % F.col("n_shards"))
     )
@@ -122,5 +122,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     copies = F.greatest(F.lit(1), F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
     # repeated ids: one decision for each id, by the sum of what its rows take
     taken = taken.groupBy(F.col(id_col).alias("_id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).where("taken > 0").select("_id", copies.alias("_copies"))
+    taken = small(taken)
     kept = docs.join(taken, docs[id_col].eqNullSafe(taken["_id"]))
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, mixing, sharding, substrings, tokens, topk
+from . import jaccard, language, mixing, quality, sharding, substrings, templates, tokens, topk, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,18 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: The rules that op3 judges by.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "p_block")
+
+
+def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=16)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -51,14 +63,22 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, profiles).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return templates.judged(docs, templates.find_leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bit_sliced_top_k": op1_bit_sliced_top_k,
     "op2_source_mix": op2_source_mix,
+    "op3_url_filter": op3_url_filter,
+    "op4_kneser_ney_quality": op4_kneser_ney_quality,
     "op5_byte_shards": op5_byte_shards,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
+    "op10_template_decontamination": op10_template_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
