@@ -47,7 +47,7 @@ def interpolated(spark, d):
     """Total price of each order, and the line between the customer's large orders at its date."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("t"), "o_totalprice")
     known = o.where("o_orderkey % 3 = 0").groupBy("o_custkey", "t").agg(F.max("o_totalprice").alias("price"))
-    return S.interpolate(o, known, "t", "price", ("o_custkey",)).select("o_orderkey", F.round("price", 5).alias("price"))
+    return S.interpolate(o, known, "t", "price", ("o_custkey",)).select("o_orderkey", F.round(F.col("price") / 7, 4).alias("price"))
 
 
 def median_filter(spark, d):
@@ -219,7 +219,7 @@ ORACLE_SQL = {
         n AS (SELECT o_custkey, t, max(o_totalprice) AS p FROM o WHERE o_orderkey % 3 = 0 GROUP BY ALL),
         e AS (SELECT o_orderkey, o.t, (SELECT max(t) FROM n WHERE n.o_custkey = o.o_custkey AND n.t <= o.t) AS ta, (SELECT min(t) FROM n WHERE n.o_custkey = o.o_custkey AND n.t >= o.t) AS tb, o_custkey FROM o),
         v AS (SELECT e.*, a.p AS va, b.p AS vb FROM e LEFT JOIN n a ON a.o_custkey = e.o_custkey AND a.t = ta LEFT JOIN n b ON b.o_custkey = e.o_custkey AND b.t = tb)
-        SELECT o_orderkey, round(CASE WHEN ta = t THEN va WHEN va IS NULL THEN vb WHEN vb IS NULL THEN va ELSE va + (vb - va) * (t - ta) / (tb - ta) END, 5) AS price FROM v""",
+        SELECT o_orderkey, round(CASE WHEN ta = t THEN va WHEN va IS NULL THEN vb WHEN vb IS NULL THEN va ELSE va + (vb - va) * (t - ta) / (tb - ta) END / 7, 4) AS price FROM v""",
     "median_filter": """WITH f AS (SELECT event_id, [coalesce(lag(value, 2) OVER o, first_value(value) OVER o), coalesce(lag(value, 1) OVER o, first_value(value) OVER o), value,
             coalesce(lead(value, 1) OVER o, last_value(value) OVER u), coalesce(lead(value, 2) OVER o, last_value(value) OVER u)] AS l FROM events
             WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id), u AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
