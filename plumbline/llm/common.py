@@ -42,6 +42,14 @@ def chunk_count(docs: DataFrame, text: str, chunk_mb: float) -> int:
     return max(1, round(total / (chunk_mb * 1e6)))
 
 
+def runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values; none for an empty array."""
+    if not len(values):
+        return []
+    cuts = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]]).tolist()
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
 def in_chunks(docs: DataFrame, id_col: str, text: str, chunks: int) -> DataFrame:
     """Rows (chunk, ids, texts): the documents whose id hashes to a chunk, compressed (zstd).
 
@@ -59,9 +67,8 @@ def in_chunks(docs: DataFrame, id_col: str, text: str, chunks: int) -> DataFrame
             ids = whole.column("id").combine_chunks()
             key = mix(np.asarray(ids.fill_null(0)).astype(np.uint64) + np.uint64(77)) % np.uint64(chunks)
             order = np.argsort(key, kind="stable")
-            cuts = np.flatnonzero(np.diff(key[order], prepend=-1 if not len(key) else int(key[order[0]]) - 1))
             out = []
-            for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            for lo, hi in runs(key[order]):
                 part = whole.take(pa.array(order[lo:hi])).combine_chunks()
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
@@ -115,3 +122,11 @@ def slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, pa.Arr
 def small(df: DataFrame, most: int = 2_000_000) -> DataFrame:
     """`df` with a broadcast hint if it has at most `most` rows (of a few numbers each); as it is beyond, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a saved() table that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

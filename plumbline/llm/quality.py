@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_chunks, saved, slices, small, unpacked
+from .common import in_chunks, runs, saved, slices, small, unpacked
 from .substrings import _SENT, _sent
 from .words import mix, text_buffer
 
@@ -131,8 +131,7 @@ def perplexities(docs: DataFrame, model, *, id_col: str = "doc_id", text_col: st
         grams = distinct(unpacked(rows.column("packed")))
         shard = shard_of(grams)
         order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
-        return _sent([(int(shard[order[lo]]), key[0].as_py(), grams[order[lo:hi]].tobytes()) for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True)])
+        return _sent([(int(shard[order[lo]]), key[0].as_py(), grams[order[lo:hi]].tobytes()) for lo, hi in runs(shard[order])])
 
     asked = texts.groupBy("chunk").applyInArrow(ask, _SENT)
 

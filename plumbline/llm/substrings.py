@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_chunks, slices, unpacked
+from .common import in_chunks, runs, slices, unpacked
 from .words import Words, mix
 
 _SENT = "part int, chunk int, data binary"
@@ -68,8 +68,7 @@ class Sketch:
     def pieces(self, cells: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """Parts of ascending cells, with cell numbers inside the part."""
         part = cells >> self.part_bits
-        cuts = np.flatnonzero(np.diff(part, prepend=-1))
-        return [(int(part[lo]), cells[lo:hi] & (1 << self.part_bits) - 1) for lo, hi in zip(cuts, [*cuts[1:], len(cells)], strict=True)]
+        return [(int(part[lo]), cells[lo:hi] & (1 << self.part_bits) - 1) for lo, hi in runs(part)]
 
 
 def remove_repeats(
@@ -132,8 +131,7 @@ def remove_repeats(
         """Estimated repeats (indices of distinct windows) by the part that groups them."""
         picked = np.flatnonzero(often)
         part = (chunk.distinct[picked] >> np.uint64(64 - group_bits)).astype(np.int64) if group_bits else np.zeros(len(picked), np.int64)
-        cuts = np.flatnonzero(np.diff(part, prepend=-1))
-        return [(int(part[lo]), picked[lo:hi]) for lo, hi in zip(cuts, [*cuts[1:], len(picked)], strict=True)]
+        return [(int(part[lo]), picked[lo:hi]) for lo, hi in runs(part)]
 
     def send_windows(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
