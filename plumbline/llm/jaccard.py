@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices, small
+from .common import discard, saved, slices, small
 from .graph import components
 from .words import Words, mix
 
 _CELL_BITS, _SLICE_BITS = 20, 14
+#: Bits of the fixed table (16 MB) that tells prefix tokens which occur once.
+_ONCE_BITS = 27
 
 
 def token_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,13 +45,17 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def prefixes(tokens: np.ndarray, at: np.ndarray, heaviness: np.ndarray, order: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n - ceil(percent n / 100) + 1 tokens of each set under one global order: light tokens before heavy ones, then by a hash of that order."""
+def prefixes(tokens: np.ndarray, at: np.ndarray, heaviness: np.ndarray, order: int, percent: int, share: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The first n - ceil(percent n / 100) + m tokens of each set under one global order: light tokens before heavy ones, then by a hash of that order.
+
+    Two sets that link share at least the smaller m of such tokens: m is 1, or ceil(n / share).
+    """
     rank = (heaviness.astype(np.uint64) << np.uint64(56)) | (mix(tokens ^ np.uint64(0x5851F42D4C957F2D * order % (1 << 64))) >> np.uint64(8))
     out, size = [], []
     for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         n = hi - lo
-        p = n - -(-percent * n // 100) + 1 if n else 0
+        m = 1 if share is None else -(-n // share)
+        p = min(n, n - -(-percent * n // 100) + m) if n else 0
         out.append(tokens[lo:hi][np.argpartition(rank[lo:hi], p - 1)[:p]] if 0 < p < n else tokens[lo:hi][:p])
         size.append(p)
     return np.concatenate([np.zeros(0, np.uint64), *out]), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
@@ -124,26 +130,27 @@ def similar_groups(
                 tokens, at = token_sets(Words(texts, lower=True), shingle)
                 heavy = weights[(tokens >> np.uint64(64 - _CELL_BITS)).astype(np.int64)]
                 chosen, begin = prefixes(tokens, at, heavy, 1, percent)
+                more = [_signature(*prefixes(tokens, at, heavy, order, percent, _SHARE)) for order in (2, 3)]
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(lo, len(texts)), pa.array(np.diff(at)), pa.array(_sums(mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)), at).view(np.int64)),
-                    _lists((chosen & np.uint64((1 << 48) - 1)).astype(np.int64), begin)], names=["doc_id", "n", "node", "prefix"])
+                    _lists((chosen & np.uint64((1 << 48) - 1)).astype(np.int64), begin), *more], names=["doc_id", "n", "node", "prefix", "second", "third"])
 
-    described = saved(rows.mapInArrow(describe, "doc_id long, n long, node long, prefix array<long>"), "jaccard-sets")
-    classes = described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    described = saved(rows.mapInArrow(describe, "doc_id long, n long, node long, prefix array<long>, second binary, third binary"), "jaccard-sets")
+    classes = _without_singles(described.where("n > 0").select("node", "doc_id", "n", "prefix")).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
     index = classes.select("node", "n", F.explode("prefix").alias("token"))
-    shared = index.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("members")).where("lo < hi")
-    shared = shared.groupBy("lo", "hi", "m", "members").agg(F.min("token").alias("token"))
-    live = saved(index.join(shared.select("token", "lo", "hi"), "token").select("token", "node", "n", "lo", "hi"), "jaccard-buckets")
-
-    wanted = described.where("n > 0 and doc_id is not null").select("doc_id", "node").join(live.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = saved(_whole_sets(rows, saved(wanted, "jaccard-wanted"), weights, shingle, percent), "jaccard-whole")
+    shared = index.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    full = saved(index.join(shared, "token").select("token", "node", "n", "lo", "hi"), "jaccard-shared")
+    alike = full.groupBy("token", "lo", "hi").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("members")).groupBy("lo", "hi", "m", "members").agg(F.min("token").alias("token"))
+    live = saved(full.join(alike.select("token"), "token", "left_semi"), "jaccard-buckets")
+    discard(full)
+    firsts = described.where("n > 0").select("node", "doc_id", "n", "second", "third")
 
     pivots = live.select("node", F.explode(F.array("lo", "hi")).alias("pivot")).where("node <> pivot")
     pairs = pivots.select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")).distinct()
     links = tried = None
     for turn in range(rounds):
         pairs = saved(pairs, "jaccard-pairs")
-        found = saved(_verified(pairs, sets, percent), "jaccard-links")
+        found = _verified(rows, pairs, firsts, shingle, percent)
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         joined = components(links)
@@ -178,38 +185,141 @@ def similar_groups(
     return some.unionByName(none).withColumnRenamed("doc_id", id_col)
 
 
-def _whole_sets(rows: DataFrame, wanted: DataFrame, weights: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """(node, n, tokens, second, third) of the wanted documents: whole sets, and prefixes under two more orders (as 32-bit numbers)."""
-    ids = small(wanted.select("doc_id"))
-    picked = rows.join(ids, "doc_id", "left_semi").select("text")
+#: A share of 8: linked sets have an eighth of the smaller set's tokens in common among the first tokens of the second and the third order.
+_SHARE = 8
+
+
+def _signature(chosen: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """Each set's tokens as 16-bit numbers, in order; tokens that fall together stay, so that a match can be counted too often and never too rarely."""
+    short = (mix(chosen) >> np.uint64(48)).astype(np.uint16)
+    return pa.array([np.sort(short[lo:hi]).tobytes() for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary())
+
+
+def _matches(a: bytes, b: bytes) -> int:
+    """Size of the multiset intersection, with the larger count where numbers repeat: at least the number of common tokens."""
+    x, y = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
+    return max(int(np.isin(x, y).sum()), int(np.isin(y, x).sum()))
+
+
+def _without_singles(described: DataFrame) -> DataFrame:
+    """`described` with the prefix tokens that occur once in the corpus left out.
+
+    A table of 2**27 cells notes what was seen once and what twice; tasks send the cells they
+    touched in slices, compressed, which are merged to the cells touched twice. A shared cell only
+    keeps a token too many, and a corpus that fills the table keeps all of them.
+    """
+    per, count = 1 << 21, 1 << _ONCE_BITS - 21
+    schema = "slice int, salt int, cells binary, last boolean"
+
+    def cells_of(values: np.ndarray) -> np.ndarray:
+        return (mix(values.astype(np.uint64)) >> np.uint64(64 - _ONCE_BITS)).astype(np.int64)
+
+    def touch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((count, per), np.uint8)
+        flat, any_ = seen.reshape(-1), False
+        for batch in batches:
+            cells, n = np.unique(cells_of(np.asarray(batch.column("prefix").flatten())), return_counts=True)
+            flat[cells] = np.minimum(flat[cells] + np.minimum(n, 2), 2)
+            any_ |= len(cells) > 0
+        if any_:
+            zstd = pa.Codec("zstd")
+            for i in range(count):
+                packed = zstd.compress(np.packbits(np.stack([seen[i] > 0, seen[i] > 1])).tobytes(), asbytes=True)
+                yield pa.RecordBatch.from_pylist([{"slice": i, "salt": len(packed) % 64, "cells": packed, "last": False}], schema=_TOUCHED)
+
+    def merge(key: tuple, rows: pa.Table) -> pa.Table:
+        zstd = pa.Codec("zstd")
+        total = np.zeros((2, per // 8), np.uint8)
+        for x in rows.column("cells"):
+            own = np.frombuffer(zstd.decompress(x.as_py(), per // 4, asbytes=True), np.uint8).reshape(2, -1)
+            total[1] |= own[1] | (total[0] & own[0])
+            total[0] |= own[0]
+        return pa.Table.from_pylist([{"slice": rows.column("slice")[0].as_py(), "salt": 0, "cells": zstd.compress(total.tobytes(), asbytes=True), "last": True}], schema=_TOUCHED)
+
+    touched = described.select("prefix").mapInArrow(touch, schema)
+    merged = touched.groupBy("slice", "salt").applyInArrow(merge, schema).groupBy("slice").applyInArrow(merge, schema).select("slice", "cells")
+    twice = np.zeros((count, per // 8), np.uint8)
+    zstd = pa.Codec("zstd")
+    for i, packed in merged.collect():  # 2**27 bits in all, whatever the input
+        twice[i] = np.frombuffer(zstd.decompress(bytes(packed), per // 4, asbytes=True), np.uint8).reshape(2, -1)[1]
+    table = described.sparkSession.sparkContext.broadcast(twice.reshape(-1))
+
+    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = table.value
+        for batch in batches:
+            lists = batch.column("prefix")
+            values, sizes = np.asarray(lists.flatten()), np.asarray(lists.value_lengths())
+            cells = cells_of(values)
+            keep = (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
+            ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(sizes)])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "doc_id", "n")), _lists(values[keep], ends)], names=["node", "doc_id", "n", "prefix"])
+
+    return described.mapInArrow(trim, described.schema)
+
+
+_TOUCHED = pa.schema([("slice", pa.int32()), ("salt", pa.int32()), ("cells", pa.binary()), ("last", pa.bool_())])
+
+
+def _whole_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, n, tokens) of the wanted classes (node, doc_id): whole sets, ascending. A repeated id may give a class twice."""
+    picked = rows.join(small(wanted.select("doc_id")), "doc_id", "left_semi").select("text")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in slices(batch.column("text")):
                 tokens, at = token_sets(Words(texts, lower=True), shingle)
-                heavy = weights[(tokens >> np.uint64(64 - _CELL_BITS)).astype(np.int64)]
-                more = []
-                for order in (2, 3):
-                    chosen, begin = prefixes(tokens, at, heavy, order, percent)
-                    more.append(_lists((chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), begin))
                 node = _sums(mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)), at).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.diff(at)), _lists(tokens.view(np.int64), at), *more], names=["node", "n", "tokens", "second", "third"])
+                raw = [tokens[lo:hi].tobytes() for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.diff(at)), pa.array(raw, pa.binary())], names=["node", "n", "tokens"])
 
-    found = picked.mapInArrow(whole, "node long, n long, tokens array<long>, second array<int>, third array<int>")
-    return found.where("n > 0").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return picked.mapInArrow(whole, "node long, n long, tokens binary").where("n > 0")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) that link: close in size, sharing a token under the second and the third order, and then by exact intersection."""
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+def _verified(rows: DataFrame, pairs: DataFrame, firsts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (x, y) that link: close in size, with enough common tokens among the first of the second and of the third order, then by exact intersection.
 
-    some = pairs.join(side("x", "n", "second", "third"), "x").join(side("y", "n", "second", "third"), "y")
-    close = (F.col("x_n") * 100 >= F.col("y_n") * percent) & (F.col("y_n") * 100 >= F.col("x_n") * percent)
-    some = some.where(close & F.arrays_overlap("x_second", "y_second") & F.arrays_overlap("x_third", "y_third")).select("x", "y", "x_n", "y_n")
-    whole = some.join(side("x", "tokens"), "x").join(side("y", "tokens"), "y")
-    both = F.size(F.array_intersect("x_tokens", "y_tokens"))
-    return whole.where(both * 100 >= (F.col("x_n") + F.col("y_n") - both) * percent).select("x", "y")
+    Whole sets are made, and moved, only for classes in pairs that pass the filters.
+    """
+    inside = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    known = firsts.join(inside, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("second").alias("second"), F.any_value("third").alias("third"))
+    known = saved(known, "jaccard-first")
+
+    def side(df: DataFrame, name: str, *columns: str) -> DataFrame:
+        return df.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+
+    def close(x: str, y: str):
+        return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
+
+    sized = pairs.join(side(known, "x", "n"), "x").join(side(known, "y", "n"), "y").where(close("x_n", "y_n")).select("x", "y", "x_n", "y_n")
+    some = sized.join(side(known, "x", "second", "third"), "x").join(side(known, "y", "second", "third"), "y")
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = {k: batch.column(k).to_pylist() for k in batch.schema.names}
+            keep = []
+            for i in range(batch.num_rows):
+                least = -(-min(c["x_n"][i], c["y_n"][i]) // _SHARE)
+                keep.append(all(_matches(c[f"x_{k}"][i], c[f"y_{k}"][i]) >= least for k in ("second", "third")))
+            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    likely = saved(some.mapInArrow(may, "x long, y long"), "jaccard-likely")
+    wanted = known.select("node", "doc_id").join(likely.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "node", "left_semi")
+    sets = saved(_whole_sets(rows, wanted, shingle), "jaccard-whole")
+    whole = likely.join(side(sets, "x", "tokens"), "x").join(side(sets, "y", "tokens"), "y")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("x_tokens"), batch.column("y_tokens"), strict=True):
+                x, y = (np.frombuffer(t.as_py(), np.uint64) for t in (a, b))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    found = saved(whole.mapInArrow(verify, "x long, y long").distinct(), "jaccard-links")
+    discard(sets)
+    discard(known)
+    return found
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:

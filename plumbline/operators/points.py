@@ -32,8 +32,8 @@ def backproject(pixels: DataFrame, *, frame: str = "frame", u: str = "u", v: str
     grouping by the pixel they border on, which is one shuffle however large a frame is.
     """
     good = pixels.where(F.col(valid))
-    point = F.struct(
-        ((F.col(u) - F.col("cx")) / F.col("fx") * F.col(depth)).alias("x"), ((F.col(v) - F.col("cy")) / F.col("fy") * F.col(depth)).alias("y"), F.col(depth).cast("double").alias("z"))
+    point = F.named_struct(
+        F.lit("x"), (F.col(u) - F.col("cx")) / F.col("fx") * F.col(depth), F.lit("y"), (F.col(v) - F.col("cy")) / F.col("fy") * F.col(depth), F.lit("z"), F.col(depth).cast("double"))
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(du).alias("du"), F.lit(dv).alias("dv")) for i, (du, dv) in enumerate([(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)])])
     spread = good.select(frame, u, v, point.alias("p"), F.explode(steps).alias("s"))
     spread = spread.groupBy(frame, (F.col(u) + F.col("s.du")).alias("u"), (F.col(v) + F.col("s.dv")).alias("v")).agg(

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import ordered, points, rules
+from . import ordered, points, rules, streams
 
 FLAGSHIP = "lowest_level"
-QUERIES = points.QUERIES | ordered.QUERIES | rules.QUERIES
-ORACLE_SQL = points.ORACLE_SQL | ordered.ORACLE_SQL | rules.ORACLE_SQL
+QUERIES = points.QUERIES | ordered.QUERIES | rules.QUERIES | streams.QUERIES
+ORACLE_SQL = points.ORACLE_SQL | ordered.ORACLE_SQL | rules.ORACLE_SQL | streams.ORACLE_SQL
