@@ -37,17 +37,16 @@ def next_stop(ends: DataFrame, stops: DataFrame, at: str, stop: str, keys: tuple
     rows = ends.withColumn("_p", F.col(at) + beyond).withColumn("_s", F.lit(None).cast("double"))
     marks = stops.select(*keys, F.col(stop).alias("_p"), F.col(stop).cast("double").alias("_s")).withColumn("_mark", F.lit(1))
     both = rows.withColumn("_mark", F.lit(0)).unionByName(marks, allowMissingColumns=True)
-    ahead = Window.partitionBy(*keys).orderBy(F.col("_p"), F.desc("_mark")).rowsBetween(1, Window.unboundedFollowing)
-    return both.withColumn("next", F.first("_s", ignorenulls=True).over(ahead)).where("_mark = 0").drop("_p", "_s", "_mark")
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("_p"), "_mark").rowsBetween(Window.unboundedPreceding, -1)  # backwards: a growing frame costs one step a row
+    return both.withColumn("next", F.last("_s", ignorenulls=True).over(ahead)).where("_mark = 0").drop("_p", "_s", "_mark")
 
 
 def nearest_anchor(rows: DataFrame, anchors: DataFrame, at: str, anchor: str, keys: tuple[str, ...], reach: float) -> DataFrame:
     """Adds `anchor` and signed `offset`: the nearest anchor closer than `reach`; of two equally near ones the upper."""
     marks = anchors.select(*keys, F.col(anchor).cast("double").alias("_p")).withColumn("_m", F.col("_p"))
     both = rows.withColumn("_p", F.col(at).cast("double")).withColumn("_m", F.lit(None).cast("double")).withColumn("_row", F.lit(1)).unionByName(marks.withColumn("_row", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_p", "_row")
-    below = F.last("_m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    above = F.first("_m", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    forth, back = Window.partitionBy(*keys).orderBy("_p", "_row"), Window.partitionBy(*keys).orderBy(F.desc("_p"), F.desc("_row"))  # growing frames both ways
+    below, above = (F.last("_m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for w in (forth, back))
     found = both.withColumn("_below", below).withColumn("_above", above).where("_row = 1")
     lower = F.col("_above").isNull() | ((F.col("_p") - F.col("_below")) < (F.col("_above") - F.col("_p")))
     found = found.withColumn("anchor", F.when(F.col("_below").isNotNull() & lower, F.col("_below")).otherwise(F.col("_above")))

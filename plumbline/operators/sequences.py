@@ -87,9 +87,9 @@ def interpolate(samples: DataFrame, known: DataFrame, at: str, value: str, keys:
     both = samples.withColumn("_v", F.lit(None).cast("double")).withColumn("_s", F.lit(1)).unionByName(
         known.select(*keys, at, F.col(value).alias("_v")).withColumn("_s", F.lit(0)), allowMissingColumns=True)
     back = Window.partitionBy(*keys).orderBy(at, "_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy(*keys).orderBy(at, "_s").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc(at), F.desc("_s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     knot = F.when(F.col("_v").isNotNull(), F.struct(F.col(at).alias("t"), F.col("_v").alias("v")))
-    rows = both.withColumn("_a", F.last(knot, ignorenulls=True).over(back)).withColumn("_b", F.first(knot, ignorenulls=True).over(ahead)).where("_s = 1")
+    rows = both.withColumn("_a", F.last(knot, ignorenulls=True).over(back)).withColumn("_b", F.last(knot, ignorenulls=True).over(ahead)).where("_s = 1")
     line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col(at) - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t"))
     exact = F.when(F.col("_a.t") == F.col(at), F.col("_a.v"))
     return rows.withColumn(value, F.coalesce(exact, line, F.col("_a.v"), F.col("_b.v"))).drop("_v", "_s", "_a", "_b")

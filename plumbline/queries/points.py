@@ -100,7 +100,8 @@ def mad_sigma(spark, d):
 
 def percentiles(spark, d):
     shares = {"p0_1": 0.001, "p3": 0.03, "p5": 0.05, "p90": 0.9, "p95": 0.95, "p98": 0.98, "p99_9": 0.999}
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(*[F.round(F.percentile("l_extendedprice", q), 4).alias(k) for k, q in shares.items()])
+    found = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", list(shares.values())).alias("p"))
+    return found.select("l_returnflag", *[F.round(F.col("p")[i], 4).alias(k) for i, k in enumerate(shares)])
 
 
 def coverage_bins(spark, d):
