@@ -27,8 +27,8 @@ def overlap_join(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple
 
 def not_covered(gaps: DataFrame, solid: DataFrame, gap: tuple[str, str], seg: tuple[str, str], ident: list[str], width: float, keys: tuple[str, ...] = (), slack: float = 0.05) -> DataFrame:
     """Gaps that no solid interval enters by more than `slack`: an anti-join on the identity of gaps that one enters."""
-    inner = gaps.withColumn("_a", F.col(gap[0]) + slack).withColumn("_b", F.col(gap[1]) - slack).where("_b > _a")
-    hit = overlap_join(inner.select(*keys, *[c for c in ident if c not in keys], "_a", "_b"), solid, ("_a", "_b"), seg, width, keys).select(*ident).distinct()
+    inner = gaps.withColumn("_in", F.col(gap[0]) + slack).withColumn("_out", F.col(gap[1]) - slack).where("_out > _in")
+    hit = overlap_join(inner.select(*keys, *[c for c in ident if c not in keys], "_in", "_out"), solid, ("_in", "_out"), seg, width, keys).select(*ident).distinct()
     return gaps.join(hit, ident, "left_anti")
 
 
