@@ -105,14 +105,14 @@ def learn_profiles(docs: DataFrame, *, text_col: str = "text", lang_col: str = "
             return owner[first], code[first], np.add.reduceat(n, first)
 
         for batch in batches:
-            for at, texts in slices(batch.column("text")):
+            for at, texts in slices(batch.column("text"), 1_000_000):
                 langs = batch.column("lang").slice(at, len(texts)).to_pylist()
                 index = np.array([names.setdefault(x, len(names)) for x in langs])
                 owner, code, _ = grams(texts.to_pylist())
                 if len(code):
                     held.append(counted(index[owner], code))
                     size_held += len(held[-1][0])
-            if size_held > 2_000_000:
+            if size_held > 1_000_000:
                 held = [merged()]
                 size_held = len(held[0][0])
         if held:
@@ -138,7 +138,7 @@ def identify(docs: DataFrame, profiles: DataFrame, *, id_col: str = "doc_id", te
     to all tasks. Repeated rows and null ids pass through; an empty table gives an empty result.
     """
     rows = docs.select(F.struct(F.col(id_col).alias("doc_id")).alias("row"), F.col(text_col).alias("text"))
-    return _judged(rows, profiles, size).select(F.col("row.doc_id").alias(id_col), "lang_pred", "score")
+    return _judged(rows, profiles, size, None).select(F.col("row.doc_id").alias(id_col), "lang_pred", "score")
 
 
 def accepted(docs: DataFrame, profiles: DataFrame, *, text_col: str = "text", size: int = 300, least: float = 0.1) -> DataFrame:
@@ -146,12 +146,12 @@ def accepted(docs: DataFrame, profiles: DataFrame, *, text_col: str = "text", si
 
     Whole rows pass through the tasks that judge them, so nothing is shuffled. The rest as in identify.
     """
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
-    return _judged(rows, profiles, size).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return _judged(rows, profiles, size, docs.columns.index(text_col)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")
 
 
-def _judged(rows: DataFrame, profiles: DataFrame, size: int) -> DataFrame:
-    """(row, lang_pred, score) of (row, text)."""
+def _judged(rows: DataFrame, profiles: DataFrame, size: int, place: int | None) -> DataFrame:
+    """(row, lang_pred, score) of (row, text), or of rows that hold the text as their field number `place`."""
     known: dict[str, list[tuple[int, int]]] = {}
     for lang, rank, gram in profiles.select("lang", "rank", "gram").collect():
         known.setdefault(lang, []).append((gram, rank))
@@ -176,7 +176,8 @@ def _judged(rows: DataFrame, profiles: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in slices(batch.column("text"), 2_000_000):
+            column = batch.column("text") if place is None else batch.column("row").field(place)
+            for at, texts in slices(column, 500_000):
                 pred, score = judge(texts.to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, len(texts)), pa.array(pred, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
 
