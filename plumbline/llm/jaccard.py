@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from .common import discard, saved, slices, small
 from .graph import components
 from .words import Words, mix
 
-_CELL_BITS, _SLICE_BITS = 20, 14
+_CELL_BITS, _SLICE_BITS = 24, 18
 #: Bits of the fixed table (16 MB) that tells prefix tokens which occur once.
 _ONCE_BITS = 27
 
@@ -65,39 +66,48 @@ def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
 
 
-def token_weights(docs: DataFrame, text: str, k: int) -> np.ndarray:
+def token_weights(docs: DataFrame, text: str, k: int) -> Broadcast:
     """Heaviness class (0: as common as most) of each cell of a fixed table of shingle counts over all texts.
 
-    Tasks count into 2**20 cells; the tables are added up slice by slice, in two steps so that no
-    group grows with the square root of the tasks. 4 MB in all, whatever the input. The classes
-    only order the tokens, so collisions cost time and not results.
+    Tasks count into 2**24 cells (up to 65,535) and send slices, compressed; these are added up in
+    two steps, so that no group grows with the number of tasks. 16 MB in all, whatever the input.
+    The classes only order the tokens, so collisions cost time and not results: with more shingles
+    than cells, tokens less common than about twice the mean of a cell are not told apart.
     """
     cells, per = 1 << _CELL_BITS, 1 << _SLICE_BITS
+    form = pa.schema([("slice", pa.int32()), ("salt", pa.int32()), ("n", pa.binary())])
+    schema = "slice int, salt int, n binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
+        total, rows = np.zeros(cells, np.uint16), 0
         for batch in batches:
             for _, texts in slices(batch.column("text")):
-                total += np.bincount((Words(texts, lower=True).windows(k)[1] >> np.uint64(64 - _CELL_BITS)).astype(np.int64), minlength=cells)
-        if total.any():
-            rows = [{"slice": i, "salt": int(total.sum() % 64), "n": np.minimum(total[i * per : (i + 1) * per], 2**31 - 1).astype(np.int32).tobytes()} for i in range(cells // per)]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("slice", pa.int32()), ("salt", pa.int32()), ("n", pa.binary())]))
+                cell, n = np.unique((Words(texts, lower=True).windows(k)[1] >> np.uint64(64 - _CELL_BITS)).astype(np.int64), return_counts=True)
+                total[cell] = np.minimum(total[cell] + n, 65535)
+                rows += len(cell)
+        if rows:
+            zstd = pa.Codec("zstd")
+            for i in range(cells // per):
+                yield pa.RecordBatch.from_pylist([{"slice": i, "salt": rows % 64, "n": zstd.compress(total[i * per : (i + 1) * per].tobytes(), asbytes=True)}], schema=form)
+
+    def unpack(packed: bytes) -> np.ndarray:
+        return np.frombuffer(pa.Codec("zstd").decompress(packed, per * 2, asbytes=True), np.uint16)
 
     def add(key: tuple, rows: pa.Table) -> pa.Table:
         total = np.zeros(per, np.int64)
         for x in rows.column("n"):
-            total += np.frombuffer(x.as_py(), np.int32)
-        return pa.table({"slice": rows.column("slice")[:1], "salt": rows.column("salt")[:1], "n": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+            total += unpack(x.as_py())
+        packed = pa.Codec("zstd").compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), asbytes=True)
+        return pa.Table.from_pylist([{"slice": rows.column("slice")[0].as_py(), "salt": 0, "n": packed}], schema=form)
 
-    schema = "slice int, salt int, n binary"
     counted = docs.select(F.col(text).alias("text")).mapInArrow(count, schema)
     added = counted.groupBy("slice", "salt").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema)
-    total = np.zeros(cells, np.int64)
+    total = np.zeros(cells, np.uint16)
     for row in added.collect():
-        total[row["slice"] * per : (row["slice"] + 1) * per] = np.frombuffer(row["n"], np.int32)
-    over = np.maximum(0, total - 2 * int(total.mean()) - 16)
-    return np.ceil(np.log2(over + 1)).astype(np.uint8)
-
+        total[row["slice"] * per : (row["slice"] + 1) * per] = unpack(bytes(row["n"]))
+    over = np.maximum(0, total.astype(np.int32) - 2 * int(total.mean()) - 2)
+    classes = np.ceil(np.log2(np.arange(65537) + 1)).astype(np.uint8)[over]
+    return docs.sparkSession.sparkContext.broadcast(classes)
 
 
 def similar_groups(
@@ -128,7 +138,7 @@ def similar_groups(
         for batch in batches:
             for lo, texts in slices(batch.column("text")):
                 tokens, at = token_sets(Words(texts, lower=True), shingle)
-                heavy = weights[(tokens >> np.uint64(64 - _CELL_BITS)).astype(np.int64)]
+                heavy = weights.value[(tokens >> np.uint64(64 - _CELL_BITS)).astype(np.int64)]
                 chosen, begin = prefixes(tokens, at, heavy, 1, percent)
                 more = [_signature(*prefixes(tokens, at, heavy, order, percent, _SHARE)) for order in (2, 3)]
                 yield pa.RecordBatch.from_arrays([
