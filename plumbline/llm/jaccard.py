@@ -290,8 +290,8 @@ def _verified(rows: DataFrame, pairs: DataFrame, firsts: DataFrame, shingle: int
 
     Whole sets are made, and moved, only for classes in pairs that pass the filters.
     """
-    inside = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    known = firsts.join(inside, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("second").alias("second"), F.any_value("third").alias("third"))
+    inside = saved(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "jaccard-inside")
+    known = firsts.join(small(inside), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("second").alias("second"), F.any_value("third").alias("third"))
     known = saved(known, "jaccard-first")
 
     def side(df: DataFrame, name: str, *columns: str) -> DataFrame:
