@@ -21,6 +21,8 @@ UNITS = (
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x9D39247E33776D41, 0x2AF7398005AAA5C7, 0x44DB015024623547))
 #: Windows up to this number are sent to all tasks, to drop other windows early; beyond it the join alone finds them.
 MOST_BROADCAST = 2_000_000
+#: Shorter items match by their words only.
+LEAST_TEMPLATE = 4
 
 
 def _unit_hashes() -> np.ndarray:
@@ -68,25 +70,34 @@ class Templates:
         self.token = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, self.value)))
         self.first = np.searchsorted(self.doc, np.arange(len(words.count) + 1))
 
-    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """First token and hash of each window of `length` tokens in one text with at least 5 literal tokens in 8."""
+    def windows(self, length: int, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First token, hash and number of literal tokens of windows of `length` tokens in one text.
+
+        `exact`: of every window, by its words. Otherwise by canonical tokens, of windows with a slot
+        and a literal token: without a slot the words say the same, without a literal any numbers would match.
+        """
         n = len(self.token) - length + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        literal = np.concatenate([[0], np.cumsum(~self.slot)])
-        here = np.flatnonzero((self.doc[:n] == self.doc[length - 1 :]) & ((literal[length:] - literal[:-length]) * 8 >= 5 * length))
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        literals = np.concatenate([[0], np.cumsum(~self.slot)])
+        literals = literals[length:] - literals[:-length]
+        here = self.doc[:n] == self.doc[length - 1 :]
+        if not exact:
+            here &= (literals > 0) & (literals < length)
+        here = np.flatnonzero(here)
         total = np.zeros(n, np.uint64)
-        factors = mix(np.arange(1, length + 1, dtype=np.uint64) + np.uint64(1000 * length)) | np.uint64(1)
+        factors = mix(np.arange(1, length + 1, dtype=np.uint64) + np.uint64(1000 * length + 500 * exact)) | np.uint64(1)
+        token = self.value if exact else self.token
         for k in range(length):
-            total += self.token[k : k + n] * factors[k]
-        return here, mix(total[here])
+            total += token[k : k + n] * factors[k]
+        return here, mix(total[here]), literals[here]
 
 
-_WINDOW = "id long, place int, size int, tokens int, hash long, at array<int>, slots array<long>"
+_WINDOW = "id long, place int, size int, hash long, exact boolean, literals int, at array<int>, slots array<long>, names array<boolean>"
 
 
 def _windows_of(rows: DataFrame, lengths: list[int] | None, window: int, wanted: np.ndarray | None) -> DataFrame:
-    """Windows of (id, text): of the given lengths, or of each text's own (the shorter of `window` and its tokens, at least 4)."""
+    """Windows of (id, text), by words and by canonical tokens: of the given lengths, or of each text's own (the shorter of `window` and its tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,63 +105,99 @@ def _windows_of(rows: DataFrame, lengths: list[int] | None, window: int, wanted:
                 ids = batch.column("id").slice(lo, len(texts))
                 t = Templates(texts)
                 count = np.diff(t.first)
-                for length in lengths or range(4, window + 1):
-                    first, h = t.windows(length)
+                for length, exact in [(x, e) for x in lengths or range(1, window + 1) for e in (True, False) if e or x >= LEAST_TEMPLATE]:
+                    first, h, literals = t.windows(length, exact)
                     keep = np.ones(len(h), bool)
                     if lengths is None:
                         keep &= np.minimum(count, window)[t.doc[first]] == length
                     if wanted is not None and len(wanted):
                         keep &= wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-                    first, h = first[keep], h[keep]
+                    first, h, literals = first[keep], h[keep], literals[keep]
                     if not len(h):
                         continue
-                    spot = [np.flatnonzero(t.slot[i : i + length]) for i in first.tolist()]
+                    spot = [np.flatnonzero(t.slot[i : i + length] & (not exact)) for i in first.tolist()]
                     at = pa.array([x.tolist() for x in spot], pa.list_(pa.int32()))
                     slots = pa.array([t.value[i + x].view(np.int64).tolist() for i, x in zip(first.tolist(), spot, strict=True)], pa.list_(pa.int64()))
+                    names = pa.array([(t.token[i + x] == _NAME).tolist() for i, x in zip(first.tolist(), spot, strict=True)], pa.list_(pa.bool_()))
                     doc = t.doc[first]
                     yield pa.RecordBatch.from_arrays([
-                        ids.take(pa.array(doc)), pa.array((first - t.first[doc]).astype(np.int32)), pa.array(np.full(len(h), length, np.int32)), pa.array(count[doc].astype(np.int32)),
-                        pa.array(h.view(np.int64)), at, slots], names=["id", "place", "size", "tokens", "hash", "at", "slots"])
+                        ids.take(pa.array(doc)), pa.array((first - t.first[doc]).astype(np.int32)), pa.array(np.full(len(h), length, np.int32)), pa.array(h.view(np.int64)),
+                        pa.array(np.full(len(h), exact)), pa.array(literals.astype(np.int32)), at, slots, names], names=["id", "place", "size", "hash", "exact", "literals", "at", "slots", "names"])
 
     return rows.mapInArrow(run, _WINDOW)
 
 
+def _agreeing(filled: dict[int, tuple[int, int, bool]]) -> set[int]:
+    """The slots of one alignment, place to (item's value, document's, whether a name), that are filled one to one; all or none."""
+    pairs = {x[:2] for x in filled.values()}
+    return set(filled) if len({b for b, _ in pairs}) == len({d for _, d in pairs}) == len(pairs) else set()
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows that count in each alignment (id, item_id, shift)."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            same = {w["item_place"] for w in r["hits"] if w["exact"]}
+            rich = {w["item_place"] for w in r["hits"] if w["rich"]}
+            alike = [w for w in r["hits"] if not w["exact"]]
+            filled = {w["item_place"] + k: (b, d, name) for w in alike for k, b, d, name in zip(w["at"], w["item_slots"], w["slots"], w["names"], strict=True)}
+            literal = {w["item_place"] for w in r["hits"] if w["literals"]}
+            whole = len(literal) >= r["needed"] > 0
+            good = _agreeing(filled)
+            fit = {w["item_place"] for w in alike if all(w["item_place"] + k in good for k in w["at"])}
+            places = same | fit if whole or same or fit & rich else set()
+            if whole and places >= literal:
+                places |= set(range(r["windows"]))
+            if places:
+                out.append({"id": r["id"], "item_id": r["item_id"], "places": sorted(places), "rich": sorted(places & rich), "reworded": any(b != d for b, d, _ in filled.values())})
+        yield pa.RecordBatch.from_pylist(out, schema=_JUDGED)
+
+
+_JUDGED = pa.schema([("id", pa.int64()), ("item_id", pa.int64()), ("places", pa.list_(pa.int32())), ("rich", pa.list_(pa.int32())), ("reworded", pa.bool_())])
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     window: int = 8, coverage: float = 0.5, run: int = 6,
 ) -> DataFrame:
     """(id, item_id, matched, windows, coverage, reworded): documents that hold a benchmark item, as it is or re-parameterised.
 
-    Template windows of `window` canonical tokens are hash-joined. Matches of a document and an item
-    at one alignment must fill slots consistently: equal values in the item have equal values in
-    the document and different ones different values. A pair counts if its consistent matches are
-    at least `coverage` of the item's windows, or `run` windows at one alignment. `reworded` tells
-    that some slot's value differs.
+    Every window of `window` tokens of an item is hash-joined twice: by its words, and by its
+    canonical tokens if it has a slot and a literal token. Windows with equal words always count.
+    Others must fill slots consistently in the alignment of document and item (equal values in the
+    item have equal values in the document and different ones different values), and those with
+    fewer than 5 literal tokens in 8 count only at an alignment that has a window with more or with
+    equal words, or that matches the whole item (all its windows with a literal token; those
+    of slots only then count with them). A pair counts if its windows are at least `coverage` of the item's (or of those of them with 5 literal
+    tokens in 8, if that is more), or `run` windows at one alignment. `reworded` tells that some
+    slot's value differs.
 
     Documents' windows are dropped in the scan unless the benchmark has them, so only candidates
     are shuffled, whatever the corpus; equal windows of a benchmark meet documents by hash, not
     each other. Items with fewer than 8 tokens are one window of their own length; with fewer than
-    4 they never match. Null or blank texts and null ids match nothing; repeated rows of one id
-    count as one document; empty tables give an empty result. Other columns are not read.
+    4 they match by their words only, so an item of one common word is found in all its documents.
+    Items of slots only match by their words. Null or blank texts and null ids match nothing;
+    repeated rows of one id count as one document; empty tables give an empty result. Other columns
+    are not read.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")).where("id is not null")
-    items = saved(_windows_of(items, None, window, None), "leak-items").withColumnsRenamed({"id": "item_id", "place": "item_place", "at": "item_at", "slots": "item_slots"}).drop("tokens")
+    items = saved(_windows_of(items, None, window, None), "leak-items").withColumnsRenamed({"id": "item_id", "place": "item_place", "slots": "item_slots"})
+    items = items.withColumn("rich", F.col("literals") * 8 >= F.col("size") * 5)
     lengths = sorted(r[0] for r in items.select("size").distinct().collect())
     wanted = None
     if items.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         wanted = np.sort(np.array([r[0] for r in items.select("hash").distinct().collect()], np.int64).view(np.uint64))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    hits = _windows_of(rows, lengths or [window], window, wanted if lengths else np.array([1], np.uint64)).drop("tokens").join(items, ["hash", "size"]).withColumn("shift", F.col("place") - F.col("item_place"))
-    filled = F.arrays_zip(F.col("item_slots").alias("b"), F.col("slots").alias("d"))
-    aligned = hits.groupBy("id", "item_id", "shift").agg(
-        F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(filled))).alias("filled"))
-    b, d = F.transform("filled", lambda x: x["b"]), F.transform("filled", lambda x: x["d"])
-    aligned = aligned.where((F.size(F.array_distinct(b)) == F.size("filled")) & (F.size(F.array_distinct(d)) == F.size("filled")))
-    found = aligned.groupBy("id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("matched"), F.max(F.size("places")).alias("longest"),
-        F.max(F.exists("filled", lambda x: x["b"] != x["d"])).alias("reworded"))
-    sizes = items.groupBy("item_id").agg(F.countDistinct("item_place").alias("windows"))
-    found = found.join(sizes, "item_id").withColumn("coverage", F.col("matched") / F.col("windows"))
+    hits = _windows_of(rows, lengths or [window], window, wanted if lengths else np.array([1], np.uint64)).select("id", "place", "size", "hash", "slots")
+    hits = hits.join(small(items, 200_000), ["hash", "size"]).withColumn("shift", F.col("place") - F.col("item_place"))
+    sizes = items.where("exact").groupBy("item_id").agg(
+        F.countDistinct("item_place").alias("windows"), F.countDistinct(F.when(F.col("rich"), F.col("item_place"))).alias("rich_windows"), F.countDistinct(F.when(F.col("literals") > 0, F.col("item_place"))).alias("needed"))
+    aligned = hits.groupBy("id", "item_id", "shift").agg(F.collect_set(F.struct("item_place", "exact", "rich", "literals", "at", "item_slots", "slots", "names")).alias("hits"))
+    counted = aligned.join(sizes.select("item_id", "needed", "windows"), "item_id").select("id", "item_id", "hits", "needed", "windows").mapInArrow(_judge, "id long, item_id long, places array<int>, rich array<int>, reworded boolean")
+    every = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
+    found = counted.groupBy("id", "item_id").agg(every("places").alias("matched"), every("rich").alias("rich"), F.max(F.size("places")).alias("longest"), F.max("reworded").alias("reworded"))
+    found = found.join(sizes, "item_id").withColumn("coverage", F.greatest(F.col("matched") / F.col("windows"), F.try_divide("rich", "rich_windows")))
     return found.where((F.col("coverage") >= coverage) | (F.col("longest") >= run)).select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "matched", "windows", "coverage", "reworded")
 
 

@@ -396,6 +396,20 @@ def test_leaks_equal_literal_search(spark, small_dir):
     assert {(r.doc_id, r.item_id) for r in templates.find_leaks(docs, items).collect()} == want
 
 
+DENSE = [
+    (1, "A train goes 60 km in 2 hours and 90 km in 3 hours", "a train goes 75 km in 4 hours and 80 km in 5 hours"), (2, "Convert 5 km 300 m to 2 miles 40 yards", "convert 7 kg 200 g to 3 pounds 9 ounces"),
+    (3, "What is 12 plus 7?", "what is 31 plus 8?"), (4, "12 7 5 9", None), (5, "prime 12", None), (6, "from 3 km 5 m 7 km 9 m 11 km 2 m 8 km 4 m to 6 km", "from 4 km 6 m 8 km 1 m 12 km 3 m 9 km 5 m to 7 km"),
+]
+
+
+def test_leaks_of_items_full_of_slots(spark):
+    items = spark.createDataFrame([x[:2] for x in DENSE], "item_id long, text string")
+    docs = [(i, f"so then they asked {t} and more words") for i, t, _ in DENSE] + [(10 + i, f"so then they asked {r} and more words") for i, _, r in DENSE if r]
+    docs += [(20, "a table 1 2 3 4 5 6 7 8 km 9 10 11 12"), (21, "convert 5 km 300 m into 2 miles 40 yards"), (22, "prime 13 and what is 12")]
+    got = {(r.doc_id, r.item_id): r.reworded for r in templates.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {(i, i): False for i, *_ in DENSE} | {(10 + i, i): True for i, _, r in DENSE if r}
+
+
 # ---- pipeline
 
 
