@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,9 +129,18 @@ def _windows_of(rows: DataFrame, lengths: list[int] | None, window: int, wanted:
 
 
 def _agreeing(filled: dict[int, tuple[int, int, bool]]) -> set[int]:
-    """The slots of one alignment, place to (item's value, document's, whether a name), that are filled one to one; all or none."""
-    pairs = {x[:2] for x in filled.values()}
-    return set(filled) if len({b for b, _ in pairs}) == len({d for _, d in pairs}) == len(pairs) else set()
+    """The slots of one alignment, place to (item's value, document's, whether a name), that agree with its majority filling.
+
+    Each value of the item is filled by what most of its slots have, itself in a tie; in another tie
+    none of them agrees. Two numbers may meet in one; names that would meet in one do not agree.
+    """
+    votes: dict[int, Counter] = {}
+    for b, d, _ in filled.values():
+        votes.setdefault(b, Counter())[d] += 1
+    best = {b: {d for d, n in v.items() if n == max(v.values())} for b, v in votes.items()}
+    best = {b: {b} if b in ds else ds for b, ds in best.items()}
+    named = Counter(d for b in {b for b, _, name in filled.values() if name} for d in best[b])
+    return {k for k, (b, d, name) in filled.items() if best[b] == {d} and (not name or named[d] == 1)}
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +175,9 @@ def find_leaks(
 
     Every window of `window` tokens of an item is hash-joined twice: by its words, and by its
     canonical tokens if it has a slot and a literal token. Windows with equal words always count.
-    Others must fill slots consistently in the alignment of document and item (equal values in the
-    item have equal values in the document and different ones different values), and those with
+    Others must fill their slots as most slots of the alignment of document and item do: a value of
+    the item by one value of the document, and different names by different ones (different numbers
+    may meet in one). A slot filled otherwise costs the windows that hold it. And those with
     fewer than 5 literal tokens in 8 count only at an alignment that has a window with more or with
     equal words, or that matches the whole item (all its windows with a literal token; those
     of slots only then count with them). A pair counts if its windows are at least `coverage` of the item's (or of those of them with 5 literal

@@ -410,6 +410,18 @@ def test_leaks_of_items_full_of_slots(spark):
     assert got == {(i, i): False for i, *_ in DENSE} | {(10 + i, i): True for i, _, r in DENSE if r}
 
 
+def test_one_altered_slot_costs_its_windows_only(spark):
+    item = "we know that Maria counts all of the boats near 12 old harbours while the others sleep and that by noon Maria has seen more than 12 of them and 3 of those were painted red"
+    docs = [
+        (1, item.replace("Maria has", "Peter has")), (2, item.replace("than 12", "than 13")), (3, item.replace("12", "5").replace("3 of", "5 of")),  # 12 and 3 both become 5
+        (4, item.replace("Maria", "Joanna").replace("than 12", "than 13")), (5, "we know that Maria counts sheep")]
+    found = templates.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    got = {r.doc_id: (r.matched, r.windows, r.reworded) for r in found.collect()}
+    n = len(item.split()) - 7
+    # of the n windows, 8 hold the altered name or number
+    assert got == {1: (n - 8, n, True), 2: (n - 8, n, True), 3: (n, n, True), 4: (n - 8, n, True)}
+
+
 # ---- pipeline
 
 
