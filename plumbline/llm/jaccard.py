@@ -110,27 +110,8 @@ def token_weights(docs: DataFrame, text: str, k: int) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(classes)
 
 
-def similar_groups(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rounds: int = 4,
-) -> DataFrame:
-    """Links documents whose sets of word shingles have a Jaccard similarity of percent / 100 or more.
-
-    Words are lower-cased (A-Z). Documents with equal sets form one class first. A class enters the
-    buckets of its prefix tokens under the first global order, in which tokens that are common in
-    the corpus come last; buckets with the same members count once. Only connectivity is needed,
-    so a bucket is not expanded into all its pairs: first its members are paired with two of them,
-    and after the links found were joined into components, members of different components are
-    paired; while these would be too many, other pivots are tried first. Pairs must also be close
-    in size and share a prefix token under a second and a third order; what remains is verified on
-    the whole sets, so every link between different components is found and no false one is.
-
-    Returns (id, n_shingles, component_id, n_links): component_id is the smallest id reachable by
-    links, itself included; n_links counts the verified links of the document's class (pairs inside
-    a component need not all have been verified) plus its equal copies. Null or blank texts have no
-    shingles, link with nothing and are their own component. Rows with a null id or a repeated id
-    are documents of their own; a component with null ids only has a null component_id. An empty
-    table gives an empty result. Other columns are not read. Sets are identified by 64-bit hashes.
-    """
+def _buckets(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(doc_id, text); sets described; members (token, node, n) of the buckets of prefix tokens, those with the same members once; signatures for `_verified`."""
     weights = token_weights(docs, text_col, shingle)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -154,7 +135,31 @@ def similar_groups(
     live = saved(full.join(alike.select("token"), "token", "left_semi"), "jaccard-buckets")
     discard(full)
     firsts = described.where("n > 0").select("node", "doc_id", "n", "second", "third")
+    return rows, described, live, firsts
+
+
+def similar_groups(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rounds: int = 4,
+) -> DataFrame:
+    """Links documents whose sets of word shingles have a Jaccard similarity of percent / 100 or more.
 
+    Words are lower-cased (A-Z). Documents with equal sets form one class first. A class enters the
+    buckets of its prefix tokens under the first global order, in which tokens that are common in
+    the corpus come last; buckets with the same members count once. Only connectivity is needed,
+    so a bucket is not expanded into all its pairs: first its members are paired with two of them,
+    and after the links found were joined into components, members of different components are
+    paired; while these would be too many, other pivots are tried first. Pairs must also be close
+    in size and share a prefix token under a second and a third order; what remains is verified on
+    the whole sets, so every link between different components is found and no false one is. For all
+    links, those inside a component too, see `similar_links`.
+
+    Returns (id, n_shingles, component_id): component_id is the smallest id reachable by
+    links, itself included. Null or blank texts have no
+    shingles, link with nothing and are their own component. Rows with a null id or a repeated id
+    are documents of their own; a component with null ids only has a null component_id. An empty
+    table gives an empty result. Other columns are not read. Sets are identified by 64-bit hashes.
+    """
+    rows, described, live, firsts = _buckets(docs, id_col, text_col, shingle, percent)
     pivots = live.select("node", F.explode(F.array("lo", "hi")).alias("pivot")).where("node <> pivot")
     pairs = pivots.select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")).distinct()
     links = tried = None
@@ -183,15 +188,42 @@ def similar_groups(
             best = buckets.groupBy("token").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"), F.min_by("component", F.xxhash64("node", F.lit(turn))).alias("own"))
             pairs = buckets.join(best, "token").where(F.col("component") != F.col("own"))
             pairs = pairs.select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
-    degree = links.select("x", "y").distinct().select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
-    per_class = described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    labelled = per_class.join(joined, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = saved(labelled.select("node", "component", "least", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "jaccard-classes")
+    per_class = described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    labelled = per_class.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = saved(labelled.select("node", "component", "least"), "jaccard-classes")
     names = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    labelled = labelled.join(names, "component").select("node", "component_id", "n_links")
-    some = described.where("n > 0").select("doc_id", "n", "node").join(labelled, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    none = described.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    labelled = labelled.join(names, "component").select("node", "component_id")
+    some = described.where("n > 0").select("doc_id", "n", "node").join(labelled, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    none = described.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return some.unionByName(none).withColumnRenamed("doc_id", id_col)
+
+
+def _all_pairs(live: DataFrame, percent: int, most: int = 512) -> DataFrame:
+    """(x, y): all pairs of a bucket's members that are close in size, once. Buckets are cut in blocks of about `most` members and pairs of blocks are dealt out."""
+    parts = live.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
+    member = live.join(parts, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    a = member.select("token", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("parts") - 1)).alias("j"))
+    b = member.select("token", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"))
+    close = (F.col("x_n") * 100 >= F.col("y_n") * percent) & (F.col("y_n") * 100 >= F.col("x_n") * percent)
+    pairs = a.join(b, ["token", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & close)
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def similar_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(id, n_shingles, n_links): how many other documents each document links with, equal copies included.
+
+    As `similar_groups`, but every pair of a bucket is verified, those inside a component too: the
+    number of pairs grows with the square of a family of near copies, as its links do.
+    """
+    rows, described, live, firsts = _buckets(docs, id_col, text_col, shingle, percent)
+    links = _verified(rows, saved(_all_pairs(live, percent), "jaccard-pairs"), firsts, shingle, percent)
+    copies = saved(described.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies")), "jaccard-copies")
+    both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    degree = both.join(copies.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.sum("copies").alias("degree"))
+    per_class = copies.join(degree, "node", "left").select("node", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    some = described.where("n > 0").select("doc_id", "n", "node").join(per_class, "node").select("doc_id", F.col("n").alias("n_shingles"), "n_links")
+    none = described.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.lit(0).cast("long").alias("n_links"))
     return some.unionByName(none).withColumnRenamed("doc_id", id_col)
 
 
@@ -271,8 +303,12 @@ _TOUCHED = pa.schema([("slice", pa.int32()), ("salt", pa.int32()), ("cells", pa.
 
 
 def _whole_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, n, tokens) of the wanted classes (node, doc_id): whole sets, ascending. A repeated id may give a class twice."""
+    """(node, n, tokens) of the wanted classes (node, doc_id): whole sets, ascending. A repeated id may give a class twice.
+
+    Texts are picked by the class's id; a class of null ids only has none and is picked by node.
+    """
     picked = rows.join(small(wanted.select("doc_id")), "doc_id", "left_semi").select("text")
+    unnamed = rows.where("doc_id is null").select("text")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,7 +318,10 @@ def _whole_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 raw = [tokens[lo:hi].tobytes() for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.diff(at)), pa.array(raw, pa.binary())], names=["node", "n", "tokens"])
 
-    return picked.mapInArrow(whole, "node long, n long, tokens binary").where("n > 0")
+    form = "node long, n long, tokens binary"
+    unnamed = unnamed.mapInArrow(whole, form).where("n > 0").join(wanted.where("doc_id is null").select("node"), "node", "left_semi")
+    unnamed = unnamed.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"))
+    return picked.mapInArrow(whole, form).where("n > 0").unionByName(unnamed)
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, firsts: DataFrame, shingle: int, percent: int) -> DataFrame:

@@ -270,6 +270,41 @@ def test_similar_groups_equal_brute_force(spark, k, percent):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_groups(rows, k, percent)
 
 
+def brute_links(rows, k, percent):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    w = [words((r[1] or "").translate(lower)) for r in rows]
+    sets = [{tuple(x[i : i + k]) for i in range(len(x) - k + 1)} if len(x) >= k else {tuple(x)} if x else set() for x in w]
+    linked = lambda a, b: bool(a & b) and 100 * len(a & b) >= percent * len(a | b)
+    return sorted(((r[0], len(sets[i]), sum(linked(sets[i], s) for j, s in enumerate(sets) if j != i)) for i, r in enumerate(rows)), key=repr)
+
+
+def family(n):
+    """Texts of 200 words that differ in one word each, so that all link, and copies of some."""
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[: 3 * i + 1], f"new{i}", *base[3 * i + 2 :]]) for i in range(n)]
+    return [(i, t, "en", "s", 1) for i, t in enumerate([*texts, *texts[:3]])]
+
+
+def test_all_links_equal_brute_force(spark):
+    for rows, k, percent in ((family(40), 5, 80), (generated(120, 6) + [(1000 + i, *r[1:]) for i, r in enumerate(ODD) if len(r[1] or "") < 1000], 2, 60)):
+        got = jaccard.similar_links(spark.createDataFrame(rows, DOCS), shingle=k, percent=percent).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in got), key=repr) == brute_links(rows, k, percent)
+    live = spark.createDataFrame([(t, x, 10) for t in (1, 2) for x in range(60)], "token long, node long, n long")
+    pairs = [tuple(r) for r in jaccard._all_pairs(live, 80, most=7).collect()]
+    assert sorted(pairs) == [(x, y) for x in range(60) for y in range(x + 1, 60)]
+
+
+def test_a_document_without_id_links_others(spark):
+    base = [f"w{i}" for i in range(100)]
+    chain = [" ".join([f"new{i}x{step}" if i < 9 * step else x for i, x in enumerate(base)]) for step in (0, 1, 2)]
+    chain[2] = " ".join([*chain[1].split()[:91], *[f"other{i}" for i in range(9)]])
+    rows = [(1, chain[0], "en", "s", 1), (None, chain[1], "en", "s", 1), (2, chain[2], "en", "s", 1)]
+    want = brute_groups(rows, 5, 80)
+    assert [c for _, _, c in want] == [1, 1, 1]
+    got = jaccard.similar_groups(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == want
+
+
 def test_similar_groups_of_odd_tables(odd, clashing, none):
     want = brute_groups(ODD, 5, 80)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(clashing).collect()), key=repr) == want
