@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measure import rss
+from .grids import cut
 
 
 @dataclass(frozen=True)
@@ -69,9 +70,12 @@ def region_flags(regions: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def numbered_flags(flags: DataFrame, prefix: str = "concealed") -> DataFrame:
-    """Adds `flag_id`: a running number, by region and then by rule. Flags are the findings of one property."""
-    order = Window.orderBy("region_id", "place")
-    return flags.withColumn("flag_id", F.format_string(f"{prefix}.%04d", F.row_number().over(order)))
+    """Adds `flag_id`: a running number, by region and then by rule, with four digits at least. Flags are numbered in ranges, to which the counts of the ranges before are added."""
+    ranges = cut(flags.repartitionByRange("region_id", "place").withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_part").orderBy("region_id", "place")) + F.col("_before")
+    return ranges.join(F.broadcast(offsets), "_part").withColumn("flag_id", F.format_string(f"{prefix}.%04d", number)).drop("_part", "_before")
 
 
 def pair_flags(regions: DataFrame, rule: Rule, cell: float, most: int = 400) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +24,36 @@ def violations(docs: DataFrame, ident: str, checks: dict[str, Column]) -> DataFr
 
 
 def fingerprint(files: DataFrame, keys: tuple[str, ...], name: Column, size: Column) -> DataFrame:
-    """(keys, fingerprint): SHA-1 over name:size of a capture's files in order."""
-    parts = files.select(*keys, F.struct(name.alias("n"), F.concat(name, F.lit(":"), size.cast("string")).alias("s")).alias("p"))
-    return parts.groupBy(*keys).agg(F.sha1(F.concat_ws("", F.transform(F.sort_array(F.collect_list("p")), lambda x: x["s"])).cast("binary")).alias("fingerprint"))
+    """(keys, fingerprint): SHA-1 over name:size of a capture's files in order.
+
+    SHA-1 goes through a capture's files one after the other, so these pass through one task, sorted and in batches: they are never held as a whole.
+    """
+    parts = files.select(*keys, name.alias("_n"), F.concat(name, F.lit(":"), size.cast("string")).alias("_s"))
+    ordered = parts.repartition(*keys).sortWithinPartitions(*keys, "_n", "_s").drop("_n")
+    form = parts.select(*keys).schema.add("fingerprint", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, digest = None, None
+        for batch in batches:
+            done = []
+            names = [batch.schema.field(k) for k in keys]
+            for *key, text in zip(*[batch.column(k).to_pylist() for k in (*keys, "_s")], strict=True):
+                if digest is None or key != own:
+                    if digest is not None:
+                        done.append([*own, digest.hexdigest()])
+                    own, digest = key, hashlib.sha1()
+                digest.update((text or "").encode())
+            if done:
+                yield _digests(done, names)
+        if digest is not None:
+            yield _digests([[*own, digest.hexdigest()]], names)
+
+    return ordered.mapInArrow(run, form)
+
+
+def _digests(rows: list[list], keys: list[pa.Field]) -> pa.RecordBatch:
+    fields = [*keys, pa.field("fingerprint", pa.string())]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], names=[f.name for f in fields])
 
 
 def svg(rooms: list[dict], walls: list[dict], scale: float = 100.0) -> str:

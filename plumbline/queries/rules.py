@@ -41,6 +41,11 @@ def flag_numbers(spark, d):
     return R.numbered_flags(flags).select("flag_id", "region_id", "rule")
 
 
+def flag_numbers_all(spark, d):
+    """Numbers of all flags; `flag_numbers` and its SQL take the regions under 4000 only."""
+    return R.numbered_flags(R.region_flags(_regions(spark, d), R.REGION_RULES)).select("flag_id", "region_id", "rule")
+
+
 def scope_items(spark, d):
     regions = _regions(spark, d).withColumn("area_m2", F.abs(F.col("width_m") * F.col("height_m"))).withColumn("sigma", F.col("width_m") * 0.03)
     surfaces = regions.groupBy("surface_id").agg(F.first("surface_kind").alias("kind"), (F.max("width_m") + 3).alias("length_m"), F.lit(2.4).alias("height"))
@@ -112,7 +117,7 @@ def keyword_flags(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    region_rules, pair_rules, flag_numbers, scope_items, wall_statistics, opening_statistics, precision_recall, operating_points, chosen_operating_point, fused_clusters, plan_document, document_violations, fingerprints, keyword_flags)}
+    region_rules, pair_rules, flag_numbers, flag_numbers_all, scope_items, wall_statistics, opening_statistics, precision_recall, operating_points, chosen_operating_point, fused_clusters, plan_document, document_violations, fingerprints, keyword_flags)}
 
 _REGIONS = """g AS (SELECT event_id AS id, 'r' || user_id AS room_id,
         CASE WHEN event_id % 5 = 0 THEN 'ceiling' WHEN event_id % 11 = 0 THEN 'floor' ELSE 'wall' END AS surface_kind,
@@ -142,6 +147,7 @@ ORACLE_SQL = {
           AND sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cz - b.cz) * (a.cz - b.cz)) < 0.75
           AND ((a.surface_kind = 'wall' AND a.dist_to_ceiling_m < 0.4) OR (b.surface_kind = 'wall' AND b.dist_to_ceiling_m < 0.4))""",
     "flag_numbers": f"WITH {_REGIONS}, {_FLAGS} SELECT 'concealed.' || lpad(CAST(row_number() OVER (ORDER BY id, o) AS VARCHAR), 4, '0') AS flag_id, id AS region_id, rule FROM f WHERE id < 4000",
+    "flag_numbers_all": f"WITH {_REGIONS}, {_FLAGS} SELECT 'concealed.' || printf('%04d', row_number() OVER (ORDER BY id, o)) AS flag_id, id AS region_id, rule FROM f",
     "scope_items": f"""WITH {_REGIONS}, v AS (SELECT *, abs(width_m * height_m) AS area, width_m * 0.03::DOUBLE AS sg, greatest(width_m, height_m) AS len FROM r),
         u AS (SELECT surface_id, max(width_m) + 3 AS l, 2.4::DOUBLE AS h FROM v GROUP BY 1),
         m AS (SELECT * FROM v WHERE NOT low_confidence AND surface_kind IN ('wall', 'ceiling'))

@@ -241,3 +241,23 @@ def test_same_result_under_other_partitions(spark, small_dir, parts):
         assert sorted(map(tuple, QUERIES["voxel_downsample"](spark, small_dir).collect())) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_flags_beyond_9999_are_numbered_in_ranges(spark):
+    flags = spark.range(10_050).select((F.col("id") * 7919 % 10_050).alias("region_id"), F.lit(0).alias("place"))
+    numbered = rules.numbered_flags(flags)
+    got = {r.region_id: r.flag_id for r in numbered.collect()}
+    assert got == {i: f"concealed.{i + 1:04d}" for i in range(10_050)}
+    assert "SinglePartition" not in flags.sparkSession._jvm.PythonSQLUtils.explainString(numbered._jdf.queryExecution(), "simple").split("BroadcastExchange")[0]
+
+
+def test_fingerprints_hold_no_group(spark):
+    import hashlib
+
+    from plumbline.plans import documents
+
+    rows = [("a", f"f{i}", i) for i in range(3000)] + [("b", "x", 1), (None, "y", 2), ("b", "w", None)]
+    found = documents.fingerprint(spark.createDataFrame(rows, "host string, name string, size long"), ("host",), F.col("name"), F.col("size"))
+    want = {h: hashlib.sha1("".join(f"{n}:{s}" for k, n, s in sorted(rows, key=lambda r: r[1]) if k == h and s is not None).encode()).hexdigest() for h in ("a", "b", None)}
+    assert {r.host: r.fingerprint for r in found.collect()} == want
+    assert "collect_list" not in spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
