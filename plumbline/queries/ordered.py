@@ -164,7 +164,16 @@ def shoelace(spark, d):
 
 def points_in_polygons(spark, d):
     """Box corners of parts inside the star polygons of a few users."""
-    v = _walk(spark, d).where("user_id < 10").withColumn("z", F.col("z") * 80).withColumn("x", F.col("x") * 2).withColumn("o", F.struct("ts", "event_id"))
+    return _corners_inside(spark, d, _walk(spark, d).where("user_id < 10"))
+
+
+def points_in_polygons_all(spark, d):
+    """Box corners of parts inside the star polygons of all users."""
+    return _corners_inside(spark, d, _walk(spark, d))
+
+
+def _corners_inside(spark, d, walk):
+    v = walk.withColumn("z", F.col("z") * 80).withColumn("x", F.col("x") * 2).withColumn("o", F.struct("ts", "event_id"))
     rings = X.edges(v, ("user_id",), "o")
     pts = _boxes(spark, d).select("p_partkey", (F.col("x0") + 0.37).alias("px"), (F.col("z0") + 0.41).alias("pz"))
     return X.points_in_polygons(pts, rings, ("user_id",), "p_partkey", "px", "pz", 8.0)
@@ -186,7 +195,7 @@ def greedy_matches(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     wall_segments, coline_clusters, path_chunks, keyframes, interpolated, median_filter, rank_names, numbered_ids, next_stop, nearest_anchor, overlapping_orders, uncovered_gaps, near_values,
-    nearest_vectors, ratio_match, shared_links, spanning_forest, chained_scales, smooth_chain, union_area, shoelace, points_in_polygons, hull_areas, greedy_matches)}
+    nearest_vectors, ratio_match, shared_links, spanning_forest, chained_scales, smooth_chain, union_area, shoelace, points_in_polygons, points_in_polygons_all, hull_areas, greedy_matches)}
 
 _WALK = "w AS (SELECT user_id, ts, event_id, value / 10 AS x, hour(ts) / 24.0::DOUBLE AS z FROM events)"
 _PATH = f"""{_WALK},
@@ -252,4 +261,8 @@ ORACLE_SQL = {
         e AS (SELECT user_id, x AS x1, z AS z1, coalesce(lead(x) OVER o, first_value(x) OVER o) AS x2, coalesce(lead(z) OVER o, first_value(z) OVER o) AS z2 FROM s WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
         p AS (SELECT p_partkey, x0 + 0.37::DOUBLE AS px, z0 + 0.41::DOUBLE AS pz FROM b)
         SELECT p_partkey, user_id FROM p JOIN e ON (z1 > pz) <> (z2 > pz) AND px < (x2 - x1) * (pz - z1) / (z2 - z1) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1""",
+    "points_in_polygons_all": f"""WITH {_WALK}, {_BOX}, s AS (SELECT user_id, ts, event_id, x * 2 AS x, z * 80 AS z FROM w),
+        e AS (SELECT user_id, x AS x1, z AS z1, coalesce(lead(x) OVER o, first_value(x) OVER o) AS x2, coalesce(lead(z) OVER o, first_value(z) OVER o) AS z2 FROM s WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+        p AS (SELECT p_partkey, x0 + 0.37::DOUBLE AS px, z0 + 0.41::DOUBLE AS pz FROM b)
+        SELECT p_partkey, user_id FROM p JOIN e ON (z1 > pz) <> (z2 > pz) AND px < (x2 - x1) * (pz - z1) / (z2 - z1) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1""",
 }

@@ -162,9 +162,15 @@ def window_mode(spark, d):
     return G.window_mode(c, c.where("i % 8 = 0 and j % 8 = 0"))
 
 
+def window_mode_all(spark, d):
+    """The mode around every cell; `window_mode` asks for one cell in 64."""
+    c = _cells(spark, d).groupBy("i", "j").agg((F.sum("l_quantity").cast("long") % 5).alias("label"))
+    return G.window_mode(c, c)
+
+
 QUERIES = {f.__name__: f for f in (
     voxel_downsample, voxel_downsample_lineitem, dominant_yaw, rotate_to_walls, grid_count, slab_barrier, semi_on_barrier, ray_carve, level_peaks, lowest_level, lowest_and_highest, robust_level,
-    mad_sigma, percentiles, coverage_bins, otsu_threshold, measurement_algebra, wall_area, se2_compose, morphology, boundary_lengths, label_components, window_mode)}
+    mad_sigma, percentiles, coverage_bins, otsu_threshold, measurement_algebra, wall_area, se2_compose, morphology, boundary_lengths, label_components, window_mode, window_mode_all)}
 
 _POINTS = """
     e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z,
@@ -275,4 +281,6 @@ ORACLE_SQL = {
         SELECT i, j, CAST(dense_rank() OVER (ORDER BY f) AS INTEGER) AS label FROM m JOIN n USING (v)""",
     "window_mode": f"""WITH {_LABELS}, v AS (SELECT a.i, a.j, b.label, count(*) AS n FROM c a JOIN c b ON abs(a.i - b.i) <= 3 AND abs(a.j - b.j) <= 3 WHERE a.i % 8 = 0 AND a.j % 8 = 0 GROUP BY ALL)
         SELECT i, j, label, n FROM v QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY n DESC, label) = 1""",
+    "window_mode_all": f"""WITH {_LABELS}, v AS (SELECT a.i, a.j, b.label, count(*) AS n FROM c a JOIN c b ON abs(a.i - b.i) <= 3 AND abs(a.j - b.j) <= 3 GROUP BY ALL)
+        SELECT i, j, label, n FROM v QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY n DESC, label) = 1""",
 }
