@@ -116,8 +116,13 @@ def keyword_flags(spark, d):
     return table(spark, d, "documents").select("doc_id", T.contains_any(F.col("text"), ["bath", "wc", "the "]).alias("wet"), T.slug(F.substring("text", 1, 20)).alias("slug"))
 
 
+def keyword_flags_whole(spark, d):
+    """`keyword_flags` with the slug of the whole text instead of its first 20 characters."""
+    return table(spark, d, "documents").select("doc_id", T.contains_any(F.col("text"), ["bath", "wc", "the "]).alias("wet"), T.slug(F.col("text")).alias("slug"))
+
+
 QUERIES = {f.__name__: f for f in (
-    region_rules, pair_rules, flag_numbers, flag_numbers_all, scope_items, wall_statistics, opening_statistics, precision_recall, operating_points, chosen_operating_point, fused_clusters, plan_document, document_violations, fingerprints, keyword_flags)}
+    region_rules, pair_rules, flag_numbers, flag_numbers_all, scope_items, wall_statistics, opening_statistics, precision_recall, operating_points, chosen_operating_point, fused_clusters, plan_document, document_violations, fingerprints, keyword_flags, keyword_flags_whole)}
 
 _REGIONS = """g AS (SELECT event_id AS id, 'r' || user_id AS room_id,
         CASE WHEN event_id % 5 = 0 THEN 'ceiling' WHEN event_id % 11 = 0 THEN 'floor' ELSE 'wall' END AS surface_kind,
@@ -181,4 +186,6 @@ ORACLE_SQL = {
     "fingerprints": """SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, sha1(string_agg(page_id || ':' || length(html), '' ORDER BY CAST(page_id AS VARCHAR))) AS fingerprint FROM pages GROUP BY 1""",
     "keyword_flags": """SELECT doc_id, contains(lower(text), 'bath') OR contains(lower(text), 'wc') OR contains(lower(text), 'the ') AS wet,
         CASE WHEN trim(lower(regexp_replace(substr(text, 1, 20), '[^A-Za-z0-9]', '_', 'g')), '_') = '' THEN 'room' ELSE trim(lower(regexp_replace(substr(text, 1, 20), '[^A-Za-z0-9]', '_', 'g')), '_') END AS slug FROM documents""",
+    "keyword_flags_whole": """SELECT doc_id, contains(lower(text), 'bath') OR contains(lower(text), 'wc') OR contains(lower(text), 'the ') AS wet,
+        CASE WHEN trim(lower(regexp_replace(text, '[^A-Za-z0-9]', '_', 'g')), '_') = '' THEN 'room' ELSE trim(lower(regexp_replace(text, '[^A-Za-z0-9]', '_', 'g')), '_') END AS slug FROM documents""",
 }
