@@ -30,19 +30,18 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame, most_rounds: int = 40) -
     return forest if forest is not None else edges.select("edge", "x", "y", "weight").where(F.lit(False))
 
 
-def chain_ratios(forest: DataFrame, roots: DataFrame, ratio: str, most_rounds: int = 60) -> DataFrame:
+def chain_ratios(forest: DataFrame, roots: DataFrame, ratio: str) -> DataFrame:
     """(node, root, value, hops): products of edge ratios along the tree from each root (value 1); against an edge's direction its inverse. One hop of all trees a round."""
     steps = forest.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col(ratio).alias("r")).unionByName(forest.select(F.col("y").alias("a"), F.col("x").alias("b"), (1 / F.col(ratio)).alias("r")))
     steps = cut(steps)
     known = cut(roots.select("node", F.col("node").alias("root"), F.lit(1.0).alias("value"), F.lit(0).alias("hops")))
     front = known
-    for _ in range(most_rounds):
+    while True:
         more = front.join(steps, front["node"] == steps["a"]).select(F.col("b").alias("node"), "root", (F.col("value") * F.col("r")).alias("value"), (F.col("hops") + 1).alias("hops"))
         front = cut(more.join(known.select("node"), "node", "left_anti"))
         if not front.limit(1).count():
-            break
+            return known
         known = cut(known.unionByName(front))
-    return known
 
 
 def smooth_chain(df: DataFrame, keys: tuple[str, ...], order: str, measured: str, weight: str, lam: float) -> DataFrame:

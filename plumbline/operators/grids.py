@@ -97,18 +97,17 @@ def label_components(cells: DataFrame) -> DataFrame:
     return own.join(found, "node").join(names, "component").select("i", "j", "label")
 
 
-def grow(markers: DataFrame, domain: DataFrame, most_rounds: int = 200) -> DataFrame:
+def grow(markers: DataFrame, domain: DataFrame) -> DataFrame:
     """(i, j, label): markers spread over the domain one cell a round; of several labels the greatest wins."""
     labels = cut(markers.select("i", "j", "label"))
     space = domain.select("i", "j").distinct()
-    for _ in range(most_rounds):
+    while True:
         moved = labels.select("label", "i", "j", F.explode(_offsets(CROSS[1:])).alias("d")).select((F.col("i") + F.col("d.a")).alias("i"), (F.col("j") + F.col("d.b")).alias("j"), "label")
         fresh = moved.join(space, ["i", "j"], "left_semi").join(labels, ["i", "j"], "left_anti").groupBy("i", "j").agg(F.max("label").alias("label"))
         fresh = cut(fresh)
         if not fresh.limit(1).count():
             return labels
         labels = cut(labels.unionByName(fresh))
-    return labels
 
 
 def boundary_lengths(labels: DataFrame) -> DataFrame:

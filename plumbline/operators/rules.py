@@ -37,6 +37,10 @@ PAIR_RULE = Rule(
 )
 
 
+#: Regions of a room that the rule engine pairs: for results that equal its own.
+ENGINE_MOST = 400
+
+
 @dataclass(frozen=True)
 class ScopeRule:
     code: str
@@ -78,14 +82,16 @@ def numbered_flags(flags: DataFrame, prefix: str = "concealed") -> DataFrame:
     return ranges.join(F.broadcast(offsets), "_part").withColumn("flag_id", F.format_string(f"{prefix}.%04d", number)).drop("_part", "_before")
 
 
-def pair_flags(regions: DataFrame, rule: Rule, cell: float, most: int = 400) -> DataFrame:
-    """(room_id, a_id, b_id, rule) for pairs of a room's first `most` regions, a before b, that fulfil the rule.
+def pair_flags(regions: DataFrame, rule: Rule, cell: float, most: int | None = None) -> DataFrame:
+    """(room_id, a_id, b_id, rule) for pairs of a room's regions, a before b, that fulfil the rule.
 
-    The limit is the rule engine's own. Only centroids within `cell` can pass, so pairs meet in
+    `most`: only a room's first regions, as the rule engine takes 400 (`ENGINE_MOST`). Only centroids within `cell` can pass, so pairs meet in
     cells of that width and a room is not joined with itself as a whole.
     """
-    first = Window.partitionBy("room_id").orderBy("id")
-    rows = with_context(regions).withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= most)
+    rows = with_context(regions)
+    if most is not None:
+        first = Window.partitionBy("room_id").orderBy("id")
+        rows = rows.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= most)
     columns = ["id", "cls", "surface_kind", "near_ceiling", "cx", "cz"]
     a = rows.select("room_id", *[F.col(c).alias(f"a_{c}") for c in columns], F.floor(F.col("cx") / cell).alias("_i"), F.floor(F.col("cz") / cell).alias("_j"))
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])

@@ -33,6 +33,11 @@ def region_rules(spark, d):
 
 
 def pair_rules(spark, d):
+    """Pairs as the rule engine has them: of a room's first 400 regions."""
+    return R.pair_flags(_regions(spark, d), R.PAIR_RULE, cell=0.75, most=R.ENGINE_MOST).select("room_id", "a_id", "b_id", "rule")
+
+
+def pair_rules_all(spark, d):
     return R.pair_flags(_regions(spark, d), R.PAIR_RULE, cell=0.75).select("room_id", "a_id", "b_id", "rule")
 
 
@@ -122,7 +127,7 @@ def keyword_flags_whole(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    region_rules, pair_rules, flag_numbers, flag_numbers_all, scope_items, wall_statistics, opening_statistics, precision_recall, operating_points, chosen_operating_point, fused_clusters, plan_document, document_violations, fingerprints, keyword_flags, keyword_flags_whole)}
+    region_rules, pair_rules, pair_rules_all, flag_numbers, flag_numbers_all, scope_items, wall_statistics, opening_statistics, precision_recall, operating_points, chosen_operating_point, fused_clusters, plan_document, document_violations, fingerprints, keyword_flags, keyword_flags_whole)}
 
 _REGIONS = """g AS (SELECT event_id AS id, 'r' || user_id AS room_id,
         CASE WHEN event_id % 5 = 0 THEN 'ceiling' WHEN event_id % 11 = 0 THEN 'floor' ELSE 'wall' END AS surface_kind,
@@ -151,6 +156,11 @@ ORACLE_SQL = {
         WHERE a.cls = 'water_stain' AND b.cls = 'water_stain' AND ((a.surface_kind = 'ceiling' AND b.surface_kind = 'wall') OR (a.surface_kind = 'wall' AND b.surface_kind = 'ceiling'))
           AND sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cz - b.cz) * (a.cz - b.cz)) < 0.75
           AND ((a.surface_kind = 'wall' AND a.dist_to_ceiling_m < 0.4) OR (b.surface_kind = 'wall' AND b.dist_to_ceiling_m < 0.4))""",
+    "pair_rules_all": f"""WITH {_REGIONS}, s AS (SELECT * FROM r)
+        SELECT a.room_id, a.id AS a_id, b.id AS b_id, 'ceiling_wall_junction_stain' AS rule FROM s a JOIN s b ON a.room_id = b.room_id AND a.id < b.id
+        WHERE a.cls = 'water_stain' AND b.cls = 'water_stain' AND ((a.surface_kind = 'ceiling' AND b.surface_kind = 'wall') OR (a.surface_kind = 'wall' AND b.surface_kind = 'ceiling'))
+          AND sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cz - b.cz) * (a.cz - b.cz)) < 0.75
+          AND ((a.surface_kind = 'wall' AND a.dist_to_ceiling_m < 0.4) OR (b.surface_kind = 'wall' AND b.dist_to_ceiling_m < 0.4))""",
     "flag_numbers": f"WITH {_REGIONS}, {_FLAGS} SELECT 'concealed.' || lpad(CAST(row_number() OVER (ORDER BY id, o) AS VARCHAR), 4, '0') AS flag_id, id AS region_id, rule FROM f WHERE id < 4000",
     "flag_numbers_all": f"WITH {_REGIONS}, {_FLAGS} SELECT 'concealed.' || printf('%04d', row_number() OVER (ORDER BY id, o)) AS flag_id, id AS region_id, rule FROM f",
     "scope_items": f"""WITH {_REGIONS}, v AS (SELECT *, abs(width_m * height_m) AS area, width_m * 0.03::DOUBLE AS sg, greatest(width_m, height_m) AS len FROM r),

@@ -261,3 +261,18 @@ def test_fingerprints_hold_no_group(spark):
     want = {h: hashlib.sha1("".join(f"{n}:{s}" for k, n, s in sorted(rows, key=lambda r: r[1]) if k == h and s is not None).encode()).hexdigest() for h in ("a", "b", None)}
     assert {r.host: r.fingerprint for r in found.collect()} == want
     assert "collect_list" not in spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+
+
+def test_late_regions_of_a_room_are_paired(spark):
+    rows = [(i, "r1", "water_stain", "ceiling" if i == 449 else "wall", float(i), 0.0) for i in range(449)] + [(449, "r1", "water_stain", "ceiling", 448.5, 0.0)]
+    df = spark.createDataFrame(rows, "id long, room_id string, cls string, surface_kind string, cx double, cz double").selectExpr("*", "0.1D width_m", "0.1D height_m", "0.1D dist_to_ceiling_m", "9.0D wet_room_dist_m", "9.0D corner_dist_m")
+    assert [(r.a_id, r.b_id) for r in rules.pair_flags(df, rules.PAIR_RULE, 0.75).collect()] == [(448, 449)]
+    assert rules.pair_flags(df, rules.PAIR_RULE, 0.75, most=rules.ENGINE_MOST).count() == 0
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    from plumbline.operators import graphs
+
+    forest = spark.createDataFrame([(i, i + 1, 1.0) for i in range(63)], "x long, y long, ratio double")
+    got = {r.node: r.hops for r in graphs.chain_ratios(forest, spark.createDataFrame([(0,)], "node long"), "ratio").collect()}
+    assert got == {i: i for i in range(64)}
