@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -24,7 +24,8 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x").select(F.explode(F.array(F.struct("y", "m"), F.struct(F.col("x").alias("y"), "m"))).alias("e")).select(F.col("e.y").alias("x"), F.col("e.m").alias("y")).where("x <> y").distinct()
-        stars = saved(small, "stars")
+        before, stars = stars, saved(small, "stars")
+        discard(before)
         now = stars.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("x", "y"))).first()
         if now == mark:
             break

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, saved, slices, small
@@ -15,8 +15,8 @@ from .graph import components
 from .words import Words, mix
 
 _CELL_BITS, _SLICE_BITS = 24, 18
-#: Bits of the fixed table (16 MB) that tells prefix tokens which occur once.
-_ONCE_BITS = 27
+#: Bytes of text that a task has in words at a time.
+_TEXT = 2_000_000
 
 
 def token_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,18 +46,23 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def prefixes(tokens: np.ndarray, at: np.ndarray, heaviness: np.ndarray, order: int, percent: int, share: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The first n - ceil(percent n / 100) + m tokens of each set under one global order: light tokens before heavy ones, then by a hash of that order.
+def _ranks(tokens: np.ndarray, heaviness: np.ndarray, order: int) -> np.ndarray:
+    """Places of tokens in a global order: light tokens before heavy ones, then by a hash of that order."""
+    return (heaviness.astype(np.uint64) << np.uint64(56)) | (mix(tokens ^ np.uint64(0x5851F42D4C957F2D * order % (1 << 64))) >> np.uint64(8))
+
+
+def prefixes(ranks: np.ndarray, at: np.ndarray, percent: int, share: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The first n - ceil(percent n / 100) + m places of each set, ascending, and where each set's begin.
 
     Two sets that link share at least the smaller m of such tokens: m is 1, or ceil(n / share).
     """
-    rank = (heaviness.astype(np.uint64) << np.uint64(56)) | (mix(tokens ^ np.uint64(0x5851F42D4C957F2D * order % (1 << 64))) >> np.uint64(8))
     out, size = [], []
     for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         n = hi - lo
         m = 1 if share is None else -(-n // share)
         p = min(n, n - -(-percent * n // 100) + m) if n else 0
-        out.append(tokens[lo:hi][np.argpartition(rank[lo:hi], p - 1)[:p]] if 0 < p < n else tokens[lo:hi][:p])
+        own = ranks[lo:hi]
+        out.append(np.sort(np.partition(own, p - 1)[:p] if 0 < p < n else own))
         size.append(p)
     return np.concatenate([np.zeros(0, np.uint64), *out]), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
@@ -81,7 +86,7 @@ def token_weights(docs: DataFrame, text: str, k: int) -> Broadcast:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(cells, np.uint16), 0
         for batch in batches:
-            for _, texts in slices(batch.column("text")):
+            for _, texts in slices(batch.column("text"), _TEXT):
                 cell, n = np.unique((Words(texts, lower=True).windows(k)[1] >> np.uint64(64 - _CELL_BITS)).astype(np.int64), return_counts=True)
                 total[cell] = np.minimum(total[cell] + n, 65535)
                 rows += len(cell)
@@ -110,36 +115,67 @@ def token_weights(docs: DataFrame, text: str, k: int) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(classes)
 
 
-def _buckets(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(doc_id, text); sets described; members (token, node, n) of the buckets of prefix tokens, those with the same members once; signatures for `_verified`."""
+def _buckets(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, text); described (doc_id, n, node, second, third); members (token, node, n, pos) of the buckets of prefix tokens, those with the same members once.
+
+    Prefix tokens stand as their places in the first order, so a token's number tells which comes
+    first; `pos` is the token's index in its set's prefix. Equal sets enter once. Tokens that one
+    class only has are dropped by an exact count, whatever the size of the input.
+    """
     weights = token_weights(docs, text_col, shingle)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, texts in slices(batch.column("text")):
+            for lo, texts in slices(batch.column("text"), _TEXT):
                 tokens, at = token_sets(Words(texts, lower=True), shingle)
                 heavy = weights.value[(tokens >> np.uint64(64 - _CELL_BITS)).astype(np.int64)]
-                chosen, begin = prefixes(tokens, at, heavy, 1, percent)
-                more = [_signature(*prefixes(tokens, at, heavy, order, percent, _SHARE)) for order in (2, 3)]
+                chosen, begin = prefixes(_ranks(tokens, heavy, 1), at, percent)
+                more = [_signature(*prefixes(_ranks(tokens, heavy, order), at, percent, _SHARE)) for order in (2, 3)]
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(lo, len(texts)), pa.array(np.diff(at)), pa.array(_sums(mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)), at).view(np.int64)),
-                    _lists((chosen & np.uint64((1 << 48) - 1)).astype(np.int64), begin), *more], names=["doc_id", "n", "node", "prefix", "second", "third"])
+                    _lists(chosen.view(np.int64), begin), *more], names=["doc_id", "n", "node", "prefix", "second", "third"])
 
     described = saved(rows.mapInArrow(describe, "doc_id long, n long, node long, prefix array<long>, second binary, third binary"), "jaccard-sets")
-    classes = _without_singles(described.where("n > 0").select("node", "doc_id", "n", "prefix")).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
-    index = classes.select("node", "n", F.explode("prefix").alias("token"))
-    shared = index.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    full = saved(index.join(shared, "token").select("token", "node", "n", "lo", "hi"), "jaccard-shared")
-    alike = full.groupBy("token", "lo", "hi").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("members")).groupBy("lo", "hi", "m", "members").agg(F.min("token").alias("token"))
+    weights.unpersist()
+    classes = described.where("n > 0").select("node", F.col("n").cast("int").alias("n"), "prefix").dropDuplicates(["node"])
+    index = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
+    full = saved(index.join(shared, "token", "left_semi").select("token", "node", "n", "pos"), "jaccard-shared")
+    alike = full.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    alike = alike.groupBy("m", "members", "lo", "hi").agg(F.min("token").alias("token"))
     live = saved(full.join(alike.select("token"), "token", "left_semi"), "jaccard-buckets")
     discard(full)
-    firsts = described.where("n > 0").select("node", "doc_id", "n", "second", "third")
-    return rows, described, live, firsts
+    return rows, described.drop("prefix"), live
+
+
+def _close(percent: int) -> Column:
+    """May two members a and b of a bucket link? What follows the bucket's token in both prefixes must suffice for the common part that a link needs.
+
+    Right for the first token that two sets share, which they meet in before any other.
+    """
+    least = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
+    return least.cast("long") * (100 + percent) >= (F.col("a_n") + F.col("b_n")).cast("long") * percent
+
+
+def _side(members: DataFrame, name: str, *more: str) -> DataFrame:
+    return members.select("token", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "n", "pos", *more)])
+
+
+def _unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a_node", "b_node").alias("x"), F.greatest("a_node", "b_node").alias("y")).distinct()
+
+
+def _dealt(asking: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """Pairs of a bucket's `asking` (a_) and `asked` (b_) members: the asked ones are cut in parts of about `most`, each of which the asking ones visit, so no bucket is one task."""
+    parts = asked.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
+    b = asked.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("b_node"), F.col("parts")).cast("int")).drop("parts")
+    a = asking.join(parts, "token").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return a.join(b, ["token", "part"])
 
 
 def similar_groups(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rounds: int = 4,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rounds: int = 3,
 ) -> DataFrame:
     """Links documents whose sets of word shingles have a Jaccard similarity of percent / 100 or more.
 
@@ -147,10 +183,12 @@ def similar_groups(
     buckets of its prefix tokens under the first global order, in which tokens that are common in
     the corpus come last; buckets with the same members count once. Only connectivity is needed,
     so a bucket is not expanded into all its pairs: first its members are paired with two of them,
-    and after the links found were joined into components, members of different components are
-    paired; while these would be too many, other pivots are tried first. Pairs must also be close
-    in size and share a prefix token under a second and a third order; what remains is verified on
-    the whole sets, so every link between different components is found and no false one is. For all
+    and after the links found were joined into components, the members outside a bucket's largest
+    component are paired with one of it (`rounds` - 2 times, while much is left), and last with
+    every member of another component. The place of the shared token in both prefixes bounds what
+    can follow, which ends most pairs before they are made. Pairs must also share prefix tokens
+    under a second and a third order; what remains is verified on the whole sets, so every link
+    between different components is found and no false one is. For all
     links, those inside a component too, see `similar_links`.
 
     Returns (id, n_shingles, component_id): component_id is the smallest id reachable by
@@ -159,35 +197,37 @@ def similar_groups(
     are documents of their own; a component with null ids only has a null component_id. An empty
     table gives an empty result. Other columns are not read. Sets are identified by 64-bit hashes.
     """
-    rows, described, live, firsts = _buckets(docs, id_col, text_col, shingle, percent)
-    pivots = live.select("node", F.explode(F.array("lo", "hi")).alias("pivot")).where("node <> pivot")
-    pairs = pivots.select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")).distinct()
-    links = tried = None
+    rows, described, live = _buckets(docs, id_col, text_col, shingle, percent)
+    ends = live.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    pivots = live.join(ends, "token").where("node = lo or node = hi").select("token", "node", "n", "pos")
+    pairs = _unordered(_side(live, "a").join(_side(pivots, "b"), "token").where(_close(percent) & (F.col("a_node") != F.col("b_node"))))
+    tried = joined = None
     for turn in range(rounds):
         pairs = saved(pairs, "jaccard-pairs")
-        found = _verified(rows, pairs, firsts, shingle, percent)
-        links = found if links is None else links.unionByName(found)
+        found = _verified(rows, pairs, described, shingle, percent)
+        joined = components(found if joined is None else found.unionByName(joined.select(F.col("node").alias("x"), F.col("component").alias("y"))))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        joined = components(links)
         if turn == rounds - 1:
             break
-        buckets = live.select("token", "node", "n").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = buckets.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token")
-        buckets = saved(buckets.join(split, "token", "left_semi"), "jaccard-open")
-        inside = buckets.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"))
-        due = inside.groupBy("token").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("d")).agg(F.sum("d") / 2, F.count(F.lit(1))).first()
-        if not due[1]:
+        inside = live.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        split = inside.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+        inside = saved(inside.join(split, "token", "left_semi"), "jaccard-open")
+        sizes = inside.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"))
+        most = saved(sizes.groupBy("token").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("top"), F.sum("m").alias("m")), "jaccard-main")
+        due, left = most.agg(F.sum((F.col("m") - F.col("top")) * F.col("m")), F.sum("m")).first()
+        if not left:
             break
-        if turn >= rounds - 2 or due[0] <= 2 * buckets.count() + 10_000:
-            a, b = (buckets.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component")]) for s in "ab")
-            close = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-            pairs = a.join(b, "token").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & close)
-            pairs = pairs.select(F.col("node_a").alias("x"), F.col("node_b").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
-            rounds = turn + 2
+        inside = inside.join(most.select("token", "main"), "token")
+        rest, main = inside.where("component <> main"), inside.where("component = main")
+        if turn < rounds - 2 and due > 4 * left + 1_000_000:
+            named = main.groupBy("token").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
+            pairs = _side(rest, "a").join(_side(main.join(named, ["token", "node"], "left_semi"), "b"), "token").where(_close(percent))
         else:
-            best = buckets.groupBy("token").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"), F.min_by("component", F.xxhash64("node", F.lit(turn))).alias("own"))
-            pairs = buckets.join(best, "token").where(F.col("component") != F.col("own"))
-            pairs = pairs.select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")).distinct().join(tried, ["x", "y"], "left_anti")
+            rounds = turn + 2
+            both = _dealt(_side(rest, "a", "component"), _side(inside, "b", "component", "main"), 4096)
+            once = (F.col("b_component") == F.col("b_main")) | (F.col("a_node") < F.col("b_node"))
+            pairs = both.where(_close(percent) & (F.col("a_component") != F.col("b_component")) & once)
+        pairs = _unordered(pairs).join(tried, ["x", "y"], "left_anti")
 
     per_class = described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     labelled = per_class.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -199,25 +239,15 @@ def similar_groups(
     return some.unionByName(none).withColumnRenamed("doc_id", id_col)
 
 
-def _all_pairs(live: DataFrame, percent: int, most: int = 512) -> DataFrame:
-    """(x, y): all pairs of a bucket's members that are close in size, once. Buckets are cut in blocks of about `most` members and pairs of blocks are dealt out."""
-    parts = live.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
-    member = live.join(parts, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    a = member.select("token", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("parts") - 1)).alias("j"))
-    b = member.select("token", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"))
-    close = (F.col("x_n") * 100 >= F.col("y_n") * percent) & (F.col("y_n") * 100 >= F.col("x_n") * percent)
-    pairs = a.join(b, ["token", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & close)
-    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-
-
 def similar_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, n_links): how many other documents each document links with, equal copies included.
 
-    As `similar_groups`, but every pair of a bucket is verified, those inside a component too: the
-    number of pairs grows with the square of a family of near copies, as its links do.
+    As `similar_groups`, but every pair of a bucket that may link is verified, those inside a
+    component too: the number of pairs grows with the square of a family of near copies, as its links do.
     """
-    rows, described, live, firsts = _buckets(docs, id_col, text_col, shingle, percent)
-    links = _verified(rows, saved(_all_pairs(live, percent), "jaccard-pairs"), firsts, shingle, percent)
+    rows, described, live = _buckets(docs, id_col, text_col, shingle, percent)
+    pairs = _unordered(_dealt(_side(live, "a"), _side(live, "b"), 512).where(_close(percent) & (F.col("a_node") < F.col("b_node"))))
+    links = _verified(rows, saved(pairs, "jaccard-pairs"), described, shingle, percent)
     copies = saved(described.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies")), "jaccard-copies")
     both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
     degree = both.join(copies.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.sum("copies").alias("degree"))
@@ -243,65 +273,6 @@ def _matches(a: bytes, b: bytes) -> int:
     return max(int(np.isin(x, y).sum()), int(np.isin(y, x).sum()))
 
 
-def _without_singles(described: DataFrame) -> DataFrame:
-    """`described` with the prefix tokens that occur once in the corpus left out.
-
-    A table of 2**27 cells notes what was seen once and what twice; tasks send the cells they
-    touched in slices, compressed, which are merged to the cells touched twice. A shared cell only
-    keeps a token too many, and a corpus that fills the table keeps all of them.
-    """
-    per, count = 1 << 21, 1 << _ONCE_BITS - 21
-    schema = "slice int, salt int, cells binary, last boolean"
-
-    def cells_of(values: np.ndarray) -> np.ndarray:
-        return (mix(values.astype(np.uint64)) >> np.uint64(64 - _ONCE_BITS)).astype(np.int64)
-
-    def touch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((count, per), np.uint8)
-        flat, any_ = seen.reshape(-1), False
-        for batch in batches:
-            cells, n = np.unique(cells_of(np.asarray(batch.column("prefix").flatten())), return_counts=True)
-            flat[cells] = np.minimum(flat[cells] + np.minimum(n, 2), 2)
-            any_ |= len(cells) > 0
-        if any_:
-            zstd = pa.Codec("zstd")
-            for i in range(count):
-                packed = zstd.compress(np.packbits(np.stack([seen[i] > 0, seen[i] > 1])).tobytes(), asbytes=True)
-                yield pa.RecordBatch.from_pylist([{"slice": i, "salt": len(packed) % 64, "cells": packed, "last": False}], schema=_TOUCHED)
-
-    def merge(key: tuple, rows: pa.Table) -> pa.Table:
-        zstd = pa.Codec("zstd")
-        total = np.zeros((2, per // 8), np.uint8)
-        for x in rows.column("cells"):
-            own = np.frombuffer(zstd.decompress(x.as_py(), per // 4, asbytes=True), np.uint8).reshape(2, -1)
-            total[1] |= own[1] | (total[0] & own[0])
-            total[0] |= own[0]
-        return pa.Table.from_pylist([{"slice": rows.column("slice")[0].as_py(), "salt": 0, "cells": zstd.compress(total.tobytes(), asbytes=True), "last": True}], schema=_TOUCHED)
-
-    touched = described.select("prefix").mapInArrow(touch, schema)
-    merged = touched.groupBy("slice", "salt").applyInArrow(merge, schema).groupBy("slice").applyInArrow(merge, schema).select("slice", "cells")
-    twice = np.zeros((count, per // 8), np.uint8)
-    zstd = pa.Codec("zstd")
-    for i, packed in merged.collect():  # 2**27 bits in all, whatever the input
-        twice[i] = np.frombuffer(zstd.decompress(bytes(packed), per // 4, asbytes=True), np.uint8).reshape(2, -1)[1]
-    table = described.sparkSession.sparkContext.broadcast(twice.reshape(-1))
-
-    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = table.value
-        for batch in batches:
-            lists = batch.column("prefix")
-            values, sizes = np.asarray(lists.flatten()), np.asarray(lists.value_lengths())
-            cells = cells_of(values)
-            keep = (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
-            ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(sizes)])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "doc_id", "n")), _lists(values[keep], ends)], names=["node", "doc_id", "n", "prefix"])
-
-    return described.mapInArrow(trim, described.schema)
-
-
-_TOUCHED = pa.schema([("slice", pa.int32()), ("salt", pa.int32()), ("cells", pa.binary()), ("last", pa.bool_())])
-
-
 def _whole_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(node, n, tokens) of the wanted classes (node, doc_id): whole sets, ascending. A repeated id may give a class twice.
 
@@ -312,7 +283,7 @@ def _whole_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in slices(batch.column("text")):
+            for _, texts in slices(batch.column("text"), _TEXT):
                 tokens, at = token_sets(Words(texts, lower=True), shingle)
                 node = _sums(mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)), at).view(np.int64)
                 raw = [tokens[lo:hi].tobytes() for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -324,31 +295,27 @@ def _whole_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return picked.mapInArrow(whole, form).where("n > 0").unionByName(unnamed)
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, firsts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (x, y) that link: close in size, with enough common tokens among the first of the second and of the third order, then by exact intersection.
+def _verified(rows: DataFrame, pairs: DataFrame, described: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (x, y) that link: with enough common tokens among the first of the second and of the third order, then by exact intersection.
 
     Whole sets are made, and moved, only for classes in pairs that pass the filters.
     """
     inside = saved(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "jaccard-inside")
-    known = firsts.join(small(inside), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("second").alias("second"), F.any_value("third").alias("third"))
+    known = described.where("n > 0").join(small(inside), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("second").alias("second"), F.any_value("third").alias("third"))
     known = saved(known, "jaccard-first")
 
     def side(df: DataFrame, name: str, *columns: str) -> DataFrame:
         return df.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
-    def close(x: str, y: str):
-        return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-
-    sized = pairs.join(side(known, "x", "n"), "x").join(side(known, "y", "n"), "y").where(close("x_n", "y_n")).select("x", "y", "x_n", "y_n")
-    some = sized.join(side(known, "x", "second", "third"), "x").join(side(known, "y", "second", "third"), "y")
+    some = pairs.join(side(known, "x", "n", "second", "third"), "x").join(side(known, "y", "n", "second", "third"), "y")
 
     def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = {k: batch.column(k).to_pylist() for k in batch.schema.names}
+            c = {k: batch.column(k) for k in batch.schema.names}
             keep = []
             for i in range(batch.num_rows):
-                least = -(-min(c["x_n"][i], c["y_n"][i]) // _SHARE)
-                keep.append(all(_matches(c[f"x_{k}"][i], c[f"y_{k}"][i]) >= least for k in ("second", "third")))
+                least = -(-min(c["x_n"][i].as_py(), c["y_n"][i].as_py()) // _SHARE)
+                keep.append(all(_matches(c[f"x_{k}"][i].as_py(), c[f"y_{k}"][i].as_py()) >= least for k in ("second", "third")))
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     likely = saved(some.mapInArrow(may, "x long, y long"), "jaccard-likely")
@@ -366,8 +333,8 @@ def _verified(rows: DataFrame, pairs: DataFrame, firsts: DataFrame, shingle: int
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     found = saved(whole.mapInArrow(verify, "x long, y long").distinct(), "jaccard-links")
-    discard(sets)
-    discard(known)
+    for done in (sets, known, likely, inside):
+        discard(done)
     return found
 
 

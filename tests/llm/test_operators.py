@@ -289,9 +289,25 @@ def test_all_links_equal_brute_force(spark):
     for rows, k, percent in ((family(40), 5, 80), (generated(120, 6) + [(1000 + i, *r[1:]) for i, r in enumerate(ODD) if len(r[1] or "") < 1000], 2, 60)):
         got = jaccard.similar_links(spark.createDataFrame(rows, DOCS), shingle=k, percent=percent).collect()
         assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in got), key=repr) == brute_links(rows, k, percent)
-    live = spark.createDataFrame([(t, x, 10) for t in (1, 2) for x in range(60)], "token long, node long, n long")
-    pairs = [tuple(r) for r in jaccard._all_pairs(live, 80, most=7).collect()]
-    assert sorted(pairs) == [(x, y) for x in range(60) for y in range(x + 1, 60)]
+    a, b = (spark.createDataFrame([(t, x) for t in (1, 2) for x in range(60)], f"token long, {side}_node long") for side in "ab")
+    pairs = [tuple(r) for r in jaccard._dealt(a, b, most=7).select("token", "a_node", "b_node").collect()]
+    assert sorted(pairs) == [(t, x, y) for t in (1, 2) for x in range(60) for y in range(60)]
+
+
+def test_near_misses_and_links_of_one_family(spark):
+    """Texts of one origin with 1 to 9 of 200 words changed at random: some pairs link, many just do not, and components are not cliques."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(90):
+        own = list(base)
+        for at in rng.sample(range(200), 1 + i % 9):
+            own[at] = f"new{rng.randrange(40)}"
+        texts.append(" ".join(own))
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    for percent in (80, 85, 90):
+        got = jaccard.similar_groups(spark.createDataFrame(rows, DOCS), shingle=4, percent=percent).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_groups(rows, 4, percent)
 
 
 def test_a_document_without_id_links_others(spark):
