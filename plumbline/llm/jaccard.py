@@ -17,6 +17,8 @@ from .words import Words, mix
 _CELL_BITS, _SLICE_BITS = 24, 18
 #: Bytes of text that a task has in words at a time.
 _TEXT = 2_000_000
+#: Members of a bucket that all others are paired with in a round.
+_PIVOTS = 6
 
 
 def token_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +122,9 @@ def _buckets(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
 
     Prefix tokens stand as their places in the first order, so a token's number tells which comes
     first; `pos` is the token's index in its set's prefix. Equal sets enter once. Tokens that one
-    class only has are dropped by an exact count, whatever the size of the input.
+    class only has are dropped by an exact count, whatever the size of the input, and so are those
+    that come too late in every class that has them: the smaller set of a pair must have the first
+    shared token among its first n - ceil(2 percent n / (100 + percent)) + 1.
     """
     weights = token_weights(docs, text_col, shingle)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -140,7 +144,8 @@ def _buckets(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     weights.unpersist()
     classes = described.where("n > 0").select("node", F.col("n").cast("int").alias("n"), "prefix").dropDuplicates(["node"])
     index = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
+    early = (F.col("n") - F.col("pos")).cast("long") * (100 + percent) >= F.col("n").cast("long") * (2 * percent)
+    shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.max(early.cast("int")).alias("early")).where("m > 1 and early = 1").select("token")
     full = saved(index.join(shared, "token", "left_semi").select("token", "node", "n", "pos"), "jaccard-shared")
     alike = full.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("node").alias("lo"), F.max("node").alias("hi"))
     alike = alike.groupBy("m", "members", "lo", "hi").agg(F.min("token").alias("token"))
@@ -162,6 +167,16 @@ def _side(members: DataFrame, name: str, *more: str) -> DataFrame:
     return members.select("token", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "n", "pos", *more)])
 
 
+def _pivots(members: DataFrame, seed: int) -> DataFrame:
+    """Some members of each bucket, at most _PIVOTS: the least under as many hashes. They are few over all buckets, as buckets that overlap have the same."""
+    hashes = [F.xxhash64("node", F.lit(seed + k)) for k in range(_PIVOTS)]
+    least = members.groupBy("token").agg(*[F.min(h).alias(f"_h{k}") for k, h in enumerate(hashes)])
+    chosen = F.lit(False)
+    for k, h in enumerate(hashes):
+        chosen = chosen | (h == F.col(f"_h{k}"))
+    return members.join(least, "token").where(chosen).select(*members.columns)
+
+
 def _unordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a_node", "b_node").alias("x"), F.greatest("a_node", "b_node").alias("y")).distinct()
 
@@ -182,9 +197,9 @@ def similar_groups(
     Words are lower-cased (A-Z). Documents with equal sets form one class first. A class enters the
     buckets of its prefix tokens under the first global order, in which tokens that are common in
     the corpus come last; buckets with the same members count once. Only connectivity is needed,
-    so a bucket is not expanded into all its pairs: first its members are paired with two of them,
+    so a bucket is not expanded into all its pairs: first its members are paired with six of them,
     and after the links found were joined into components, the members outside a bucket's largest
-    component are paired with one of it (`rounds` - 2 times, while much is left), and last with
+    component are paired with six of it (`rounds` - 2 times, while much is left), and last with
     every member of another component. The place of the shared token in both prefixes bounds what
     can follow, which ends most pairs before they are made. Pairs must also share prefix tokens
     under a second and a third order; what remains is verified on the whole sets, so every link
@@ -198,9 +213,7 @@ def similar_groups(
     table gives an empty result. Other columns are not read. Sets are identified by 64-bit hashes.
     """
     rows, described, live = _buckets(docs, id_col, text_col, shingle, percent)
-    ends = live.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    pivots = live.join(ends, "token").where("node = lo or node = hi").select("token", "node", "n", "pos")
-    pairs = _unordered(_side(live, "a").join(_side(pivots, "b"), "token").where(_close(percent) & (F.col("a_node") != F.col("b_node"))))
+    pairs = _unordered(_side(live, "a").join(_side(_pivots(live, 0), "b"), "token").where(_close(percent) & (F.col("a_node") != F.col("b_node"))))
     tried = joined = None
     for turn in range(rounds):
         pairs = saved(pairs, "jaccard-pairs")
@@ -220,8 +233,7 @@ def similar_groups(
         inside = inside.join(most.select("token", "main"), "token")
         rest, main = inside.where("component <> main"), inside.where("component = main")
         if turn < rounds - 2 and due > 4 * left + 1_000_000:
-            named = main.groupBy("token").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
-            pairs = _side(rest, "a").join(_side(main.join(named, ["token", "node"], "left_semi"), "b"), "token").where(_close(percent))
+            pairs = _side(rest, "a").join(_side(_pivots(main.select("token", "node", "n", "pos"), 100 * (turn + 1)), "b"), "token").where(_close(percent))
         else:
             rounds = turn + 2
             both = _dealt(_side(rest, "a", "component"), _side(inside, "b", "component", "main"), 4096)
