@@ -168,12 +168,20 @@ def _side(members: DataFrame, name: str, *more: str) -> DataFrame:
 
 
 def _pivots(members: DataFrame, seed: int) -> DataFrame:
-    """Some members of each bucket, at most _PIVOTS: the least under as many hashes. They are few over all buckets, as buckets that overlap have the same."""
-    hashes = [F.xxhash64("node", F.lit(seed + k)) for k in range(_PIVOTS)]
-    least = members.groupBy("token").agg(*[F.min(h).alias(f"_h{k}") for k, h in enumerate(hashes)])
+    """Some members of each bucket, at most _PIVOTS, that are likely to link with the others and few over all buckets.
+
+    Half of them have the bucket's token earliest in their prefix (under as many hashes), so they
+    have the least that is rarer than what the bucket shares: in a family of near copies those
+    closest to its origin. The others are the least under a hash, which are the same in buckets that overlap.
+    """
+    def key(k: int) -> Column:
+        h = F.xxhash64("node", F.lit(seed + k))
+        return F.shiftleft(F.col("pos").cast("long"), 40) + F.shiftrightunsigned(h, 24) if k < _PIVOTS // 2 else h
+
+    least = members.groupBy("token").agg(*[F.min(key(k)).alias(f"_h{k}") for k in range(_PIVOTS)])
     chosen = F.lit(False)
-    for k, h in enumerate(hashes):
-        chosen = chosen | (h == F.col(f"_h{k}"))
+    for k in range(_PIVOTS):
+        chosen = chosen | (key(k) == F.col(f"_h{k}"))
     return members.join(least, "token").where(chosen).select(*members.columns)
 
 
@@ -199,7 +207,7 @@ def similar_groups(
     the corpus come last; buckets with the same members count once. Only connectivity is needed,
     so a bucket is not expanded into all its pairs: first its members are paired with six of them,
     and after the links found were joined into components, the members outside a bucket's largest
-    component are paired with six of it (`rounds` - 2 times, while much is left), and last with
+    component are paired with six of it (up to `rounds` - 2 times, while very many pairs are left), and last with
     every member of another component. The place of the shared token in both prefixes bounds what
     can follow, which ends most pairs before they are made. Pairs must also share prefix tokens
     under a second and a third order; what remains is verified on the whole sets, so every link
@@ -232,7 +240,7 @@ def similar_groups(
             break
         inside = inside.join(most.select("token", "main"), "token")
         rest, main = inside.where("component <> main"), inside.where("component = main")
-        if turn < rounds - 2 and due > 4 * left + 1_000_000:
+        if turn < rounds - 2 and due > 1000 * left + 10_000_000:
             pairs = _side(rest, "a").join(_side(_pivots(main.select("token", "node", "n", "pos"), 100 * (turn + 1)), "b"), "token").where(_close(percent))
         else:
             rounds = turn + 2
