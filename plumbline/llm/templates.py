@@ -102,7 +102,7 @@ def _windows_of(rows: DataFrame, lengths: list[int] | None, window: int, wanted:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, texts in slices(batch.column("text")):
+            for lo, texts in slices(batch.column("text"), 1_000_000):
                 ids = batch.column("id").slice(lo, len(texts))
                 t = Templates(texts)
                 count = np.diff(t.first)
