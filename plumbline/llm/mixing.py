@@ -44,28 +44,40 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...], share: float, ca
     )
 
 
-def block_seats(targets: DataFrame, block: int) -> DataFrame:
-    """Blocks of `block` words for each source: the highest quotients target / (2 seats + 1) win.
+def highest_quotients(rows: DataFrame, keys: tuple[str, ...], target: str, house: Column, most: int | None = None, limit: Column | None = None) -> DataFrame:
+    """Adds `seats`: of each key's house the highest quotients target / (2 seats + 1) win; ties to the smaller `place`.
 
-    The house has sum(target) / block seats, rounded. Rounding target / block gives the seats whose
-    quotient passes the common divisor; the few that are over or missing (about the root of the
-    number of sources) are settled by ranking quotients. Adds `seats`.
+    `base` is each row's rounded share, which has the seats whose quotient passes the common
+    divisor. The seats over or missing (about the root of the number of rows) are settled by ranking
+    quotients, of up to `most` seats a row; `limit` is the most that a row can take. The seats of a key
+    add up to its house, except where the limits leave too few.
     """
-    everything = Window.partitionBy(F.lit(1))
-    first = targets.withColumn("base", F.floor(F.col("target") / block + 0.5).cast("long")).withColumn(
-        "due", (F.floor(F.sum("target").over(everything) / block + 0.5) - F.sum("base").over(everything)).cast("long")
-    )
+    every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    first = rows.withColumn("due", (house - F.sum("base").over(every)).cast("long"))
     n = F.abs("due")
-    step = F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("j")
-    candidates = first.where(n > 0).select("place", "due", "target", "base", step)
+    tried = n if most is None else F.least(n, F.lit(most).cast("long"))
+    candidates = first.where(n > 0).select(*keys, "place", "due", target, "base", *([limit.alias("_limit")] if limit is not None else []), F.explode(F.sequence(F.lit(0).cast("long"), tried - 1)).alias("j"))
     seat = F.when(F.col("due") > 0, F.col("base") + F.col("j")).otherwise(F.col("base") - 1 - F.col("j"))
-    candidates = candidates.withColumn("seat", seat).where("seat >= 0").withColumn("quotient", F.col("target") / (F.col("seat") * 2 + 1))
-    best = Window.orderBy(F.when(F.col("due") > 0, -F.col("quotient")).otherwise(F.col("quotient")), "place", "j")
-    moved = (
-        candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.abs("due"))
-        .groupBy("place").agg(F.sum(F.signum("due").cast("long")).alias("moved"))
-    )
-    return first.join(moved, "place", "left").withColumn("seats", F.col("base") + F.coalesce("moved", F.lit(0))).drop("base", "due", "moved")
+    candidates = candidates.withColumn("seat", seat).where("seat >= 0").withColumn("quotient", F.col(target) / (F.col("seat") * 2 + 1))
+    if limit is not None:
+        candidates = candidates.where((F.col("due") < 0) | (F.col("seat") < F.col("_limit")))
+    best = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy(F.when(F.col("due") > 0, -F.col("quotient")).otherwise(F.col("quotient")), "place", "j")
+    moved = candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.abs("due")).groupBy(*keys, "place").agg(F.sum(F.signum("due").cast("long")).alias("moved"))
+    return first.join(moved, [*keys, "place"], "left").withColumn("seats", F.col("base") + F.coalesce("moved", F.lit(0))).drop("base", "due", "moved")
+
+
+def block_seats(targets: DataFrame, block: int) -> DataFrame:
+    """Blocks of `block` words for each source, out of a house of sum(target) / block seats, rounded. Adds `seats`. The rows are sources, a dimension."""
+    rows = targets.withColumn("base", F.floor(F.col("target") / block + 0.5).cast("long"))
+    return highest_quotients(rows, (), "target", F.floor(F.sum("target").over(Window.partitionBy(F.lit(1))) / block + 0.5))
+
+
+def shard_quotas(lengths: DataFrame, block: int, cap: int) -> DataFrame:
+    """(source_place, place, length, blocks, seats) of each source's shards (source_place, place, length, source_seats, source_size): the source's seats go to its shards by the same rule, so that quotas add up to it; a shard gives each of its blocks `cap` times at most."""
+    rows = lengths.withColumn("blocks", F.greatest(F.ceil(F.col("length") / block), F.lit(1)).cast("long"))
+    share = F.col("source_seats") * F.col("length") / F.greatest(F.col("source_size"), F.lit(1))
+    rows = rows.withColumn("base", F.least(F.floor(share + 0.5).cast("long"), F.col("blocks") * cap))
+    return highest_quotients(rows, ("source_place",), "length", F.col("source_seats"), 3, F.col("blocks") * cap).select("source_place", "place", "length", "blocks", "seats")
 
 
 def mix_sources(
@@ -76,7 +88,7 @@ def mix_sources(
 
     Every source's documents are dealt by a seeded hash to shards of about `docs_per_shard`
     documents, so that a source with a third of all rows is spread over many tasks. A source's
-    seats go to its shards by the same divisor rule, as integer quotas. Within a shard documents
+    seats go to its shards by the same rule, as integer quotas that add up to them. Within a shard documents
     follow a seeded order and their words form blocks of `block` words; a quota of q over n blocks
     takes every block q // n times and the first q % n blocks once more.
 
@@ -97,14 +109,11 @@ def mix_sources(
         .withColumn("place_in", place)
         .withColumn("shard", F.conv(F.substring("place_in", 1, 8), 16, 10).cast("long") % F.col("n_shards"))
     )
-    stream = Window.partitionBy("place", "shard")
-    order = stream.orderBy("place_in", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("stop", F.sum("size").over(order)).withColumn("length", F.sum("size").over(stream))
+    lengths = rows.groupBy(F.col("place").alias("source_place"), F.col("shard").alias("place")).agg(F.sum("size").alias("length"), F.first("seats").alias("source_seats"), F.first("source_size").alias("source_size"))
+    quotas = small(shard_quotas(lengths, block, cap).select(F.col("source_place").alias("q_source"), F.col("place").alias("q_shard"), "blocks", F.col("seats").alias("quota")))
+    order = Window.partitionBy("place", "shard").orderBy("place_in", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("stop", F.sum("size").over(order)).join(quotas, (F.col("place") == F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
     start = F.col("stop") - F.col("size")
-    quota = F.floor(F.col("seats") * F.col("length") / F.greatest(F.col("source_size"), F.lit(1)) + 0.5)
-    blocks = F.greatest(F.ceil(F.col("length") / block), F.lit(1))
-    quota = F.least(quota, blocks * cap).cast("long")
-    rows = rows.withColumn("blocks", blocks.cast("long")).withColumn("quota", quota)
     times, more = F.floor(F.col("quota") / F.col("blocks")), (F.col("quota") % F.col("blocks")) * block
     part = F.greatest(F.lit(0), F.least(F.col("stop"), more) - start)
     return rows.select(
@@ -113,15 +122,15 @@ def mix_sources(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document the mix takes words of, repeated as often as it is taken (at least once).
+    """The mix itself: every document repeated as often as the mix takes it, to the nearest whole number.
 
-    Same columns as `docs`. Documents of which the mix takes no word go.
+    Same columns as `docs`. Documents of which the mix takes less than half their words go: a quota ends inside one document of each shard.
     """
     id_col = options.get("id_col", "doc_id")
     taken = mix_sources(docs, **options)
-    copies = F.greatest(F.lit(1), F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     # repeated ids: one decision for each id, by the sum of what its rows take
-    taken = taken.groupBy(F.col(id_col).alias("_id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).where("taken > 0").select("_id", copies.alias("_copies"))
+    taken = taken.groupBy(F.col(id_col).alias("_id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).where("taken > 0").select("_id", copies.alias("_copies")).where("_copies > 0")
     taken = small(taken)
     kept = docs.join(taken, docs[id_col].eqNullSafe(taken["_id"]))
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])

@@ -136,15 +136,26 @@ ORACLE_SQL: dict[str, str] = {
             SELECT d.doc_id, d.size, p.source_size, p.target, p.seats, p.place, d.place_in,
                    CAST(('0x' || substr(place_in, 1, 8)) AS BIGINT) % n_shards AS shard
             FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+        h AS (
+            SELECT *, greatest(CAST(ceil(length / 16) AS BIGINT), 1) AS blocks
+            FROM (SELECT place, shard, sum(size) AS length, any_value(seats) AS seats, any_value(source_size) AS source_size FROM x GROUP BY place, shard)),
+        y AS (
+            SELECT *, CAST(seats - sum(base) OVER (PARTITION BY place) AS BIGINT) AS due
+            FROM (SELECT *, least(CAST(floor(CAST(seats * length AS DOUBLE) / greatest(source_size, 1) + 0.5::DOUBLE) AS BIGINT), blocks * 2) AS base FROM h)),
+        z AS (
+            SELECT place, shard, due, length, blocks, j, CASE WHEN due > 0 THEN base + j ELSE base - 1 - j END AS seat
+            FROM y, LATERAL (SELECT unnest(range(least(abs(due), 3))) AS j)),
+        u AS (
+            SELECT place, shard, sign(due) AS step, abs(due) AS n,
+                   row_number() OVER (PARTITION BY place ORDER BY CASE WHEN due > 0 THEN -(length / (seat * 2 + 1)) ELSE length / (seat * 2 + 1) END, shard, j) AS r
+            FROM z WHERE seat >= 0 AND (due < 0 OR seat < blocks * 2)),
+        v AS (SELECT place, shard, CAST(sum(step) AS BIGINT) AS moved FROM u WHERE r <= n GROUP BY place, shard),
         s AS (
-            SELECT *, sum(size) OVER (PARTITION BY place, shard ORDER BY place_in, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop,
-                   sum(size) OVER (PARTITION BY place, shard) AS length
+            SELECT *, sum(size) OVER (PARTITION BY place, shard ORDER BY place_in, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop
             FROM x),
-        n AS (
-            SELECT *, greatest(CAST(ceil(length / 16) AS BIGINT), 1) AS blocks,
-                   CAST(floor(CAST(seats * length AS DOUBLE) / greatest(source_size, 1) + 0.5::DOUBLE) AS BIGINT) AS wanted
-            FROM s),
-        o AS (SELECT *, least(wanted, blocks * 2) AS quota FROM n)
+        o AS (
+            SELECT s.*, y.blocks, y.base + coalesce(v.moved, 0) AS quota
+            FROM s JOIN y ON y.place = s.place AND y.shard = s.shard LEFT JOIN v ON v.place = s.place AND v.shard = s.shard)
         SELECT doc_id, size, source_size, target,
                CAST(quota // blocks * size + greatest(0, least(stop, quota % blocks * 16) - (stop - size)) AS BIGINT) AS taken
         FROM o
