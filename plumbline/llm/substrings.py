@@ -73,12 +73,14 @@ class Sketch:
 
 def remove_repeats(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20,
-    chunk_mb: float | None = None, depth: int = 2, load: float = 4.0, part_bits: int = 22,
+    chunk_mb: float = 4.0, depth: int = 2, load: float = 4.0, part_bits: int = 22,
 ) -> DataFrame:
     """Removes each word covered by a window of `window` words whose sequence also starts earlier.
 
     Earlier is a smaller id, or the same document and an earlier start. Whole texts move once,
-    compressed, in chunks by a hash of the id, and all passes read that one exchange:
+    compressed, in chunks of about `chunk_mb` by a hash of the id, the same at every size, and all
+    passes read that one exchange. A chunk sends each of its windows once at most, whatever the
+    number of parts:
 
     1. each chunk sends the cells that its windows touch in a count-min sketch, as sorted gaps, to
        the part of the sketch that holds them; merged parts answer with one bit a cell. The sketch's
@@ -95,7 +97,6 @@ def remove_repeats(
     id are ordered by their text. An empty table gives an empty result. Other columns are not read.
     """
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    chunk_mb = chunk_mb or min(64.0, max(4.0, total / 1e9))
     chunks = max(1, round(total / (chunk_mb * 1e6)))
     sketch = Sketch(total / 6, depth, load, part_bits)
     group_bits = max(0, sketch.bits - 22)  # parts of the exact grouping

@@ -104,6 +104,19 @@ def test_seats_are_the_highest_quotients(spark):
     assert got == {s: sum(x == s for _, x in quotients) for s in "abcd"}
 
 
+def test_quotas_of_many_shards_add_up(spark):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, "w " * rng.randrange(1, 90), "en", "abc"[min(2, i % 5)], 1) for i in range(4000)], DOCS)
+    for per in (16, 100, 1024):
+        got = mixing.mix_sources(docs, docs_per_shard=per).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+        shards = {r.source: -(-r.n // per) for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+        # a source is at most a seat from its target, and a shard's last block may be short
+        assert all(abs(r.taken - r.target) <= 16 + 16 * 2 * shards[r.source] for r in got)
+        quotas = mixing.shard_quotas(spark.createDataFrame([(s, k, rng.randrange(1, 5000), seats, 0) for s, seats in ((1, 911), (2, 3)) for k in range(80)], "source_place int, place int, length long, source_seats long, source_size long")
+                                     .withColumn("source_size", F.expr("sum(length) over (partition by source_place)")), 16, 2)
+        assert {r.source_place: r.n for r in quotas.groupBy("source_place").agg(F.sum("seats").alias("n")).collect()} == {1: 911, 2: 3}
+
+
 # ---- sharding
 
 
@@ -352,10 +365,10 @@ def brute_repeats(rows, k):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("k", "chunk_mb", "depth"), [(20, None, 2), (5, 0.002, 2), (3, 0.0005, 1)])
+@pytest.mark.parametrize(("k", "chunk_mb", "depth"), [(20, 4.0, 2), (5, 0.002, 2), (3, 0.0005, 1)])
 def test_repeats_equal_brute_force(spark, k, chunk_mb, depth):
     rows = generated(120, 8, 25) + [(1000 + (i or 0), t, *r) for i, t, *r in ODD]
-    got = substrings.remove_repeats(spark.createDataFrame(rows, DOCS), window=k, chunk_mb=chunk_mb, depth=depth, part_bits=6 if chunk_mb else 22)
+    got = substrings.remove_repeats(spark.createDataFrame(rows, DOCS), window=k, chunk_mb=chunk_mb, depth=depth, part_bits=6 if chunk_mb < 1 else 22)
     assert sorted(map(tuple, got.collect()), key=repr) == brute_repeats(rows, k)
 
 
