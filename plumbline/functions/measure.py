@@ -74,6 +74,38 @@ def observed_sigma(sd: Column, n: Column, bias: Column, height: Column, coverage
     return rss(base, (F.lit(1.0) - coverage) * penalty)
 
 
+def plane_state(n: Column, height: Column) -> Column:
+    """`unseen`, `occluded` (seen below 1.6 only: it may be furniture) or `wall`."""
+    return F.when(n.isNull() | (n == 0), "unseen").when(height < 1.6, "occluded").otherwise("wall")
+
+
+def ceiling_height(value: Column, ceiling_sd: Column, ceiling_n: Column, floor_sd: Column, floor_n: Column, bias: Column, scale: Column) -> Column:
+    """The height between two fitted planes: both fits, the bias of two planes and the scale, kept as a budget."""
+    fit = rss(plane_sigma(ceiling_sd, ceiling_n, F.lit(0.0)), plane_sigma(floor_sd, floor_n, F.lit(0.0)))
+    terms = {"fit": fit, "plane_bias": bias * F.sqrt(F.lit(2.0)), "scale": value * scale}
+    budget = F.create_map(*[x for k, v in terms.items() for x in (F.lit(k), v.cast("double"))])
+    return measurement(value, rss(*terms.values()), "m", "ceiling plane - floor plane", budget)
+
+
+def surface_area(kind: Column, length: Column, length_sigma: Column, height: Column, height_sigma: Column, room_area: Column, room_sigma: Column) -> tuple[Column, Column]:
+    """Area and sigma of a surface: length times height of a wall, the room's own area of a floor or ceiling."""
+    wall = product(length, length_sigma, height, height_sigma)
+    return F.when(kind == "wall", wall["value"]).otherwise(room_area), F.when(kind == "wall", wall["sigma"]).otherwise(room_sigma)
+
+
+def damage_sigmas(distance: Column, width: Column, height: Column, absolute: float = 0.01, relative: float = 0.01) -> tuple[Column, Column]:
+    """Sigmas of a damage region's depth, by its distance, and of its border, by its smaller extent."""
+    return F.lit(absolute) + F.lit(relative) * distance, F.greatest(F.lit(0.015), F.lit(0.03) * F.least(width, height))
+
+
+def millimetres(metres: Column) -> Column:
+    return F.round(metres * 1000, 1)
+
+
+def percent(part: Column, whole: Column) -> Column:
+    return F.round(part / whole * 100, 2)
+
+
 def ceiling_prior(p995: Column, n: Column) -> tuple[Column, Column]:
     """Value and sigma of an unobserved ceiling from the highest points below it."""
     low = F.when(n <= 50, F.lit(2.2)).otherwise(F.greatest(p995, F.lit(2.0)))

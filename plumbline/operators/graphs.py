@@ -44,11 +44,41 @@ def chain_ratios(forest: DataFrame, roots: DataFrame, ratio: str) -> DataFrame:
         known = cut(known.unionByName(front))
 
 
+def chain_scales(forest: DataFrame, roots: DataFrame, ratio: str, edge: tuple[float, float] = (0.25, 4.0), chained: tuple[float, float] = (0.3, 3.0)) -> DataFrame:
+    """chain_ratios over the edges with a plausible ratio; a chained value that is not plausible counts as 1."""
+    plausible = forest.where(F.col(ratio).between(*edge))
+    return chain_ratios(plausible, roots, ratio).withColumn("value", F.when(F.col("value").between(*chained), F.col("value")).otherwise(1.0))
+
+
 def smooth_chain(df: DataFrame, keys: tuple[str, ...], order: str, measured: str, weight: str, lam: float) -> DataFrame:
-    """Adds `x`: the values that balance weighted measurements against the curvature of the chain. A key's chunks (about one a metre) are one group; its system is solved as a band."""
+    """Adds `x`: the values that balance weighted measurements against the curvature of the chain.
+
+    A key's chunks (about one a metre of path) are one group. The system has five diagonals and is solved as a band, in steps as many as chunks.
+    """
     import numpy as np
     import pandas as pd
 
+    def banded(d0: np.ndarray, d1: np.ndarray, d2: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of a symmetric matrix with diagonals d0, d1 (next) and d2 (after next), by its factors L D L'."""
+        k = len(d0)
+        d, e, f = d0.tolist(), d1.tolist(), d2.tolist()
+        y = b.tolist()
+        for i in range(k):
+            if i + 1 < k:
+                l1 = e[i] / d[i]
+                d[i + 1] -= l1 * e[i]
+                y[i + 1] -= l1 * y[i]
+                if i + 2 < k:
+                    l2 = f[i] / d[i]
+                    e[i + 1] -= l2 * e[i]
+                    d[i + 2] -= l2 * f[i]
+                    y[i + 2] -= l2 * y[i]
+        x = [0.0] * k
+        for i in reversed(range(k)):
+            later = (e[i] * x[i + 1] if i + 1 < k else 0.0) + (f[i] * x[i + 2] if i + 2 < k else 0.0)
+            x[i] = (y[i] - later) / d[i]
+        return np.array(x)
+
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
         m, w = rows[measured].to_numpy(float), rows[weight].to_numpy(float)
@@ -58,10 +88,13 @@ def smooth_chain(df: DataFrame, keys: tuple[str, ...], order: str, measured: str
         elif k == 2:
             x = np.where(w > 0, m, np.average(m, weights=w + 1e-9))
         else:
-            d = np.zeros((k - 2, k))
-            i = np.arange(k - 2)
-            d[i, i], d[i, i + 1], d[i, i + 2] = 1, -2, 1
-            x = np.linalg.solve(np.diag(w + 1e-9) + lam * d.T @ d, w * m)
+            d0, d1, d2 = np.zeros(k), np.zeros(k - 1), np.zeros(k - 2)
+            for at, v in ((0, 1.0), (1, 4.0), (2, 1.0)):  # each second difference adds (1, -2, 1) times itself
+                d0[at : k - 2 + at] += v
+            for at in (0, 1):
+                d1[at : k - 2 + at] -= 2.0
+            d2 += 1.0
+            x = banded(w + 1e-9 + lam * d0, lam * d1, lam * d2, w * m)
         return rows.assign(x=x)
 
     return df.groupBy(*keys).applyInPandas(solve, f"{', '.join(f'{c} {t}' for c, t in df.dtypes)}, x double")

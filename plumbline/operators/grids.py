@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CROSS = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
@@ -13,9 +13,12 @@ SQUARE = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
 
 
 def shared_dir(spark) -> str:
-    """The cluster's shared folder for steps of a loop; a temporary one only where it is unset."""
+    """The cluster's shared folder for steps of a loop (spark.checkpoint.dir). Where it is unset a local session gets a temporary one; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -86,14 +89,21 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds a running number from 1 in the given order. Rows are numbered in ranges, to which the counts of the ranges before are added, so no task has all rows."""
+    ranges = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over ranges, as many as partitions
+    offsets = ranges.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return ranges.join(F.broadcast(offsets), "_part").withColumn(name, number).drop("_part", "_before")
+
+
 def label_components(cells: DataFrame) -> DataFrame:
     """(i, j, label): 4-connected components, numbered by their first cell in raster order."""
     ident = F.shiftleft(F.col("i").cast("long") + F.lit(1 << 30), 32) + (F.col("j").cast("long") + F.lit(1 << 30))
     own = cells.select("i", "j", ident.alias("node")).distinct()
     found = components(own, cell_edges(cells))
-    from pyspark.sql import Window
-
-    names = found.select("component").distinct().withColumn("label", F.row_number().over(Window.orderBy("component")))
+    names = numbered(found.select("component").distinct(), ["component"], "label").withColumn("label", F.col("label").cast("int"))
     return own.join(found, "node").join(names, "component").select("i", "j", "label")
 
 
@@ -110,6 +120,17 @@ def grow(markers: DataFrame, domain: DataFrame) -> DataFrame:
         labels = cut(labels.unionByName(fresh))
 
 
+def component_stats(labels: DataFrame, res: float) -> DataFrame:
+    """(label, area, wall_share) of labelled cells (i, j, label, barrier)."""
+    return labels.groupBy("label").agg((F.count(F.lit(1)) * res * res).alias("area"), F.avg(F.col("barrier").cast("double")).alias("wall_share"))
+
+
+def marked_largest(stats: DataFrame) -> DataFrame:
+    """Adds `largest`: the label with the most area, the least of equals. One row is sent to all."""
+    best = stats.agg(F.max_by("label", F.struct("area", -F.col("label"))).alias("_best"))
+    return stats.crossJoin(F.broadcast(best)).withColumn("largest", F.col("label") == F.col("_best")).drop("_best")
+
+
 def boundary_lengths(labels: DataFrame) -> DataFrame:
     """(a, b, n): neighbouring cell pairs between two labels, for each unordered pair of labels."""
     steps = F.array(F.struct(F.lit(1).alias("a"), F.lit(0).alias("b")), F.struct(F.lit(0).alias("a"), F.lit(1).alias("b")))
@@ -120,8 +141,6 @@ def boundary_lengths(labels: DataFrame) -> DataFrame:
 
 def window_mode(labels: DataFrame, at: DataFrame, reach: int = 3) -> DataFrame:
     """(i, j, label): the commonest label in the square around each asked cell; of equals the least."""
-    from pyspark.sql import Window
-
     square = [(a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]
     asked = at.select("i", "j").distinct().select("i", "j", F.explode(_offsets(square)).alias("d"))
     near = asked.select(F.col("i").alias("ai"), F.col("j").alias("aj"), (F.col("i") + F.col("d.a")).alias("i"), (F.col("j") + F.col("d.b")).alias("j")).join(labels, ["i", "j"])

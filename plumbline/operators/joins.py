@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,7 +114,3 @@ def best_per_pair(rows: DataFrame, a: str, b: str, weight: str, tie: list[str])
     w = Window.partitionBy(lo, hi).orderBy(F.desc(weight), *tie)
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
-
-def reduce_groups(df: DataFrame, keys: tuple[str, ...], fn: Callable, schema: str) -> DataFrame:
-    """An ordered computation for each small group."""
-    return df.groupBy(*keys).applyInPandas(fn, schema)

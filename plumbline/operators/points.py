@@ -95,5 +95,31 @@ def capped_rays(rays: DataFrame, frame: str, ident: str, most: int = 400, seed:
     """At most `most` rays of each frame, by a seeded hash: the sampling operator of the carving step."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy(frame).orderBy(F.xxhash64(F.col(ident), F.lit(seed)), ident)
+    order = Window.partitionBy(frame).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string"))), ident)
     return rays.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
+
+
+def band_counts(points: DataFrame, height: Column, ny: Column, top: Column) -> DataFrame:
+    """One row: points by orientation (vertical, floor, ceiling, horizontal normals) and in the two height bands of walls under `top`."""
+    vertical = F.abs(ny) < 0.3
+    return points.agg(
+        F.count_if(vertical).alias("vertical"), F.count_if((ny > 0.85) & (F.abs(height) < 0.04)).alias("floor"), F.count_if(ny < -0.85).alias("ceiling"), F.count_if(F.abs(ny) < 0.2).alias("horizontal"),
+        F.count_if(vertical & (height > 1.25) & (height < F.least(F.lit(1.95), top - 0.15))).alias("wall_hi"), F.count_if(vertical & (height > 0.1) & (height < top - 0.1)).alias("wall_any"))
+
+
+def projected(x: Column, y: Column, z: Column, fx: Column, fy: Column, cx: Column, cy: Column) -> tuple[Column, Column]:
+    """Pixel of a camera point; null behind the camera."""
+    front = z > 1e-6
+    return F.when(front, x / z * fx + cx), F.when(front, y / z * fy + cy)
+
+
+def gravity(normals: DataFrame, keys: tuple[str, ...], steps: int = 10, near: float = 0.85) -> DataFrame:
+    """(keys, gx, gy, gz, n): the mean direction of the normals within `near` of it, signs aligned, from straight up on in `steps` rounds. Each round is one aggregation."""
+    up = normals.select(*keys).distinct().select(*keys, F.lit(0.0).alias("gx"), F.lit(1.0).alias("gy"), F.lit(0.0).alias("gz"))
+    for _ in range(steps):
+        dot = F.col("nx") * F.col("gx") + F.col("ny") * F.col("gy") + F.col("nz") * F.col("gz")
+        rows = normals.select(*keys, "nx", "ny", "nz").join(up.select(*keys, "gx", "gy", "gz"), list(keys)).withColumn("_d", dot).where(F.abs("_d") > near)
+        sums = rows.groupBy(*keys).agg(*[F.sum(F.signum("_d") * F.col(f"n{c}")).alias(f"_{c}") for c in "xyz"], F.count(F.lit(1)).alias("n"))
+        size = F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y") + F.col("_z") * F.col("_z"))
+        up = sums.select(*keys, *[(F.col(f"_{c}") / size).alias(f"g{c}") for c in "xyz"], "n")
+    return up

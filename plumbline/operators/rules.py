@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.measure import rss
-from .grids import cut
+from .grids import numbered
 
 
 @dataclass(frozen=True)
@@ -60,6 +60,19 @@ SCOPE_RULES = [
 ]
 
 
+def load_rules(spark: SparkSession, path: str, columns: list[str]) -> list[Rule]:
+    """Rules (id, condition, severity) of a JSON lines file, in order of id. A condition that is not SQL over `columns`, or a repeated id, is an error when they are loaded."""
+    rows = spark.read.schema("id string, condition string, severity string").json(path).orderBy("id").collect()  # a rule book, some tens of rows
+    rules = [Rule(r.id, r.condition, r.severity) for r in rows]
+    if len({r.id for r in rules}) < len(rules) or any(None in (r.id, r.condition, r.severity) for r in rules):
+        raise ValueError(f"rules of {path} need ids of their own, a condition and a severity")
+    empty = spark.createDataFrame([], ", ".join(columns))
+    for r in rules:
+        if dict(empty.select(F.expr(r.condition).alias("fits")).dtypes)["fits"] != "boolean":
+            raise ValueError(f"rule {r.id} is no condition")
+    return rules
+
+
 def with_context(regions: DataFrame) -> DataFrame:
     """Adds what the conditions speak of: length, nearness to the ceiling, a wet room and an opening's corner (walls only)."""
     return regions.withColumns({
@@ -74,12 +87,8 @@ def region_flags(regions: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def numbered_flags(flags: DataFrame, prefix: str = "concealed") -> DataFrame:
-    """Adds `flag_id`: a running number, by region and then by rule, with four digits at least. Flags are numbered in ranges, to which the counts of the ranges before are added."""
-    ranges = cut(flags.repartitionByRange("region_id", "place").withColumn("_part", F.spark_partition_id()))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    number = F.row_number().over(Window.partitionBy("_part").orderBy("region_id", "place")) + F.col("_before")
-    return ranges.join(F.broadcast(offsets), "_part").withColumn("flag_id", F.format_string(f"{prefix}.%04d", number)).drop("_part", "_before")
+    """Adds `flag_id`: a running number, by region and then by rule, with four digits at least."""
+    return numbered(flags, ["region_id", "place"], "_k").withColumn("flag_id", F.format_string(f"{prefix}.%04d", "_k")).drop("_k")
 
 
 def pair_flags(regions: DataFrame, rule: Rule, cell: float, most: int | None = None) -> DataFrame:

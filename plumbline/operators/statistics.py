@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_percentiles
+
 #: The published threshold grid.
 GRID = {
     "min_score": [0.22, 0.24, 0.26, 0.28, 0.30, 0.32, 0.34, 0.36, 0.38, 0.40, 0.42, 0.46, 0.50],
@@ -15,14 +17,15 @@ GRID = {
 
 
 def wall_statistics(df: DataFrame, keys: tuple[str, ...], diff: str, length: str, sigma: str, absolute: float, relative: float) -> DataFrame:
-    """Errors in millimetres and percent, calibration by z and by interval, and the share within either tolerance; one aggregation."""
+    """Errors in millimetres and percent, calibration by z and by interval, and the share within either tolerance. Percentiles are exact and bracketed by a sketch."""
     e = F.abs(F.col(diff))
     z = F.col(diff) / F.col(sigma)
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 3)
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.percentile(e, 0.5) * 1000, 1).alias("median_abs_mm"), F.round(F.percentile(e, 0.9) * 1000, 1).alias("p90_abs_mm"),
-        F.round(F.percentile(e / F.col(length), 0.5) * 100, 2).alias("median_abs_pct"), F.round(F.sqrt(F.avg(z * z)), 2).alias("z_rms"),
-        share(e <= F.col(sigma) * 1.96).alias("ci95_coverage"), share((e <= absolute) | (e <= F.col(length) * relative)).alias("pass_rate"))
+    sums = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.avg(z * z)), 2).alias("z_rms"), share(e <= F.col(sigma) * 1.96).alias("ci95_coverage"), share((e <= absolute) | (e <= F.col(length) * relative)).alias("pass_rate"))
+    errors = exact_percentiles(df.select(*keys, e.alias("e")), keys, "e", [0.5, 0.9]).select(*keys, F.round(F.col("p")[0] * 1000, 1).alias("median_abs_mm"), F.round(F.col("p")[1] * 1000, 1).alias("p90_abs_mm"))
+    parts = exact_percentiles(df.select(*keys, (e / F.col(length)).alias("e")), keys, "e", [0.5]).select(*keys, F.round(F.col("p")[0] * 100, 2).alias("median_abs_pct"))
+    return sums.join(errors, list(keys)).join(parts, list(keys)).select(*keys, "n", "median_abs_mm", "p90_abs_mm", "median_abs_pct", "z_rms", "ci95_coverage", "pass_rate")
 
 
 def opening_score(df: DataFrame, ok: str, n_a: str, n_b: str) -> DataFrame:

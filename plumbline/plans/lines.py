@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import histograms as H
 from ..operators import joins as J
 from ..operators import sequences as S
+from ..operators.grids import cut
 from .levels import KERNEL
 
 SIDE = ("capture", "axis", "sign")
@@ -31,18 +32,18 @@ def wall_lines(points: DataFrame, bin_size: float = 0.01, window: float = 0.035,
     taken; a peak with fewer than `least` points near it still keeps others away. Lines are refitted
     robustly, and only those with a segment stay.
     """
-    rows = facing(points).withColumn("d", F.col("c") - F.col("lo"))
-    smoothed = H.smooth(H.dense_histogram(rows.select(*SIDE, "d"), "d", bin_size, keys=SIDE, anchor=0.0), KERNEL, keys=SIDE)
+    rows = cut(facing(points).withColumn("d", F.col("c") - F.col("lo")))
+    smoothed = H.smooth(H.dense_histogram(rows.select(*SIDE, "d"), "d", bin_size, keys=SIDE, anchor=0.0, pad=4), KERNEL, keys=SIDE)
     found = H.suppress(H.peaks(smoothed, bin_size, F.lit(strong - 1e-9), keys=SIDE), SIDE, apart)
     lows = rows.select(*SIDE, "lo").distinct()
-    found = found.join(lows, list(SIDE)).select(*SIDE, F.col("bin").alias("line"), (F.col("level") + F.col("lo")).alias("guess"))
+    found = cut(found.join(lows, list(SIDE)).select(*SIDE, F.col("bin").alias("line"), (F.col("level") + F.col("lo")).alias("guess")))
     near = J.near_join(rows.select(*SIDE, "c", "t"), found, "c", "guess", window, SIDE).where(F.abs(F.col("c") - F.col("guess")) < window)
     keys = (*SIDE, "line")
     enough = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).drop("_n")
-    near = near.join(enough, list(keys), "left_semi")
+    near = cut(near.join(enough, list(keys), "left_semi"))
     level = H.robust_level(near, "c", "guess", window, keys=keys).withColumnRenamed("level", "c")
-    parts = S.segments(near.select(*keys, "t"), "t", keys, res=0.02).drop("length")
-    return level.join(parts.select(*keys).distinct(), list(keys), "left_semi"), parts
+    parts = cut(S.segments(near.select(*keys, "t"), "t", keys, res=0.02).drop("length"))
+    return cut(level.join(parts.select(*keys).distinct(), list(keys), "left_semi")), parts
 
 
 def wall_gaps(lines: DataFrame, parts: DataFrame, narrow: float = 0.45, wide: float = 4.5, together: float = 0.12, reach: float = 0.25) -> DataFrame:

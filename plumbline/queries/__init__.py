@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import ordered, points, rules, streams
+from . import measures, openings, ordered, points, rules, selection, spaces, streams
 
 FLAGSHIP = "lowest_level"
-QUERIES = points.QUERIES | ordered.QUERIES | rules.QUERIES | streams.QUERIES
-ORACLE_SQL = points.ORACLE_SQL | ordered.ORACLE_SQL | rules.ORACLE_SQL | streams.ORACLE_SQL
+_MODULES = (points, ordered, rules, streams, openings, selection, spaces, measures)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

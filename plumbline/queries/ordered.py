@@ -140,6 +140,13 @@ def chained_scales(spark, d):
     return R.chain_ratios(forest, nodes.where("node = 0"), "ratio").select("node", "hops", *_r(value=F.col("value")))
 
 
+def plausible_scales(spark, d):
+    """Scales along the spanning tree over plausible edges only; what leaves the bounds on the way counts as 1."""
+    nodes = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"))
+    forest = R.spanning_forest(nodes, _nations(spark, d)).withColumn("ratio", 0.2 + (F.col("weight") % 9) / 2.0)
+    return R.chain_scales(forest, nodes.where("node = 0"), "ratio").select("node", "hops", *_r(value=F.col("value")))
+
+
 def smooth_chain(spark, d):
     w = S.path_length(_walk(spark, d), ["x", "z"], ["ts", "event_id"], ("user_id",))
     c = S.path_chunks(w, ["ts", "event_id"], ("user_id",), length=60.0, least=6).groupBy("user_id", "chunk").agg(F.avg("x").alias("m"), F.count(F.lit(1)).cast("double").alias("w"))
@@ -163,11 +170,6 @@ def shoelace(spark, d):
 
 
 def points_in_polygons(spark, d):
-    """Box corners of parts inside the star polygons of a few users."""
-    return _corners_inside(spark, d, _walk(spark, d).where("user_id < 10"))
-
-
-def points_in_polygons_all(spark, d):
     """Box corners of parts inside the star polygons of all users."""
     return _corners_inside(spark, d, _walk(spark, d))
 
@@ -181,7 +183,7 @@ def _corners_inside(spark, d, walk):
 
 def hull_areas(spark, d):
     v = _boxes(spark, d)
-    return X.hull_areas(v, ("p_brand",), "x0", "z0", 1.0).select("p_brand", "area")
+    return X.hull_areas(v, ("p_brand",), "x0", "z0").select("p_brand", "area", "n_hull")
 
 
 def greedy_matches(spark, d):
@@ -195,7 +197,7 @@ def greedy_matches(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     wall_segments, coline_clusters, path_chunks, keyframes, interpolated, median_filter, rank_names, numbered_ids, next_stop, nearest_anchor, overlapping_orders, uncovered_gaps, near_values,
-    nearest_vectors, ratio_match, shared_links, spanning_forest, chained_scales, smooth_chain, union_area, shoelace, points_in_polygons, points_in_polygons_all, hull_areas, greedy_matches)}
+    nearest_vectors, ratio_match, shared_links, spanning_forest, chained_scales, plausible_scales, smooth_chain, union_area, shoelace, points_in_polygons, hull_areas, greedy_matches)}
 
 _WALK = "w AS (SELECT user_id, ts, event_id, value / 10 AS x, hour(ts) / 24.0::DOUBLE AS z FROM events)"
 _PATH = f"""{_WALK},
@@ -212,6 +214,15 @@ _KNN = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOU
     k AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY d2, other) AS INTEGER) AS rank FROM q)"""
 _BOX = """b AS (SELECT p_brand, p_partkey, CAST(CAST(floor(p_retailprice) AS BIGINT) % 97 AS DOUBLE) AS x0, CAST(p_partkey % 89 AS DOUBLE) AS z0,
     CAST(CAST(floor(p_retailprice) AS BIGINT) % 97 AS DOUBLE) + 1 + p_size % 9 AS x1, CAST(p_partkey % 89 AS DOUBLE) + 1 + p_size % 5 AS z1 FROM part)"""
+_KEPT = """w AS (SELECT user_id, ts, event_id, value / 10 AS x, hour(ts) / 24.0::DOUBLE AS z, hour(ts) / 24.0::DOUBLE * 6.0::DOUBLE AS turn, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    r AS (SELECT user_id, ts, event_id, k, x, z, turn, true AS new FROM w WHERE k = 1
+        UNION ALL SELECT w.user_id, w.ts, w.event_id, w.k, CASE WHEN m THEN w.x ELSE r.x END, CASE WHEN m THEN w.z ELSE r.z END, CASE WHEN m THEN w.turn ELSE r.turn END, m
+        FROM r JOIN w ON w.user_id = r.user_id AND w.k = r.k + 1, LATERAL (SELECT sqrt((w.x - r.x) * (w.x - r.x) + (w.z - r.z) * (w.z - r.z)) > 6.0 OR cos(w.turn - r.turn) < cos(radians(60.0)) AS m))"""
+_FOREST = """e AS (SELECT least(c_nationkey, s_nationkey)::BIGINT * 100 + greatest(c_nationkey, s_nationkey) AS edge, least(c_nationkey, s_nationkey)::BIGINT AS x, greatest(c_nationkey, s_nationkey)::BIGINT AS y, count(*) AS weight
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL),
+    b AS (SELECT x AS a, y AS b, edge, weight FROM e UNION ALL SELECT y, x, edge, weight FROM e),
+    t AS (SELECT edge, weight, x AS node, y AS goal FROM e UNION SELECT t.edge, t.weight, b.b, t.goal FROM t JOIN b ON b.a = t.node AND (b.weight > t.weight OR (b.weight = t.weight AND b.edge < t.edge))),
+    f AS (SELECT edge, x, y, weight FROM e WHERE edge NOT IN (SELECT edge FROM t WHERE node = goal))"""
 
 ORACLE_SQL = {
     "wall_segments": """WITH l AS (SELECT event_type, min(value) AS lo FROM events GROUP BY 1),
@@ -257,12 +268,29 @@ ORACLE_SQL = {
         SELECT p_brand, CAST(count(*) AS DOUBLE) AS area FROM g GROUP BY 1""",
     "shoelace": f"""WITH {_WALK}, v AS (SELECT user_id, x, z * 10 AS z, coalesce(lead(x) OVER o, first_value(x) OVER o) AS ax, coalesce(lead(z * 10) OVER o, first_value(z * 10) OVER o) AS az FROM w WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id))
         SELECT user_id, sum(x * az - ax * z) / 2 > 0 AS ccw, round(abs(sum(x * az - ax * z) / 2), 4) AS area, round(sum(sqrt((ax - x) * (ax - x) + (az - z) * (az - z))), 4) AS perimeter FROM v GROUP BY 1""",
-    "points_in_polygons": f"""WITH {_WALK}, {_BOX}, s AS (SELECT user_id, ts, event_id, x * 2 AS x, z * 80 AS z FROM w WHERE user_id < 10),
-        e AS (SELECT user_id, x AS x1, z AS z1, coalesce(lead(x) OVER o, first_value(x) OVER o) AS x2, coalesce(lead(z) OVER o, first_value(z) OVER o) AS z2 FROM s WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
-        p AS (SELECT p_partkey, x0 + 0.37::DOUBLE AS px, z0 + 0.41::DOUBLE AS pz FROM b)
-        SELECT p_partkey, user_id FROM p JOIN e ON (z1 > pz) <> (z2 > pz) AND px < (x2 - x1) * (pz - z1) / (z2 - z1) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1""",
-    "points_in_polygons_all": f"""WITH {_WALK}, {_BOX}, s AS (SELECT user_id, ts, event_id, x * 2 AS x, z * 80 AS z FROM w),
+    "points_in_polygons": f"""WITH {_WALK}, {_BOX}, s AS (SELECT user_id, ts, event_id, x * 2 AS x, z * 80 AS z FROM w),
         e AS (SELECT user_id, x AS x1, z AS z1, coalesce(lead(x) OVER o, first_value(x) OVER o) AS x2, coalesce(lead(z) OVER o, first_value(z) OVER o) AS z2 FROM s WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
         p AS (SELECT p_partkey, x0 + 0.37::DOUBLE AS px, z0 + 0.41::DOUBLE AS pz FROM b)
         SELECT p_partkey, user_id FROM p JOIN e ON (z1 > pz) <> (z2 > pz) AND px < (x2 - x1) * (pz - z1) / (z2 - z1) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1""",
+    "hull_areas": f"""WITH {_BOX}, p AS (SELECT DISTINCT p_brand AS k, x0 AS x, z0 AS z FROM b),
+        e AS (SELECT p.k, p.x AS px, p.z AS pz, q.x AS qx, q.z AS qz FROM p JOIN p q ON p.k = q.k AND (p.x <> q.x OR p.z <> q.z) JOIN p r ON r.k = p.k GROUP BY ALL
+              HAVING min((q.x - p.x) * (r.z - p.z) - (q.z - p.z) * (r.x - p.x)) >= 0
+                 AND bool_and((q.x - p.x) * (r.z - p.z) - (q.z - p.z) * (r.x - p.x) > 0 OR ((r.x - p.x) * (q.x - p.x) + (r.z - p.z) * (q.z - p.z) BETWEEN 0 AND (q.x - p.x) * (q.x - p.x) + (q.z - p.z) * (q.z - p.z))))
+        SELECT k AS p_brand, abs(sum(px * qz - qx * pz)) / 2 AS area, count(*) AS n_hull FROM e GROUP BY 1""",
+    "greedy_matches": """WITH RECURSIVE a AS (SELECT o_custkey, o_orderkey AS a, o_totalprice AS pa FROM orders WHERE o_orderstatus = 'O'), b AS (SELECT o_custkey, o_orderkey AS b, o_totalprice AS pb FROM orders WHERE o_orderstatus = 'F'),
+        c AS (SELECT o_custkey, a, b, -round(abs(pa - pb), 2) AS score FROM a JOIN b USING (o_custkey) WHERE abs(pa - pb) <= 20000), k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, a, b) AS k FROM c),
+        r AS (SELECT o_custkey, 0::BIGINT AS k, []::BIGINT[] AS ua, []::BIGINT[] AS ub, false AS t, 0::BIGINT AS a, 0::BIGINT AS b, 0.0::DOUBLE AS score FROM k GROUP BY 1
+            UNION ALL SELECT r.o_custkey, k.k, CASE WHEN list_contains(ua, k.a) OR list_contains(ub, k.b) THEN ua ELSE list_append(ua, k.a) END, CASE WHEN list_contains(ua, k.a) OR list_contains(ub, k.b) THEN ub ELSE list_append(ub, k.b) END,
+                NOT (list_contains(ua, k.a) OR list_contains(ub, k.b)), k.a, k.b, k.score FROM r JOIN k ON k.o_custkey = r.o_custkey AND k.k = r.k + 1)
+        SELECT o_custkey, a, b, score FROM r WHERE t""",
+    "keyframes": f"""WITH RECURSIVE {_KEPT},
+        n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM r WHERE new)
+        SELECT user_id, event_id FROM n WHERE n <= 40 OR floor(ceil(i * 39 / greatest(n - 1, 1)) * (n - 1) / 39) = i""",
+    "spanning_forest": f"""WITH RECURSIVE {_FOREST} SELECT edge, x, y, weight FROM f""",
+    "chained_scales": f"""WITH RECURSIVE {_FOREST}, s AS (SELECT x AS a, y AS b, 1.0::DOUBLE + (weight % 7) / 10.0::DOUBLE AS r FROM f UNION ALL SELECT y, x, 1 / (1.0::DOUBLE + (weight % 7) / 10.0::DOUBLE) FROM f),
+        c AS (SELECT 0::BIGINT AS node, 0 AS hops, 1.0::DOUBLE AS value, -1::BIGINT AS from_ UNION ALL SELECT s.b, hops + 1, value * r, c.node FROM c JOIN s ON s.a = c.node AND s.b <> c.from_)
+        SELECT node, hops, round(c.value, 6) AS value FROM c""",
+    "plausible_scales": f"""WITH RECURSIVE {_FOREST}, g AS (SELECT x, y, 0.2::DOUBLE + (weight % 9) / 2.0::DOUBLE AS r FROM f), s AS (SELECT x AS a, y AS b, r FROM g WHERE r BETWEEN 0.25 AND 4.0 UNION ALL SELECT y, x, 1 / r FROM g WHERE r BETWEEN 0.25 AND 4.0),
+        c AS (SELECT 0::BIGINT AS node, 0 AS hops, 1.0::DOUBLE AS value, -1::BIGINT AS from_ UNION ALL SELECT s.b, hops + 1, value * r, c.node FROM c JOIN s ON s.a = c.node AND s.b <> c.from_)
+        SELECT node, hops, round(CASE WHEN c.value BETWEEN 0.3 AND 3.0 THEN c.value ELSE 1.0 END, 6) AS value FROM c""",
 }

@@ -9,6 +9,7 @@ from ..functions import measure as M
 from ..operators import grids as G
 from ..operators import histograms as H
 from ..operators import points as P
+from ..operators.quantiles import exact_percentiles
 from ..plans import levels as L
 from ..session import table
 
@@ -100,7 +101,7 @@ def mad_sigma(spark, d):
 
 def percentiles(spark, d):
     shares = {"p0_1": 0.001, "p3": 0.03, "p5": 0.05, "p90": 0.9, "p95": 0.95, "p98": 0.98, "p99_9": 0.999}
-    found = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", list(shares.values())).alias("p"))
+    found = exact_percentiles(table(spark, d, "lineitem"), ("l_returnflag",), "l_extendedprice", list(shares.values()))
     return found.select("l_returnflag", *[F.round(F.col("p")[i], 4).alias(k) for i, k in enumerate(shares)])
 
 
@@ -158,19 +159,14 @@ def label_components(spark, d):
 
 
 def window_mode(spark, d):
-    c = _cells(spark, d).groupBy("i", "j").agg((F.sum("l_quantity").cast("long") % 5).alias("label"))
-    return G.window_mode(c, c.where("i % 8 = 0 and j % 8 = 0"))
-
-
-def window_mode_all(spark, d):
-    """The mode around every cell; `window_mode` asks for one cell in 64."""
+    """The mode around every cell."""
     c = _cells(spark, d).groupBy("i", "j").agg((F.sum("l_quantity").cast("long") % 5).alias("label"))
     return G.window_mode(c, c)
 
 
 QUERIES = {f.__name__: f for f in (
     voxel_downsample, voxel_downsample_lineitem, dominant_yaw, rotate_to_walls, grid_count, slab_barrier, semi_on_barrier, ray_carve, level_peaks, lowest_level, lowest_and_highest, robust_level,
-    mad_sigma, percentiles, coverage_bins, otsu_threshold, measurement_algebra, wall_area, se2_compose, morphology, boundary_lengths, label_components, window_mode, window_mode_all)}
+    mad_sigma, percentiles, coverage_bins, otsu_threshold, measurement_algebra, wall_area, se2_compose, morphology, boundary_lengths, label_components, window_mode)}
 
 _POINTS = """
     e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z,
@@ -279,8 +275,6 @@ ORACLE_SQL = {
         r AS (SELECT v, v AS u FROM n UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.u),
         m AS (SELECT v, min(u) AS f FROM r GROUP BY v)
         SELECT i, j, CAST(dense_rank() OVER (ORDER BY f) AS INTEGER) AS label FROM m JOIN n USING (v)""",
-    "window_mode": f"""WITH {_LABELS}, v AS (SELECT a.i, a.j, b.label, count(*) AS n FROM c a JOIN c b ON abs(a.i - b.i) <= 3 AND abs(a.j - b.j) <= 3 WHERE a.i % 8 = 0 AND a.j % 8 = 0 GROUP BY ALL)
-        SELECT i, j, label, n FROM v QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY n DESC, label) = 1""",
-    "window_mode_all": f"""WITH {_LABELS}, v AS (SELECT a.i, a.j, b.label, count(*) AS n FROM c a JOIN c b ON abs(a.i - b.i) <= 3 AND abs(a.j - b.j) <= 3 GROUP BY ALL)
+    "window_mode": f"""WITH {_LABELS}, v AS (SELECT a.i, a.j, b.label, count(*) AS n FROM c a JOIN c b ON abs(a.i - b.i) <= 3 AND abs(a.j - b.j) <= 3 GROUP BY ALL)
         SELECT i, j, label, n FROM v QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY n DESC, label) = 1""",
 }

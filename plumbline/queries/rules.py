@@ -42,12 +42,7 @@ def pair_rules_all(spark, d):
 
 
 def flag_numbers(spark, d):
-    flags = R.region_flags(_regions(spark, d).where("id < 4000"), R.REGION_RULES)
-    return R.numbered_flags(flags).select("flag_id", "region_id", "rule")
-
-
-def flag_numbers_all(spark, d):
-    """Numbers of all flags; `flag_numbers` and its SQL take the regions under 4000 only."""
+    """Numbers of all flags."""
     return R.numbered_flags(R.region_flags(_regions(spark, d), R.REGION_RULES)).select("flag_id", "region_id", "rule")
 
 
@@ -118,16 +113,11 @@ def fingerprints(spark, d):
 
 
 def keyword_flags(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.contains_any(F.col("text"), ["bath", "wc", "the "]).alias("wet"), T.slug(F.substring("text", 1, 20)).alias("slug"))
-
-
-def keyword_flags_whole(spark, d):
-    """`keyword_flags` with the slug of the whole text instead of its first 20 characters."""
     return table(spark, d, "documents").select("doc_id", T.contains_any(F.col("text"), ["bath", "wc", "the "]).alias("wet"), T.slug(F.col("text")).alias("slug"))
 
 
 QUERIES = {f.__name__: f for f in (
-    region_rules, pair_rules, pair_rules_all, flag_numbers, flag_numbers_all, scope_items, wall_statistics, opening_statistics, precision_recall, operating_points, chosen_operating_point, fused_clusters, plan_document, document_violations, fingerprints, keyword_flags, keyword_flags_whole)}
+    region_rules, pair_rules, pair_rules_all, flag_numbers, scope_items, wall_statistics, opening_statistics, precision_recall, operating_points, chosen_operating_point, fused_clusters, plan_document, document_violations, fingerprints, keyword_flags)}
 
 _REGIONS = """g AS (SELECT event_id AS id, 'r' || user_id AS room_id,
         CASE WHEN event_id % 5 = 0 THEN 'ceiling' WHEN event_id % 11 = 0 THEN 'floor' ELSE 'wall' END AS surface_kind,
@@ -161,8 +151,7 @@ ORACLE_SQL = {
         WHERE a.cls = 'water_stain' AND b.cls = 'water_stain' AND ((a.surface_kind = 'ceiling' AND b.surface_kind = 'wall') OR (a.surface_kind = 'wall' AND b.surface_kind = 'ceiling'))
           AND sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cz - b.cz) * (a.cz - b.cz)) < 0.75
           AND ((a.surface_kind = 'wall' AND a.dist_to_ceiling_m < 0.4) OR (b.surface_kind = 'wall' AND b.dist_to_ceiling_m < 0.4))""",
-    "flag_numbers": f"WITH {_REGIONS}, {_FLAGS} SELECT 'concealed.' || lpad(CAST(row_number() OVER (ORDER BY id, o) AS VARCHAR), 4, '0') AS flag_id, id AS region_id, rule FROM f WHERE id < 4000",
-    "flag_numbers_all": f"WITH {_REGIONS}, {_FLAGS} SELECT 'concealed.' || printf('%04d', row_number() OVER (ORDER BY id, o)) AS flag_id, id AS region_id, rule FROM f",
+    "flag_numbers": f"WITH {_REGIONS}, {_FLAGS} SELECT 'concealed.' || printf('%04d', row_number() OVER (ORDER BY id, o)) AS flag_id, id AS region_id, rule FROM f",
     "scope_items": f"""WITH {_REGIONS}, v AS (SELECT *, abs(width_m * height_m) AS area, width_m * 0.03::DOUBLE AS sg, greatest(width_m, height_m) AS len FROM r),
         u AS (SELECT surface_id, max(width_m) + 3 AS l, 2.4::DOUBLE AS h FROM v GROUP BY 1),
         m AS (SELECT * FROM v WHERE NOT low_confidence AND surface_kind IN ('wall', 'ceiling'))
@@ -195,7 +184,5 @@ ORACLE_SQL = {
         UNION ALL SELECT 'wall: bad id' FROM orders WHERE o_orderkey % 3 = 2) GROUP BY 1""",
     "fingerprints": """SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, sha1(string_agg(page_id || ':' || length(html), '' ORDER BY CAST(page_id AS VARCHAR))) AS fingerprint FROM pages GROUP BY 1""",
     "keyword_flags": """SELECT doc_id, contains(lower(text), 'bath') OR contains(lower(text), 'wc') OR contains(lower(text), 'the ') AS wet,
-        CASE WHEN trim(lower(regexp_replace(substr(text, 1, 20), '[^A-Za-z0-9]', '_', 'g')), '_') = '' THEN 'room' ELSE trim(lower(regexp_replace(substr(text, 1, 20), '[^A-Za-z0-9]', '_', 'g')), '_') END AS slug FROM documents""",
-    "keyword_flags_whole": """SELECT doc_id, contains(lower(text), 'bath') OR contains(lower(text), 'wc') OR contains(lower(text), 'the ') AS wet,
         CASE WHEN trim(lower(regexp_replace(text, '[^A-Za-z0-9]', '_', 'g')), '_') = '' THEN 'room' ELSE trim(lower(regexp_replace(text, '[^A-Za-z0-9]', '_', 'g')), '_') END AS slug FROM documents""",
 }

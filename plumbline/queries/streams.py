@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import windows as W
+from .ordered import _KEPT
 
 
 def tumbling_windows(spark, d):
     rows = W.stream_of(spark, f"{d}/events.parquet")
-    out = W.run_once(W.event_windows(rows, "ts", "6 hours", None, "1 day", ("event_type",), "value"), "complete")
+    out = W.run_once(W.event_windows(rows, "ts", "6 hours", None, "1 day", ("event_type",), "value"), "update", ["window", "event_type"])
     return out.select(F.unix_seconds("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def sliding_windows(spark, d):
     rows = W.stream_of(spark, f"{d}/events.parquet")
-    out = W.run_once(W.event_windows(rows, "ts", "1 day", "12 hours", "1 day", (), "value"), "complete")
+    out = W.run_once(W.event_windows(rows, "ts", "1 day", "12 hours", "1 day", (), "value"), "update", ["window"])
     return out.select(F.unix_seconds("window.start").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
@@ -24,10 +25,21 @@ def stream_keyframes(spark, d):
     return W.run_once(W.streaming_keyframes(rows.withColumn("turn", F.col("z") * 6.0), "user_id", "ts", "event_id", ("x", "z"), "turn", 6.0, 60.0))
 
 
-QUERIES = {f.__name__: f for f in (tumbling_windows, sliding_windows, stream_keyframes)}
+def session_windows(spark, d):
+    """Sessions of each user: events less than six hours apart."""
+    rows = W.stream_of(spark, f"{d}/events.parquet")
+    out = W.run_once(W.sessions(rows, "ts", "6 hours", "1 day", ("user_id",)), "complete")
+    return out.select("user_id", F.unix_seconds("session_window.start").alias("start"), "n")
+
+
+QUERIES = {f.__name__: f for f in (tumbling_windows, sliding_windows, stream_keyframes, session_windows)}
 ORACLE_SQL = {
-    "tumbling_windows": "SELECT CAST(epoch(ts) AS BIGINT) // 21600 * 21600 AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "tumbling_windows": "SELECT CAST(floor(epoch(ts)) AS BIGINT) // 21600 * 21600 AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "sliding_windows": """WITH e AS (SELECT unnest([(CAST(floor(epoch(ts)) AS BIGINT) // 43200) * 43200, (CAST(floor(epoch(ts)) AS BIGINT) // 43200) * 43200 - 43200]) AS start, value FROM events)
         SELECT start, count(*) AS n, round(sum(value), 4) AS total FROM e GROUP BY 1""",
+
+    "stream_keyframes": f"WITH RECURSIVE {_KEPT} SELECT user_id, event_id FROM r WHERE new",
+    "session_windows": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events),
+        s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+        SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM s GROUP BY user_id, s""",
 }
-ORACLE_SQL["tumbling_windows"] = ORACLE_SQL["tumbling_windows"].replace("CAST(epoch(ts) AS BIGINT)", "CAST(floor(epoch(ts)) AS BIGINT)")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.grids import shared_dir
 
@@ -31,33 +32,49 @@ def sessions(rows: DataFrame, time: str, gap: str, late: str, keys: tuple[str, .
     return rows.withWatermark(time, late).groupBy(F.session_window(time, gap), *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def streaming_keyframes(rows: DataFrame, key: str, order: str, ident: str, coords: tuple[str, str], heading: str, min_trans: float, min_rot: float) -> DataFrame:
-    """(key, ident) of rows that moved or turned enough from the last kept row of their key, which is the state."""
+def streaming_keyframes(rows: DataFrame, key: str, order: str, ident: str, coords: tuple[str, str], heading: str, min_trans: float, min_rot: float, idle: str = "7 days") -> DataFrame:
+    """(key, ident) of rows that moved or turned enough from the last kept row of their key, which is the state. A key without rows for `idle` of event time loses its state and starts anew."""
     bound = math.cos(math.radians(min_rot))
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def keep(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
         kept = []
-        for r in pd.concat(list(batches)).sort_values([order, ident])[[ident, *coords, heading]].itertuples(index=False, name=None):
-            if last is None or math.dist(last[:2], r[1:3]) > min_trans or math.cos(r[3] - last[2]) < bound:
-                last = tuple(map(float, r[1:4]))
-                kept.append(r[0])
-        if last is not None:
-            state.update(last)
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            last = state.get if state.exists else None
+            whole = pd.concat(list(batches)).sort_values([order, ident])
+            for r in whole[[ident, *coords, heading]].itertuples(index=False, name=None):
+                if last is None or math.dist(last[:2], r[1:3]) > min_trans or math.cos(r[3] - last[2]) < bound:
+                    last = tuple(map(float, r[1:4]))
+                    kept.append(r[0])
+            if last is not None:
+                state.update(last)
+                seen = int(whole[order].max().timestamp() * 1000)
+                state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + wait)
         yield pd.DataFrame({key: [group[0]] * len(kept), ident: kept})
 
     types = dict(rows.dtypes)
-    return rows.groupBy(key).applyInPandasWithState(keep, f"{key} {types[key]}, {ident} {types[ident]}", "x double, z double, turn double", "append", GroupStateTimeout.NoTimeout)
+    late = rows.withWatermark(order, idle)
+    return late.groupBy(key).applyInPandasWithState(keep, f"{key} {types[key]}, {ident} {types[ident]}", "x double, z double, turn double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_once(result: DataFrame, mode: str = "append") -> DataFrame:
-    """Everything at hand run through a stream, batch by batch, into Parquet in the shared folder; an aggregate in complete mode keeps its last state."""
+def run_once(result: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Everything at hand run through a stream, batch by batch, into Parquet in the shared folder.
+
+    In update mode only changed groups are written, and each group of `keys` is read as its last batch
+    left it, so state behind the watermark goes; in complete mode (sessions) the last batch stays.
+    """
     spark = result.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
 
     query = result.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    return spark.read.schema(result.schema).parquet(f"{base}/out")
+    out = spark.read.schema(StructType([*result.schema, StructField("_batch", IntegerType())])).parquet(f"{base}/out")
+    if mode != "update":
+        return out.drop("_batch")
+    others = [c for c in result.columns if c not in keys]
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("_m")).select(*keys, "_m.*")
