@@ -32,12 +32,12 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def detect_tier(listed: DataFrame) -> DataFrame:
-    """(tier): one row for a capture's files. In order: video, odometry with depth (lidar), a manifest (video), images (photo), else `unknown`."""
+    """(tier): one row for a capture's files. In order: video, a zip archive (of a manifest: video), odometry with depth (lidar), a manifest (video), images (photo), else `unknown`."""
     any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     found = listed.agg(
-        any_(extension(F.col("name")).isin(VIDEO)).alias("video"), any_(F.col("name") == "odometry.csv").alias("odometry"), any_(F.col("path").contains("/depth/")).alias("depth"),
+        any_(extension(F.col("name")).isin(VIDEO)).alias("video"), any_(extension(F.col("name")) == "zip").alias("zip"), any_(F.col("name") == "odometry.csv").alias("odometry"), any_(F.col("path").contains("/depth/")).alias("depth"),
         any_(F.col("name") == "transforms.json").alias("manifest"), any_(is_image(F.col("name"))).alias("images"), F.count(F.lit(1)).alias("n"))
-    return found.select(F.when((F.col("n") == 1) & F.col("video"), "video").when(F.col("odometry") & F.col("depth"), "lidar").when(F.col("manifest"), "video").when(F.col("images"), "photo").otherwise("unknown").alias("tier"))
+    return found.select(F.when((F.col("n") == 1) & (F.col("video") | F.col("zip")), "video").when(F.col("odometry") & F.col("depth"), "lidar").when(F.col("manifest"), "video").when(F.col("images"), "photo").otherwise("unknown").alias("tier"))
 
 
 def read_odometry(spark: SparkSession, path: str, fallback: tuple[float, float, float, float], depth_scale: float = 256 / 1920) -> DataFrame:
@@ -52,23 +52,65 @@ def read_odometry(spark: SparkSession, path: str, fallback: tuple[float, float,
     return rows.select("frame", "ts", pose.alias("pose"), *[v.alias(n) for n, v in k.items()], *[(v * depth_scale).alias(f"d{n}") for n, v in k.items()])
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of a posed-image manifest: per-frame intrinsics over global ones, fy from the frame, the manifest or fx; poses with y and z turned; names without a suffix get .png."""
-    schema = "w INT, h INT, fl_x DOUBLE, fl_y DOUBLE, cx DOUBLE, cy DOUBLE, frames ARRAY<STRUCT<file_path: STRING, transform_matrix: ARRAY<ARRAY<DOUBLE>>, timestamp: DOUBLE, fl_x: DOUBLE, fl_y: DOUBLE, cx: DOUBLE, cy: DOUBLE>>"
-    rows = spark.read.schema(schema).option("multiLine", "true").json(path).select("*", F.posexplode("frames").alias("frame", "f"))
+MANIFEST = "w INT, h INT, fl_x DOUBLE, fl_y DOUBLE, cx DOUBLE, cy DOUBLE, frames ARRAY<STRUCT<file_path: STRING, transform_matrix: ARRAY<ARRAY<DOUBLE>>, timestamp: DOUBLE, fl_x: DOUBLE, fl_y: DOUBLE, cx: DOUBLE, cy: DOUBLE>>"
+
+
+def _manifest_frames(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    rows = rows.select("*", F.posexplode("frames").alias("frame", "f"))
     fx = F.coalesce("f.fl_x", "fl_x")
     flip = lambda row: F.array(row[0], -row[1], -row[2], row[3])
     name = F.when(extension(F.col("f.file_path")) == "", F.concat("f.file_path", F.lit(".png"))).otherwise(F.col("f.file_path"))
-    return rows.select("frame", "f.timestamp", name.alias("file"), F.flatten(F.transform("f.transform_matrix", flip)).alias("pose"),
+    return rows.select(*keys, "frame", "f.timestamp", name.alias("file"), F.flatten(F.transform("f.transform_matrix", flip)).alias("pose"),
                        fx.alias("fx"), F.coalesce("f.fl_y", "fl_y", fx).alias("fy"), F.coalesce("f.cx", "cx").alias("cx"), F.coalesce("f.cy", "cy").alias("cy"), "w", "h")
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Frames of a posed-image manifest: per-frame intrinsics over global ones, fy from the frame, the manifest or fx; poses with y and z turned; names without a suffix get .png."""
+    return _manifest_frames(spark.read.schema(MANIFEST).option("multiLine", "true").json(path))
+
+
+def zipped(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(path, member, text): of each zip archive under `path` the first member, in order, called `name`, at any depth. Archives are opened in the tasks that read them."""
+    import io
+    import zipfile
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = []
+            for where, content in rows[["path", "content"]].itertuples(index=False, name=None):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    members = sorted(m for m in archive.namelist() if m.rsplit("/", 1)[-1] == name)
+                    if members:
+                        found.append((where, members[0], archive.read(members[0]).decode("utf-8")))
+            yield pd.DataFrame(found, columns=["path", "member", "text"])
+
+    archives = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path)
+    return archives.select("path", "content").mapInPandas(run, "path string, member string, text string")
+
+
+def read_zipped_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """Frames of the manifests in zip archives, with the archive's path."""
+    parsed = zipped(spark, path, "transforms.json").select("path", F.from_json("text", MANIFEST).alias("m")).select("path", "m.*")
+    return _manifest_frames(parsed, ("path",))
+
+
 def photo_rooms(listed: DataFrame, root: str) -> DataFrame:
     """(room, file, path) of a folder of rooms: one sub-folder is one room, images in order of their names."""
     rest = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
     return listed.where(is_image(F.col("name"))).select(F.when(F.contains(rest, F.lit("/")), F.substring_index(rest, "/", 1)).otherwise(F.lit("room")).alias("room"), F.col("name").alias("file"), "path")
 
 
+def checked_rooms(photos: DataFrame, readable: Column) -> DataFrame:
+    """(room, n, bad): images of each room that can be read, and those that cannot. No room, or a room without a readable image, is an error; single bad files are only counted."""
+    found = photos.groupBy("room").agg(F.count_if(readable).alias("n"), F.count_if(~readable).alias("bad"))
+    total, empty = found.agg(F.count(F.lit(1)), F.min(F.when(F.col("n") == 0, F.col("room")))).first()
+    if not total:
+        raise ValueError("no folder of photos here")
+    if empty is not None:
+        raise ValueError(f"no readable image in room {empty}")
+    return found
+
+
 def focal_pixels(w: Column, h: Column, mm35: Column, mm: Column, fov_deg: float = 70.0) -> Column:
     """Focal length in pixels: from the 35 mm tag, else from the lens in mm, else from a field of view."""
     side = F.greatest(w, h).cast("double")
