@@ -62,31 +62,29 @@ def closed(cells: DataFrame, kernel=SQUARE, times: int = 1, keys: tuple[str, ...
     return cells
 
 
-def cell_edges(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(x, y): ids of occupied neighbours (right and below). A cell's id holds its coordinates, which fit in 31 bits."""
-    ident = F.shiftleft(F.col("i").cast("long") + F.lit(1 << 30), 32) + (F.col("j").cast("long") + F.lit(1 << 30))
-    own = cells.select("i", "j", ident.alias("x")).distinct()
-    moved = own.select("x", F.explode(F.array(F.struct((F.col("i") + 1).alias("i"), F.col("j").alias("j")), F.struct(F.col("i").alias("i"), (F.col("j") + 1).alias("j")))).alias("t")).select("x", F.col("t.i").alias("i"), F.col("t.j").alias("j"))
-    return moved.join(own.withColumnRenamed("x", "y"), ["i", "j"]).select("x", "y")
-
-
 def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for nodes (node): the least node reachable over edges (x, y).
 
-    Labels fall to the least label of a neighbour and then to that label's own label, which halves
-    the distance left in each round. Rounds are written to the shared folder.
+    Each round hangs the larger neighbours of a node under its least neighbour and then a node's
+    other ends under its least one, so paths shorten by half and edges become stars. A round is one
+    write to the shared folder; minima are aggregated, so no node's neighbours meet in one place.
     """
-    both = cut(edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct())
-    labels = cut(nodes.select("node").distinct().withColumn("component", F.col("node")))
+    stars = cut(edges.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+    seen = None
     for _ in range(most_rounds):
-        least = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("component").alias("m"))
-        hung = labels.join(least, labels["node"] == least["x"], "left").select("node", "component", F.least("component", "m").alias("next"))
-        up = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        after = cut(hung.join(up, F.col("next") == F.col("_n")).select("node", F.least("next", "_c").alias("component"), (F.least("next", "_c") != F.col("component")).alias("moved")))
-        labels = after.select("node", "component")
-        if not after.where("moved").limit(1).count():
-            return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        both = stars.unionByName(stars.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
+        ends = large.join(large.groupBy("x").agg(F.min("y").alias("m")), "x")
+        hung = ends.select("x", F.col("m").alias("y")).unionByName(ends.select(F.col("y").alias("x"), F.col("m").alias("y"))).where("x <> y").distinct()
+        stars = cut(hung)
+        now = tuple(stars.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("x", "y"))).first())
+        if now == seen:
+            break
+        seen = now
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    return nodes.select("node").distinct().join(stars.withColumnRenamed("x", "node"), "node", "left").select("node", F.coalesce("y", "node").alias("component"))
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -98,13 +96,26 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return ranges.join(F.broadcast(offsets), "_part").withColumn(name, number).drop("_part", "_before")
 
 
+def cell_components(cells: DataFrame) -> DataFrame:
+    """(i, j, component): 4-connected components of cells, named by the id of their first cell in raster order.
+
+    Cells of a row that touch are one run first, so the graph has a node a run and an edge for each
+    two runs that lie beside each other, and takes fewer rounds.
+    """
+    ident = F.shiftleft(F.col("i").cast("long") + F.lit(1 << 30), 32) + (F.col("j").cast("long") + F.lit(1 << 30))
+    row = Window.partitionBy("i").orderBy("j")
+    own = cells.select("i", "j").distinct().withColumn("_new", F.coalesce(F.col("j") - F.lag("j").over(row) != 1, F.lit(True)))
+    own = cut(own.select("i", "j", F.last(F.when(F.col("_new"), ident), ignorenulls=True).over(row).alias("node")))
+    below = own.select((F.col("i") + 1).alias("i"), "j", F.col("node").alias("x"))
+    edges = below.join(own.withColumnRenamed("node", "y"), ["i", "j"]).select("x", "y").distinct()
+    return own.join(components(own, edges), "node").select("i", "j", "component")
+
+
 def label_components(cells: DataFrame) -> DataFrame:
     """(i, j, label): 4-connected components, numbered by their first cell in raster order."""
-    ident = F.shiftleft(F.col("i").cast("long") + F.lit(1 << 30), 32) + (F.col("j").cast("long") + F.lit(1 << 30))
-    own = cells.select("i", "j", ident.alias("node")).distinct()
-    found = components(own, cell_edges(cells))
+    found = cut(cell_components(cells))
     names = numbered(found.select("component").distinct(), ["component"], "label").withColumn("label", F.col("label").cast("int"))
-    return own.join(found, "node").join(names, "component").select("i", "j", "label")
+    return found.join(names, "component").select("i", "j", "label")
 
 
 def grow(markers: DataFrame, domain: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grids import CROSS, SQUARE, _offsets, cell_edges, closed, components, cut, dilate, opened
+from .grids import CROSS, SQUARE, _offsets, cell_components, closed, components, cut, dilate, opened
 
 
 def _ident(i: str = "i", j: str = "j"):
@@ -17,8 +17,8 @@ def holes(cells: DataFrame) -> DataFrame:
     box = cells.agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1")).where("i0 is not null")
     every = box.withColumn("i", F.explode(F.sequence("i0", "i1"))).withColumn("j", F.explode(F.sequence("j0", "j1")))
     empty = every.join(cells.select("i", "j").distinct(), ["i", "j"], "left_anti").withColumn("edge", (F.col("i") == F.col("i0")) | (F.col("i") == F.col("i1")) | (F.col("j") == F.col("j0")) | (F.col("j") == F.col("j1")))
-    empty = cut(empty.select("i", "j", "edge", _ident().alias("node")))
-    found = cut(empty.join(components(empty.select("node"), cell_edges(empty)), "node"))
+    empty = cut(empty.select("i", "j", "edge"))
+    found = cut(empty.join(cell_components(empty), ["i", "j"]))
     open_ = found.where("edge").select("component").distinct()
     return found.join(open_, "component", "left_anti").select("i", "j", F.col("component").alias("hole"))
 
