@@ -18,7 +18,7 @@ _CELL_BITS, _SLICE_BITS = 24, 18
 #: Bytes of text that a task has in words at a time.
 _TEXT = 2_000_000
 #: Members of a bucket that all others are paired with in a round.
-_PIVOTS = 6
+_PIVOTS = 4
 
 
 def token_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,9 +205,9 @@ def similar_groups(
     Words are lower-cased (A-Z). Documents with equal sets form one class first. A class enters the
     buckets of its prefix tokens under the first global order, in which tokens that are common in
     the corpus come last; buckets with the same members count once. Only connectivity is needed,
-    so a bucket is not expanded into all its pairs: first its members are paired with six of them,
+    so a bucket is not expanded into all its pairs: first its members are paired with four of them,
     and after the links found were joined into components, the members outside a bucket's largest
-    component are paired with six of it (up to `rounds` - 2 times, while very many pairs are left), and last with
+    component are paired with four of it (up to `rounds` - 2 times, while very many pairs are left), and last with
     every member of another component. The place of the shared token in both prefixes bounds what
     can follow, which ends most pairs before they are made. Pairs must also share prefix tokens
     under a second and a third order; what remains is verified on the whole sets, so every link
