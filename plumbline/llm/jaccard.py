@@ -16,7 +16,7 @@ from .words import Words, mix
 
 _CELL_BITS, _SLICE_BITS = 24, 18
 #: Bytes of text that a task has in words at a time.
-_TEXT = 2_000_000
+_TEXT = 1_000_000
 #: Members of a bucket that all others are paired with in a round.
 _PIVOTS = 4
 

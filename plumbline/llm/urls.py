@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small
 
 #: Columns that lexical_features adds and the trees read.
 FEATURES = ["url_length", "host_length", "path_length", "host_labels", "depth", "digit_ratio", "entropy", "params", "longest_segment", "symbols", "suffix_share", "suffix_blocked", "extension_share"]
@@ -68,13 +68,17 @@ def lexical_features(pages: DataFrame, url: str) -> DataFrame:
 
 
 def suffix_statistics(pages: DataFrame) -> DataFrame:
-    """Adds the share of all rows with the row's host suffix and with its extension, and the suffix's smoothed share of blocked labelled rows."""
-    labelled, blocked = F.count("label"), F.coalesce(F.sum("label"), F.lit(0.0))
-    suffixes = pages.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), ((blocked + 1.0) / (labelled + 2.0)).alias("suffix_blocked"))
+    """Adds the share of all rows with the row's host suffix and with its extension, and the suffix's smoothed share of blocked rows among the *other* labelled rows, so that no label tells of itself.
+
+    Suffixes and extensions are sent to all tasks while they are few (a checked count); beyond that the joins shuffle.
+    """
+    suffixes = pages.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("_l"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("_b"))
     extensions = pages.groupBy("extension").agg(F.count(F.lit(1)).alias("e"))
     total = float(max(1, pages.count()))
-    joined = pages.join(suffixes, "suffix").join(extensions, "extension")
-    return joined.withColumn("suffix_share", F.col("n") / F.lit(total)).withColumn("extension_share", F.col("e") / F.lit(total)).drop("n", "e")
+    joined = pages.join(small(suffixes), "suffix").join(small(extensions), "extension")
+    own = F.when(F.col("label").isNotNull(), 1).otherwise(0)
+    blocked = (F.col("_b") - F.coalesce("label", F.lit(0.0)) + 1.0) / (F.col("_l") - own + 2.0)
+    return joined.withColumn("suffix_blocked", blocked).withColumn("suffix_share", F.col("n") / F.lit(total)).withColumn("extension_share", F.col("e") / F.lit(total)).drop("n", "e", "_l", "_b")
 
 
 def train(labelled: DataFrame, *, sample: int = 20_000, trees: int = 20, depth: int = 4, seed: int = 17) -> GBTClassificationModel | float:
@@ -115,3 +119,20 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], *, id_col: str =
     scored = probability(rows, train(rows, sample=sample))
     learned = F.when(F.col("p_block") > threshold, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select(F.col("page_id").alias(id_col), "host", "path", "rule", F.coalesce("rule_verdict", learned).alias("verdict"), "p_block")
+
+
+def held_out_report(pages: DataFrame, rules: list[tuple[str, str]], *, id_col: str = "page_id", url_col: str = "url", sample: int = 20_000) -> dict[str, float]:
+    """How well trees from half of the labelled urls, by a hash of the url, tell the labels of the other half: n, accuracy, and the share of the commoner label there.
+
+    Suffix statistics of the held-out rows come from the first half's labels only.
+    """
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
+    host, path = host_and_path(F.col("url"))
+    rows = with_rules(rows.withColumn("host", host).withColumn("path", path), rules)
+    truth = F.when(F.col("rule_verdict") == "block", 1.0).when(F.col("rule_verdict") == "allow", 0.0)
+    apart = F.pmod(F.xxhash64("url"), F.lit(2)) == 1
+    rows = rows.withColumn("truth", truth).withColumn("label", F.when(apart, F.lit(None).cast("double")).otherwise(truth))
+    rows = suffix_statistics(saved(lexical_features(rows, "url"), "url-features"))
+    scored = probability(rows.where(apart & F.col("truth").isNotNull()), train(rows, sample=sample))
+    n, hits, ones = scored.agg(F.count(F.lit(1)), F.avg(((F.col("p_block") > 0.5).cast("double") == F.col("truth")).cast("double")), F.avg("truth")).first()
+    return {"n": n, "accuracy": hits or 0.0, "majority": max(ones or 0.0, 1 - (ones or 0.0)) if n else 0.0}
