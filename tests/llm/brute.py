@@ -32,10 +32,8 @@ def grams(text):
 
 
 def code(gram):
-    n = 0
-    for c in gram:
-        n = n << 21 | (EDGE if c == "_" else ord(c))
-    return n
+    """Grams in order of their characters, a shorter one before those that it begins, the edge of a word last."""
+    return tuple(EDGE if c == "_" else ord(c) for c in gram)
 
 
 def ranks(counts, size):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import language, mixing, sharding, templates, urls
+from plumbline.llm.common import saved
 
 from . import brute
 
@@ -122,9 +123,9 @@ def test_pipeline_equals_plain_stages(spark, docs, rows, small_dir):
     leaks = {d for d, _ in brute.leaks([(i, r[1]) for i, r in after[-1].items()], benchmark, set(templates.UNITS))}
     after.append({i: r for i, r in after[-1].items() if i not in leaks})
     for (_, stage), want in zip(c.STAGES[:3], after, strict=False):
-        kept = stage(spark, kept, small_dir)
+        kept = saved(stage(spark, kept, small_dir), "test-stage")
         assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(want)
-    mixed = c.STAGES[3][1](spark, kept, small_dir)
+    mixed = saved(c.STAGES[3][1](spark, kept, small_dir), "test-stage")
     copies = {i: int(taken / size + 0.5) for i, size, _, _, taken in brute.mix([(i, r[1], r[3]) for i, r in after[-1].items()]) if size}
     assert {r.doc_id: r.n for r in mixed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {i: n for i, n in copies.items() if n}
     dealt = c.STAGES[4][1](spark, mixed, small_dir).collect()

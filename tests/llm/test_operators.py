@@ -484,23 +484,3 @@ def test_one_altered_slot_costs_its_windows_only(spark):
     n = len(item.split()) - 7
     # of the n windows, 8 hold the altered name or number
     assert got == {1: (n - 8, n, True), 2: (n - 8, n, True), 3: (n, n, True), 4: (n - 8, n, True)}
-
-
-# ---- pipeline
-
-
-def test_pipeline_stages(spark, small_dir):
-    import corpus_pipeline as c
-
-    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
-    before = [tuple(r) for r in docs.collect()]
-    kept = docs
-    for _, stage in c.STAGES[:-1]:
-        kept = stage(spark, kept, small_dir)
-        assert kept.columns == docs.columns
-    leaks = {r[0] for r in before for i in spark.read.parquet(f"{small_dir}/benchmark.parquet").collect() if i.text in r[1]}
-    firsts = {c for _, _, c in brute_groups(before, 5, 80)}
-    ids = {r.doc_id for r in kept.select("doc_id").collect()}
-    assert ids <= firsts - leaks
-    final = c.run(spark, small_dir)
-    assert final.count() == kept.count() and final.select("shard").distinct().count() == 16
