@@ -100,7 +100,7 @@ def recentred(spark, d):
 
 def median_scale(spark, d):
     o = table(spark, d, "orders").select("o_custkey", (F.col("o_totalprice") / 50000).alias("ratio"))
-    return K.median_scale(o, ("o_custkey",), "ratio", least=8).select("o_custkey", "n", *_r(scale=F.col("scale")))
+    return K.median_scale(o, ("o_custkey",), "ratio", least=8).select("o_custkey", "n", F.round("scale", 9).alias("scale"))
 
 
 def quarter_turns(spark, d):
@@ -199,7 +199,7 @@ ORACLE_SQL = {
         SELECT l_returnflag, round(max(l_extendedprice - m), 4) AS most, round(min(l_extendedprice - m), 4) AS least FROM lineitem JOIN m USING (l_returnflag) GROUP BY 1""",
     "recentred": """WITH m AS (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.5) AS m FROM orders GROUP BY 1)
         SELECT o_orderpriority, round(avg(o_totalprice / m), 6) AS scale, round(max(o_custkey / m), 6) AS other FROM orders JOIN m USING (o_orderpriority) GROUP BY 1""",
-    "median_scale": "SELECT o_custkey, count(*) AS n, round(quantile_cont(o_totalprice / 50000, 0.5), 6) AS scale FROM orders WHERE o_totalprice / 50000 > 0.2 AND o_totalprice / 50000 < 5.0 GROUP BY 1 HAVING count(*) >= 8",
+    "median_scale": "SELECT o_custkey, count(*) AS n, round(quantile_cont(o_totalprice / 50000, 0.5), 9) AS scale FROM orders WHERE o_totalprice / 50000 > 0.2 AND o_totalprice / 50000 < 5.0 GROUP BY 1 HAVING count(*) >= 8",
     "quarter_turns": """WITH e AS (SELECT user_id, value % 7 - 3 AS gx, CAST(event_id % 5 - 2 AS DOUBLE) AS gy FROM events), v AS (SELECT user_id, CAST(list_position([gy, gx, -gy, -gx], greatest(gy, gx, -gy, -gx)) - 1 AS INTEGER) AS turns, count(*) AS n FROM e GROUP BY ALL)
         SELECT user_id, turns, n FROM v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, turns) = 1""",
     "clean_rate": """WITH a AS (SELECT o_custkey AS user_id, sum(o_totalprice / 100000 * 2.4::DOUBLE) AS area FROM orders GROUP BY 1), k AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1)
