@@ -147,6 +147,17 @@ ORACLE_SQL = {
         e AS (SELECT i, j, i = i0 OR i = i1 OR j = j0 OR j = j1 AS edge FROM (SELECT unnest(range(i0, i1 + 1)) AS i FROM x), (SELECT unnest(range(j0, j1 + 1)) AS j FROM x), x WHERE (i, j) NOT IN (SELECT (i, j) FROM c)),
         r AS (SELECT i, j FROM e WHERE edge UNION SELECT e.i, e.j FROM r JOIN e ON abs(e.i - r.i) + abs(e.j - r.j) = 1)
         SELECT i, j FROM e WHERE (i, j) NOT IN (SELECT (i, j) FROM r)""",
+    "interior": """WITH RECURSIVE g AS (SELECT l_partkey % 64 AS i, l_suppkey % 64 AS j, count(*) AS n FROM lineitem GROUP BY ALL), b AS (SELECT i, j FROM g WHERE (n + i) % 11 = 0), k AS (SELECT a, b FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b)),
+        s AS (SELECT i, j FROM g WHERE n % 2 = 0 OR n % 4 >= 2), d1 AS (SELECT DISTINCT i + a AS i, j + k.b AS j FROM s, k), d2 AS (SELECT DISTINCT i + a AS i, j + k.b AS j FROM d1, k),
+        e1 AS (SELECT i - a AS i, j - k.b AS j FROM d2, k GROUP BY ALL HAVING count(*) = 9), e2 AS (SELECT i - a AS i, j - k.b AS j FROM e1, k GROUP BY ALL HAVING count(*) = 9),
+        w AS (SELECT DISTINCT i + a AS i, j + k.b AS j FROM b, k WHERE abs(a) + abs(k.b) < 2), c AS (SELECT i, j FROM e2 WHERE (i, j) NOT IN (SELECT (i, j) FROM w)),
+        x AS (SELECT min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1 FROM c),
+        e AS (SELECT i, j, (i + 10) * 1000 + j + 10 AS v, i = i0 OR i = i1 OR j = j0 OR j = j1 AS edge FROM (SELECT unnest(range(i0, i1 + 1)) AS i FROM x), (SELECT unnest(range(j0, j1 + 1)) AS j FROM x), x WHERE (i, j) NOT IN (SELECT (i, j) FROM c)),
+        r AS (SELECT i, j FROM e WHERE edge UNION SELECT e.i, e.j FROM r JOIN e ON abs(e.i - r.i) + abs(e.j - r.j) = 1),
+        h AS (SELECT i, j, v FROM e WHERE (i, j) NOT IN (SELECT (i, j) FROM r)), q AS (SELECT v, i, j FROM h UNION SELECT q.v, h.i, h.j FROM q JOIN h ON abs(h.i - q.i) + abs(h.j - q.j) = 1),
+        m AS (SELECT v, count(*) AS n, avg(CASE WHEN b.i IS NULL THEN 0.0 ELSE 1.0 END) AS share FROM q LEFT JOIN b ON b.i = q.i AND b.j = q.j GROUP BY v),
+        f AS (SELECT i, j FROM c UNION SELECT i, j FROM h JOIN m ON m.v = h.v WHERE m.n < 96 AND m.share < 0.25), o AS (SELECT i - a AS i, j - k.b AS j FROM f, k GROUP BY ALL HAVING count(*) = 9)
+        SELECT DISTINCT i + a AS i, j + k.b AS j FROM o, k""",
     "drawn_gaps": """WITH g AS (SELECT s_suppkey AS gap_id, s_acctbal / 2500 - 2 AS gx, (s_suppkey % 9) / 4.0::DOUBLE - 1 AS gz, ([1, 0, -1, 0]::DOUBLE[])[s_suppkey % 4 + 1] AS nx, ([0, 1, 0, -1]::DOUBLE[])[s_suppkey % 4 + 1] AS nz, (s_suppkey % 5) / 2.0::DOUBLE + 1 AS w FROM supplier),
         s AS (SELECT gap_id, gx - w / 2 * nz AS x1, gz + w / 2 * nx AS z1, gx + w / 2 * nz AS x2, gz - w / 2 * nx AS z2 FROM g), n AS (SELECT *, greatest(2, CAST(ceil(sqrt((x2 - x1) * (x2 - x1) + (z2 - z1) * (z2 - z1)) / (0.3::DOUBLE * 0.5::DOUBLE)) AS INTEGER)) AS n FROM s),
         k AS (SELECT *, unnest(range(n)) AS k FROM n), t AS (SELECT *, k / (n - 1) AS t FROM k), p AS (SELECT DISTINCT gap_id, CAST(floor((x1 + (x2 - x1) * t) / 0.3::DOUBLE) AS BIGINT) AS i, CAST(floor((z1 + (z2 - z1) * t) / 0.3::DOUBLE) AS BIGINT) AS j FROM t)
