@@ -29,6 +29,18 @@ def _cuts(keys: list[int], ranges: int) -> list[int]:
     return sorted({k if whole.count(k & ~_LOW) > 1 else k & ~_LOW for k in picked} | set(whole))
 
 
+def _bisected(cuts: Column, key: Column) -> Column:
+    """How many of a row's sorted `cuts` are not above its key, in as many steps as their number has bits."""
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["lo"] + at["hi"], 1)
+        above = F.get(cuts, middle) <= key
+        return F.when(at["lo"] >= at["hi"], at).when(above, F.struct((middle + 1).alias("lo"), at["hi"].alias("hi"))).otherwise(F.struct(at["lo"].alias("lo"), middle.alias("hi")))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.size(cuts) + 1)).cast("int") + 1), start, halve, lambda at: at["lo"])
+
+
 def shard_by_bytes(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 16,
     ranges: int = 256, sample: int = 16384, most_rows: int = 200_000, group_share: float = 0.05, seed: int = 0,
@@ -64,7 +76,7 @@ def shard_by_bytes(
     dense = rows.join(full, "part").where(chance < F.lit(16.0 / most_rows)).groupBy("part").agg(F.sort_array(F.collect_list("key")).alias("found"))
     dense = dense.select("part", F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.size("found") / 16).cast("int"))), lambda i: F.get("found", F.least(i * 16, F.size("found")) - 1)).alias("inner"))
     if full.limit(1).count():
-        rows = rows.join(dense, "part", "left").withColumn("part", F.col("part") * 65536 + F.when(F.col("inner").isNull(), 0).otherwise(F.size(F.filter("inner", lambda c: c <= F.col("key"))))).drop("inner")
+        rows = rows.join(dense, "part", "left").withColumn("part", F.col("part") * 65536 + F.when(F.col("inner").isNull(), 0).otherwise(_bisected(F.col("inner"), F.col("key")))).drop("inner")
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over ranges, whose number is bounded
     offsets = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
