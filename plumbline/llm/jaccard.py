@@ -189,12 +189,17 @@ def _unordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a_node", "b_node").alias("x"), F.greatest("a_node", "b_node").alias("y")).distinct()
 
 
+def _spread(asking: DataFrame, asked: DataFrame) -> DataFrame:
+    """Pairs of a bucket's `asking` (a_) and `asked` (b_) members, both with the number of `parts` of their bucket: the asked ones are cut in parts, each of which the asking ones visit, so no bucket is one task."""
+    b = asked.withColumn("part", F.pmod(F.xxhash64("b_node"), F.col("parts")).cast("int")).drop("parts")
+    a = asking.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return a.join(b, ["token", "part"])
+
+
 def _dealt(asking: DataFrame, asked: DataFrame, most: int) -> DataFrame:
-    """Pairs of a bucket's `asking` (a_) and `asked` (b_) members: the asked ones are cut in parts of about `most`, each of which the asking ones visit, so no bucket is one task."""
+    """The same with parts of about `most` members, which are counted first."""
     parts = asked.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
-    b = asked.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("b_node"), F.col("parts")).cast("int")).drop("parts")
-    a = asking.join(parts, "token").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return a.join(b, ["token", "part"])
+    return _spread(asking.join(parts, "token"), asked.join(parts, "token"))
 
 
 def similar_groups(
@@ -238,13 +243,13 @@ def similar_groups(
         due, left = most.agg(F.sum((F.col("m") - F.col("top")) * F.col("m")), F.sum("m")).first()
         if not left:
             break
-        inside = inside.join(most.select("token", "main"), "token")
+        inside = inside.join(most.select("token", "main", F.ceil(F.col("m") / 4096).cast("int").alias("parts")), "token")
         rest, main = inside.where("component <> main"), inside.where("component = main")
         if turn < rounds - 2 and due > 1000 * left + 10_000_000:
             pairs = _side(rest, "a").join(_side(_pivots(main.select("token", "node", "n", "pos"), 100 * (turn + 1)), "b"), "token").where(_close(percent))
         else:
             rounds = turn + 2
-            both = _dealt(_side(rest, "a", "component"), _side(inside, "b", "component", "main"), 4096)
+            both = _spread(_side(rest, "a", "component", "parts").withColumnRenamed("a_parts", "parts"), _side(inside, "b", "component", "main", "parts").withColumnRenamed("b_parts", "parts"))
             once = (F.col("b_component") == F.col("b_main")) | (F.col("a_node") < F.col("b_node"))
             pairs = both.where(_close(percent) & (F.col("a_component") != F.col("b_component")) & once)
         pairs = _unordered(pairs).join(tried, ["x", "y"], "left_anti")
