@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their SQL where SQL can say the same."""
+"""The registered queries of the operators, and their SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, mixing, quality, sharding, substrings, templates, tokens, topk, urls
+from . import jaccard, language, mixing, quality, sharding, substrings, templates, tokens, topk, trie, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,13 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return templates.judged(docs, templates.find_leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree, convs = trie.conversation_trie(table(spark, sf_dir, "conversations"))
+    nodes = tree.nodes.join(trie.ends_hashes(tree.paths, convs), "node", "left")
+    columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"]
+    return nodes.select(*columns, F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bit_sliced_top_k": op1_bit_sliced_top_k,
     "op2_source_mix": op2_source_mix,
@@ -79,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_template_decontamination": op10_template_decontamination,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -189,4 +197,34 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT v, min(u) AS component_id FROM r GROUP BY v)
         SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM s JOIN c ON c.v = doc_id
     """,
+    "op13_conversation_trie": r"""
+        WITH t AS (
+            SELECT conv_id, [coalesce(role, ''), coalesce(text, '')] AS token, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS at
+            FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (
+            SELECT conv_id, (list_reduce(
+                list_transform(range(1, len(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT)),
+                lambda crc, byte: list_reduce(range(1, 9), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, byte)),
+                4294967295) & 3) AS low
+            FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t)),
+        h AS (SELECT conv_id, conv_id - conv_id % 20 AS base, 3 - low AS h FROM c),
+        r AS (
+            SELECT h.conv_id, 0 AS side, t.at, t.token FROM h JOIN t ON t.conv_id = h.base AND t.at < h.h
+            UNION ALL
+            SELECT h.conv_id, 1, t.at, t.token FROM h JOIN t USING (conv_id) WHERE t.at >= h.h),
+        p AS (SELECT h.conv_id, coalesce(list(r.token ORDER BY side, r.at) FILTER (WHERE r.token IS NOT NULL), []) AS path FROM h LEFT JOIN r USING (conv_id) GROUP BY h.conv_id),
+        m AS (SELECT conv_id, path AS whole, unnest(range(0, len(path) + 1)) AS depth FROM p),
+        n AS (
+            SELECT whole[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(whole) = depth), '') AS ends
+            FROM m GROUP BY ALL),
+        k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+        v AS (
+            SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf,
+                   CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(n.path[depth][2], '[^\x20\x09-\x0D]+')) END AS own
+            FROM n LEFT JOIN k ON n.path = k.path),
+        s AS (SELECT path[1:d] AS path, sum(leaf) AS n_leaves, sum(own) AS saved FROM (SELECT path, leaf, own, unnest(range(0, depth + 1)) AS d FROM v) GROUP BY 1)
+        SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(v.ends) AS ends_sha256
+        FROM v JOIN s ON s.path = v.path LEFT JOIN n u ON v.depth > 0 AND u.path = v.path[1:v.depth - 1]
+    """,
 }

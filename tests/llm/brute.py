@@ -263,3 +263,36 @@ def leaks(docs, items, units, window=8, coverage=0.5, run=6):
             if matched and (share >= coverage or longest >= run):
                 found[doc_id, item_id] = (len(matched), len(spots), reworded)
     return found
+
+
+def conversation_nodes(rows: list[tuple], every: int = 20) -> list[tuple]:
+    """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of the rebuilt conversations' trie, from (conv_id, turn, role, text); ties by a hash of role and text."""
+    own: dict[int, list] = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            tie = hashlib.md5(str(len(role.encode())).encode() + b":" + role.encode() + text.encode()).digest()
+            own.setdefault(c, []).append((turn is not None, turn or 0, tie, (role, text)))
+    turns = {c: [x[-1] for x in sorted(v)] for c, v in own.items()}
+    paths = {}
+    for c, mine in turns.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        paths[c] = turns.get(c - int(math.fmod(c, every)), [])[:h] + mine[h:]
+    members: dict[tuple, list[int]] = {}
+    for c, path in paths.items():
+        for d in range(len(path) + 1):
+            members.setdefault(tuple(path[:d]), []).append(c)
+    children: dict[tuple, list[tuple]] = {p: [] for p in members}
+    for p in members:
+        if p:
+            children[p[:-1]].append(p)
+    totals: dict[tuple, tuple[int, int]] = {}
+    for p in sorted(members, key=len, reverse=True):
+        below = [totals[x] for x in children[p]]
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", p[-1][1])) if p else 0
+        totals[p] = sum(x for x, _ in below) or 1, sum(x for _, x in below) + (len(members[p]) - 1) * words
+    found = []
+    for p, who in members.items():
+        ends = ",".join(str(c) for c in sorted(who) if len(paths[c]) == len(p))
+        found.append((min(who), len(p), min(members[p[:-1]]) if p else None, len(who), len(children[p]), *totals[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return found
