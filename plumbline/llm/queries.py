@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, mixing, quality, sharding, substrings, templates, tokens, topk, trie, urls
+from . import jaccard, language, mixing, phrases, quality, sharding, substrings, templates, tokens, topk, trie, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,10 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return templates.judged(docs, templates.find_leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, most_words=5, share=100, top=2000)
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree, convs = trie.conversation_trie(table(spark, sf_dir, "conversations"))
     nodes = tree.nodes.join(trie.ends_hashes(tree.paths, convs), "node", "left")
@@ -86,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_template_decontamination": op10_template_decontamination,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
@@ -197,6 +202,30 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT v, min(u) AS component_id FROM r GROUP BY v)
         SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM s JOIN c ON c.v = doc_id
     """,
+    "op12_phrase_collocations": r"""
+        WITH d AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+        s AS (SELECT lang, w, unnest([1, 2, 3, 4, 5]) AS m FROM w),
+        p AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM s),
+        g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS a FROM p GROUP BY ALL),
+        f AS (SELECT * FROM g WHERE a >= 100),
+        n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM g WHERE m = 1 GROUP BY lang),
+        k AS (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+        c AS (
+            SELECT k.lang, k.phrase, k.m, k.a, k, l.a AS l, r.a AS r, n.n, (1000::HUGEINT * k.a * n.n) // (l.a::HUGEINT * r.a) AS score
+            FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(w[:k], ' ')
+            JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(w[k + 1:], ' ') JOIN n ON n.lang = k.lang),
+        b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM c),
+        x AS (
+            SELECT DISTINCT s.lang, s.phrase FROM f s JOIN f t ON t.lang = s.lang AND t.a = s.a AND t.m > s.m
+            WHERE contains(' ' || t.phrase || ' ', ' ' || s.phrase || ' ')),
+        o AS (
+            SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank
+            FROM b ANTI JOIN x ON x.lang = b.lang AND x.phrase = b.phrase WHERE o = 1)
+        SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000
+    """,
     "op13_conversation_trie": r"""
         WITH t AS (
             SELECT conv_id, [coalesce(role, ''), coalesce(text, '')] AS token, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS at

@@ -296,3 +296,27 @@ def conversation_nodes(rows: list[tuple], every: int = 20) -> list[tuple]:
         ends = ",".join(str(c) for c in sorted(who) if len(paths[c]) == len(p))
         found.append((min(who), len(p), min(members[p[:-1]]) if p else None, len(who), len(children[p]), *totals[p], hashlib.sha256(ends.encode()).hexdigest()))
     return found
+
+
+def collocations(rows: list[tuple], least: int, top: int) -> list[tuple]:
+    """(lang, rank, phrase, a, l, r, n, score) of (text, lang) rows, from all counts of up to five words."""
+    counts: dict[str, Counter] = defaultdict(Counter)
+    sizes: Counter = Counter()
+    for text, lang in rows:
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower):
+            w = tuple(re.findall(r"[^\x20\x09]+", piece))
+            sizes[lang or "und"] += len(w)
+            counts[lang or "und"].update(w[i : i + m] for m in range(1, 6) for i in range(len(w) - m + 1))
+    found = []
+    for lang, f in counts.items():
+        often = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        inside = {p[i : i + m] for p, a in often.items() for m in range(2, len(p)) for i in range(len(p) - m + 1) if 100 * a >= 100 * often.get(p[i : i + m], 1 << 60)}
+        n = sizes[lang]
+        scored = []
+        for p, a in often.items():
+            if p not in inside:
+                score, k = min((1000 * a * n // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+                scored.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        found += [(lang, i, p.decode(), -a, left, right, n, -score) for i, (score, a, p, left, right) in enumerate(sorted(scored)[:top], 1)]
+    return found
