@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, mixing, phrases, quality, sharding, substrings, templates, tokens, topk, trie, urls
+from . import jaccard, language, mixing, pages, phrases, quality, sharding, substrings, templates, tokens, topk, trie, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,10 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return templates.judged(docs, templates.find_leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op11_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), least=100, most_words=5, share=100, top=2000)
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_template_decontamination": op10_template_decontamination,
+    "op11_page_differencing": op11_page_differencing,
     "op12_phrase_collocations": op12_phrase_collocations,
     "op13_conversation_trie": op13_conversation_trie,
 }

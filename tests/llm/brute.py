@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import xxhash
 
@@ -320,3 +321,95 @@ def collocations(rows: list[tuple], least: int, top: int) -> list[tuple]:
                 scored.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
         found += [(lang, i, p.decode(), -a, left, right, n, -score) for i, (score, a, p, left, right) in enumerate(sorted(scored)[:top], 1)]
     return found
+
+
+# ---- pages
+
+
+class _Reader(HTMLParser):
+    """Blocks of a page by the standard library's parser: (text, inside an article or main, inside a container that never is)."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.held, self.open = [], [], []
+
+    def end(self):
+        text = " ".join("".join(self.held).split())
+        self.held = []
+        if text:
+            self.out.append((text, any(t in ("article", "main") for t, _ in self.open), any(never for _, never in self.open)))
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.held.append(" ")
+        elif tag in ("p", "h1", "h2", "li", "ul", "div", "nav", "footer", "article", "body", "aside", "form", "header", "section", "main"):
+            self.end()
+            if tag != "p" and tag != "h1" and tag != "h2" and tag != "li":
+                self.open.append((tag, tag in ("nav", "footer", "aside", "form") or dict(attrs).get("class") in ("ad", "comments", "cookie-notice", "sidebar")))
+        elif tag in ("head", "script", "style"):
+            self.open.append((tag, True))
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "h2", "li", "ul", "div", "nav", "footer", "article", "body", "aside", "form", "header", "section", "main", "head", "script", "style"):
+            if tag in ("head", "script", "style"):
+                self.held = [] if tag == "head" else self.held
+            self.end()
+            at = max((i for i, (t, _) in enumerate(self.open) if t == tag), default=None)
+            if at is not None:
+                del self.open[at:]
+
+    def handle_data(self, data):
+        if not any(t in ("head", "script", "style") for t, _ in self.open):
+            self.held.append(data)
+
+
+def _common(a: list, b: list) -> list[list[int]]:
+    """Indices of a in each longest common subsequence's first choice, by the full table."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
+    taken = []
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            taken.append(i)
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return taken
+
+
+def main_texts(rows: list[tuple]) -> list[tuple]:
+    """(page_id, text, n_lines, n_shared) of (page_id, url, html); the nearest page of a host by trying all of it. Repeated lines in one page can be told apart only by count."""
+    read = []
+    for page_id, url, html in rows:
+        reader = _Reader()
+        reader.feed(html or "")
+        reader.close()
+        reader.end()
+        m = re.match(r"(?s)[^:]*?://([^/?#]*)([^?#]*)", url or "") if "://" in (url or "") else None
+        read.append((page_id, m[1].translate({i: i + 32 for i in range(65, 91)}) if m else "", m[2] if m else "", url or "", reader.out))
+    order = sorted(range(len(read)), key=lambda i: (read[i][1], read[i][2], read[i][0] is not None, read[i][0] or 0, read[i][3]))
+    found = []
+    for at, i in enumerate(order):
+        page_id, host, path, _, lines = read[i]
+        near = [read[order[x]] for x in (at - 1, at + 1) if 0 <= x < len(order) and read[order[x]][1] == host and host]
+
+        def alike(other, path=path):
+            n = next((k for k, (x, y) in enumerate(zip(path, other[2], strict=False)) if x != y), min(len(path), len(other[2])))
+            return path[:n].count("/") + (path == other[2]), n
+
+        all_alike = [alike(x) for x in read if x[1] == host and x is not read[i]]
+        assert not near or max(alike(x) for x in near) == max(all_alike)  # a neighbour in order is as near as any page
+        shared: list[int] = []
+        for other in sorted(near, key=alike, reverse=True):
+            taken = _common([t for t, *_ in lines], [t for t, *_ in other[4]])
+            if sum(len(lines[k][0]) for k in taken) <= 0.8 * sum(len(t) for t, *_ in lines):
+                shared = taken
+                break
+        main = [t for t, inside, never in lines if inside and not never] or [t for k, (t, _, never) in enumerate(lines) if not never and k not in shared]
+        found.append((page_id, "\n".join(main), len(lines), len(shared)))
+    return found
