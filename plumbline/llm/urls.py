@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from .common import saved, small
 
 #: Columns that lexical_features adds and the trees read.
-FEATURES = ["url_length", "host_length", "path_length", "host_labels", "depth", "digit_ratio", "entropy", "params", "longest_segment", "symbols", "suffix_share", "suffix_blocked", "extension_share"]
+FEATURES = ["url_length", "host_length", "path_length", "host_labels", "depth", "digit_ratio", "entropy", "params", "longest_segment", "symbols", "suffix_share", "suffix_blocked", "section_blocked", "extension_share"]
+
+#: Folds of hosts for the label statistics.
+FOLDS = 5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -63,22 +66,37 @@ def lexical_features(pages: DataFrame, url: str) -> DataFrame:
         F.coalesce(F.array_max(F.transform(parts, F.length)), F.lit(0)).cast("double").alias("longest_segment"),
         F.length(F.regexp_replace(u, r"[A-Za-z0-9/.:?&=#]", "")).cast("double").alias("symbols"),
         F.substring_index(host, ".", -1).alias("suffix"),
+        F.regexp_extract(path, r"^/([^/]*)/", 1).alias("segment"),
         F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1).alias("extension"),
     )
 
 
+def _blocked_share(rows: DataFrame, keys: list[str], name: str, expected: Column | float = 0.5, weight: int = 2) -> DataFrame:
+    """Adds `name`: the share of blocked rows among the labelled ones with the row's keys, from the hosts of the other folds only, smoothed by `weight` rows of the `expected` share."""
+    counts = [F.count_if(F.col("label").isNotNull() & (F.col("fold") == f)) for f in range(FOLDS)]
+    blocked = [F.count_if((F.col("label") == 1) & (F.col("fold") == f)) for f in range(FOLDS)]
+    by_key = rows.groupBy(*keys).agg(F.array(*counts).alias("_n"), F.array(*blocked).alias("_b"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    others = lambda c: total(F.col(c)) - F.get(c, F.col("fold"))
+    return rows.join(small(by_key), keys).withColumn(name, (others("_b") + expected * F.lit(weight)) / (others("_n") + weight)).drop("_n", "_b")
+
+
 def suffix_statistics(pages: DataFrame) -> DataFrame:
-    """Adds the share of all rows with the row's host suffix and with its extension, and the suffix's smoothed share of blocked rows among the *other* labelled rows, so that no label tells of itself.
+    """Adds the share of all rows with the row's host suffix and with its extension, and the shares of blocked rows by host suffix and by section, which is the suffix with the first path segment.
 
-    Suffixes and extensions are sent to all tasks while they are few (a checked count); beyond that the joins shuffle.
+    Hosts are dealt into folds by a hash, and a row's blocked shares come from the other folds. So
+    no label tells of its own row or host, and rows to be judged get statistics of the same kind as
+    rows to learn from; a section without labels has its segment's share. Suffixes, segments and extensions are sent to all tasks while they are few (a
+    checked count); beyond that the joins shuffle.
     """
-    suffixes = pages.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("_l"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("_b"))
+    suffixes = pages.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))
     extensions = pages.groupBy("extension").agg(F.count(F.lit(1)).alias("e"))
     total = float(max(1, pages.count()))
-    joined = pages.join(small(suffixes), "suffix").join(small(extensions), "extension")
-    own = F.when(F.col("label").isNotNull(), 1).otherwise(0)
-    blocked = (F.col("_b") - F.coalesce("label", F.lit(0.0)) + 1.0) / (F.col("_l") - own + 2.0)
-    return joined.withColumn("suffix_blocked", blocked).withColumn("suffix_share", F.col("n") / F.lit(total)).withColumn("extension_share", F.col("e") / F.lit(total)).drop("n", "e", "_l", "_b")
+    rows = pages.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int"))
+    rows = _blocked_share(_blocked_share(rows, ["suffix"], "suffix_blocked"), ["segment"], "_segment")
+    rows = _blocked_share(rows, ["suffix", "segment"], "section_blocked", F.col("_segment"), 4).drop("_segment")
+    joined = rows.join(small(suffixes), "suffix").join(small(extensions), "extension")
+    return joined.withColumn("suffix_share", F.col("n") / F.lit(total)).withColumn("extension_share", F.col("e") / F.lit(total)).drop("n", "e", "fold")
 
 
 def train(labelled: DataFrame, *, sample: int = 20_000, trees: int = 20, depth: int = 4, seed: int = 17) -> GBTClassificationModel | float:
@@ -106,8 +124,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], *, id_col: str =
     """(id, host, path, rule, verdict, p_block) of every url: its rule's verdict, else the trees'.
 
     The rules' verdicts are the labels: trees learn from the lexical form of the urls that a rule
-    decides and judge the others; p_block is their probability of `block`. Suffix statistics cover
-    all rows. A null url, or one without `://`, has an empty host and path, fits no rule and is
+    decides and judge the others; p_block is their probability of `block`. That is a weak ground
+    truth, as no labelled urls exist: the trees carry the rules over to urls of the same form, and
+    held_out_report measures how well. Suffix statistics cover all rows. A null url, or one without `://`, has an empty host and path, fits no rule and is
     judged as an empty text. Without a labelled url of both kinds the verdict is that of the only
     kind, or allow. Repeated rows and null ids pass through; an empty table gives an empty result.
     """
@@ -122,15 +141,15 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], *, id_col: str =
 
 
 def held_out_report(pages: DataFrame, rules: list[tuple[str, str]], *, id_col: str = "page_id", url_col: str = "url", sample: int = 20_000) -> dict[str, float]:
-    """How well trees from half of the labelled urls, by a hash of the url, tell the labels of the other half: n, accuracy, and the share of the commoner label there.
+    """How well trees from half of the labelled urls, by a hash of the host, tell the labels of the other half: n, accuracy, and the share of the commoner label there.
 
-    Suffix statistics of the held-out rows come from the first half's labels only.
+    The halves share no host, and all statistics come from the first half's labels only.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     host, path = host_and_path(F.col("url"))
     rows = with_rules(rows.withColumn("host", host).withColumn("path", path), rules)
     truth = F.when(F.col("rule_verdict") == "block", 1.0).when(F.col("rule_verdict") == "allow", 0.0)
-    apart = F.pmod(F.xxhash64("url"), F.lit(2)) == 1
+    apart = F.pmod(F.xxhash64("host", F.lit(1)), F.lit(2)) == 1
     rows = rows.withColumn("truth", truth).withColumn("label", F.when(apart, F.lit(None).cast("double")).otherwise(truth))
     rows = suffix_statistics(saved(lexical_features(rows, "url"), "url-features"))
     scored = probability(rows.where(apart & F.col("truth").isNotNull()), train(rows, sample=sample))

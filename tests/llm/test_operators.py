@@ -192,6 +192,41 @@ def test_trees_learn_from_labelled_urls(spark):
     assert ((scored.p_block > 0.5) == (scored.label == 1)).mean() > 0.95
 
 
+def test_no_label_tells_of_its_own_host(spark):
+    """Flipping a host's labels leaves its own rows' features as they are, and changes those of other hosts."""
+    rows = [(i, f"https://h{i % 40}.{'com' if i % 3 else 'net'}/{'ab'[i % 2]}/{i}", float(i % 5 == 0)) for i in range(400)]
+    host, path = urls.host_and_path(F.col("url"))
+    features = {}
+    for flipped in (None, "h7.com", "h9.net"):
+        df = spark.createDataFrame(rows, "page_id long, url string, label double").withColumn("host", host).withColumn("path", path)
+        df = df.withColumn("label", F.when(F.col("host") == flipped, 1 - F.col("label")).otherwise(F.col("label"))) if flipped else df
+        features[flipped] = {r["page_id"]: (r["host"], tuple(r[c] for c in urls.FEATURES)) for r in urls.suffix_statistics(urls.lexical_features(df, "url")).collect()}
+    for flipped in ("h7.com", "h9.net"):
+        same = {i for i, v in features[None].items() if features[flipped][i] == v}
+        assert {i for i, v in features[None].items() if v[0] == flipped} <= same and len(same) < len(rows)
+
+
+def test_trees_use_the_form_of_urls_of_unseen_hosts(spark):
+    """Two kinds of urls that only their form tells apart, under rules by path prefix: the trees use several lexical features, and tell the kinds on hosts that they have not seen."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(900):
+        bad = rng.random() < 0.4
+        tail = "".join(rng.choice("0123456789") for _ in range(rng.randrange(8, 20))) + f"?a={i}&b=2&c=3" if bad else "/".join(rng.choice(["stories", "of", "the", "day", "news"]) for _ in range(rng.randrange(1, 5)))
+        rows.append((i, f"https://h{i % 60}.{rng.choice(['com', 'net', 'org'])}/{'x' if bad else 'y'}{rng.randrange(30)}/{tail}"))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = [(f"{tld}/x", "block") for tld in ("com", "net")] + [(f"{tld}/y", "allow") for tld in ("com", "net")]
+    report = urls.held_out_report(pages, rules)
+    assert report["n"] > 100 and report["accuracy"] > report["majority"] + 0.25
+    judged = urls.judge_urls(pages, rules).where("rule is null").collect()
+    assert len(judged) > 200 and sum((r["verdict"] == "block") == r["path"].startswith("/x") for r in judged) > 0.95 * len(judged)
+    host, path = urls.host_and_path(F.col("url"))
+    labelled = urls.with_rules(pages.withColumn("host", host).withColumn("path", path), rules).withColumn("label", (F.col("rule_verdict") == "block").cast("double"))
+    weights = dict(zip(urls.FEATURES, urls.train(urls.suffix_statistics(urls.lexical_features(labelled, "url"))).featureImportances, strict=True))
+    assert sum(w for f, w in weights.items() if not f.endswith(("_blocked", "_share"))) > 0.5
+    assert sum(weights[f] > 0 for f in urls.FEATURES[:10]) >= 2
+
+
 # ---- tokens
 
 
