@@ -192,8 +192,6 @@ def test_hull_of_a_circle_keeps_all_corners(spark):
     got = {r.k: (r.area, r.n_hull) for r in geometry.hull_areas(spark.createDataFrame(pts, "k string, x double, z double"), ("k",), "x", "z").collect()}
     assert got["c"][0] == pytest.approx(0.5 * 50 * 25 * math.sin(2 * math.pi / 50)) and got["c"][1] == 50
     assert got["line"][0] == 0 and got["dot"] == (0.0, 1)
-    ring = lambda x: spark.createDataFrame([("a", *e) for e in [(x, 0.0, x + 2, 0.0), (x + 2, 0.0, x + 2, 2.0), (x + 2, 2.0, x, 2.0), (x, 2.0, x, 0.0)]], "k string, x1 double, z1 double, x2 double, z2 double")
-    assert geometry.rings_iou(ring(0.0), ring(1.0), ("k",), 0.1).collect()[0].iou == pytest.approx(1 / 3)
 
 
 def test_percentiles_equal_the_exact_ones(spark):
