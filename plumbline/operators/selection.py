@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grids import numbered
+from .quantiles import exact_percentiles, with_key_values
+
 
 def hashed_share(*idents: Column, seed: int = 0) -> Column:
     """A number in [0, 1) that follows the row's identity and a seed: the same in every run and engine (first 32 bits of an MD5)."""
@@ -54,16 +57,16 @@ def first_match(pairs: DataFrame, ident: str, order: str) -> DataFrame:
 
 
 def rank01(df: DataFrame, keys: tuple[str, ...], value: str, tie: str) -> DataFrame:
-    """Adds `rank01`: k / max(1, n - 1) of each key's rows by value, ties by `tie`."""
-    w = Window.partitionBy(*keys).orderBy(value, tie)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return df.withColumn("rank01", (F.row_number().over(w) - 1) / F.greatest(F.lit(1), n - 1))
+    """Adds `rank01`: k / max(1, n - 1) of each key's rows by value, ties by `tie`. Rows are numbered in ranges, so a key's rows lie in many tasks."""
+    rows = numbered(df, [*keys, value, tie], "_at")
+    ends = rows.groupBy(*keys).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    return with_key_values(rows, ends, keys).withColumn("rank01", (F.col("_at") - F.col("_first")) / F.greatest(F.lit(1), F.col("_n") - 1)).drop("_at", "_first", "_n")
 
 
 def above_percentile(df: DataFrame, keys: tuple[str, ...], value: str, share: float = 0.25) -> DataFrame:
     """Rows at or above their key's percentile."""
-    floor = df.groupBy(*keys).agg(F.percentile(value, share).alias("_least"))
-    return df.join(floor, list(keys)).where(F.col(value) >= F.col("_least")).drop("_least")
+    floor = exact_percentiles(df, keys, value, [share]).select(*keys, F.col("p")[0].alias("_least"))
+    return with_key_values(df, floor, keys).where(F.col(value) >= F.col("_least")).drop("_least")
 
 
 def every_nth(df: DataFrame, keys: tuple[str, ...], order: list[str], fps: float, target: float = 3.0) -> DataFrame:
@@ -138,8 +141,8 @@ def weighted_gauge(df: DataFrame, keys: tuple[str, ...], value: str, weight: str
 
 def recentred(df: DataFrame, keys: tuple[str, ...], scale: str, others: tuple[str, ...] = ()) -> DataFrame:
     """`scale` and `others` divided by the key's median scale."""
-    middle = df.groupBy(*keys).agg(F.percentile(scale, 0.5).alias("_m"))
-    return df.join(middle, list(keys)).withColumns({c: F.col(c) / F.col("_m") for c in (scale, *others)}).drop("_m")
+    middle = exact_percentiles(df, keys, scale, [0.5]).select(*keys, F.col("p")[0].alias("_m"))
+    return with_key_values(df, middle, keys).withColumns({c: F.col(c) / F.col("_m") for c in (scale, *others)}).drop("_m")
 
 
 def median_scale(ratios: DataFrame, keys: tuple[str, ...], ratio: str, low: float = 0.2, high: float = 5.0, least: int = 15) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import exact_percentiles
+from .quantiles import exact_percentiles, with_key_values
 
 #: The published threshold grid.
 GRID = {
@@ -23,9 +23,11 @@ def wall_statistics(df: DataFrame, keys: tuple[str, ...], diff: str, length: str
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 3)
     sums = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.avg(z * z)), 2).alias("z_rms"), share(e <= F.col(sigma) * 1.96).alias("ci95_coverage"), share((e <= absolute) | (e <= F.col(length) * relative)).alias("pass_rate"))
-    errors = exact_percentiles(df.select(*keys, e.alias("e")), keys, "e", [0.5, 0.9]).select(*keys, F.round(F.col("p")[0] * 1000, 1).alias("median_abs_mm"), F.round(F.col("p")[1] * 1000, 1).alias("p90_abs_mm"))
-    parts = exact_percentiles(df.select(*keys, (e / F.col(length)).alias("e")), keys, "e", [0.5]).select(*keys, F.round(F.col("p")[0] * 100, 2).alias("median_abs_pct"))
-    return sums.join(errors, list(keys)).join(parts, list(keys)).select(*keys, "n", "median_abs_mm", "p90_abs_mm", "median_abs_pct", "z_rms", "ci95_coverage", "pass_rate")
+    parts = F.explode(F.array(F.struct(F.lit(0).alias("_what"), (e * 1000).alias("_e")), F.struct(F.lit(1).alias("_what"), (e / F.col(length) * 100).alias("_e")))).alias("s")
+    found = exact_percentiles(df.select(*keys, parts).select(*keys, "s.*"), (*keys, "_what"), "_e", [0.5, 0.9])  # both errors in one sketch and one count
+    at = lambda what, k: F.max(F.when(F.col("_what") == what, F.col("p")[k]))
+    errors = found.groupBy(*keys).agg(F.round(at(0, 0), 1).alias("median_abs_mm"), F.round(at(0, 1), 1).alias("p90_abs_mm"), F.round(at(1, 0), 2).alias("median_abs_pct"))
+    return with_key_values(sums, errors, keys).select(*keys, "n", "median_abs_mm", "p90_abs_mm", "median_abs_pct", "z_rms", "ci95_coverage", "pass_rate")
 
 
 def opening_score(df: DataFrame, ok: str, n_a: str, n_b: str) -> DataFrame:

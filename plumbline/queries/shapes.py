@@ -47,7 +47,7 @@ def segmented_rooms(spark, d):
     cells = PQ._cells(spark, d).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
     plans = cells.withColumn("capture", F.explode(F.array(*[F.lit(f"plan{k}") for k in range(3)])))
     k = F.substring("capture", 5, 1).cast("int")
-    inner = plans.where((F.col("n") * 7 + F.col("i") * 3 + F.col("j") + k) % 5 < 4)
+    inner = plans.where((F.col("n") * 7 + F.col("i") * 3 + F.col("j") + k) % 5 < 3)
     visited = inner.where((F.col("i") + F.col("j")) % 7 < 2).select("capture", "i", "j")
     s = table(spark, d, "supplier").select(F.concat(F.lit("plan"), F.col("s_suppkey") % 3).alias("capture"), F.col("s_suppkey").alias("gap_id"), (F.col("s_suppkey") % 17 * 0.6).alias("x1"), (F.floor("s_acctbal") % 13 * 0.7).alias("z1"), (F.col("s_suppkey") % 5 * 0.6 + 0.6).alias("width"), (F.col("s_suppkey") % 2).alias("turn"))
     gaps = s.select("capture", "gap_id", "x1", "z1", (F.col("x1") + F.col("width") * F.col("turn")).alias("x2"), (F.col("z1") + F.col("width") * (1 - F.col("turn"))).alias("z2"), "width")

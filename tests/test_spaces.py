@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import fits, geometry, graphs, openings, rasters, rules
+from plumbline.operators import fits, geometry, graphs, histograms, openings, rasters, rules
 from plumbline.operators.quantiles import exact_percentiles
 from plumbline.plans import comparison, drift, placement, rooms
 
@@ -204,6 +204,15 @@ def test_percentiles_equal_the_exact_ones(spark):
         assert got[k] == pytest.approx(np.quantile([v for g, v in rows if g == k and v is not None], shares).tolist())
 
 
+def test_percentiles_of_null_keys_and_null_values(spark):
+    rows = [(None, 1, 5.0), (None, 1, 7.0), (1, None, 2.0), (1, None, 4.0), (1, None, None), (None, None, 9.0), (2, 2, None)]
+    df = spark.createDataFrame(rows, "a int, b int, v double")
+    got = {(r.a, r.b): r.p for r in exact_percentiles(df, ("a", "b"), "v", [0.0, 0.5]).collect()}
+    assert got == {(None, 1): [5.0, 6.0], (1, None): [2.0, 3.0], (None, None): [9.0, 9.0], (2, 2): [None, None]}
+    assert exact_percentiles(df, (), "v", [0.5]).collect()[0].p == [5.0]
+    assert {(r.a, r.b): r.med for r in histograms.mad_sigma(df, "v", ("a", "b")).collect()} == {k: v[1] for k, v in got.items()}
+
+
 def test_openings_of_two_faces_and_narrow_first(spark):
     gaps = spark.createDataFrame([(1, 1, 0.0, 0.0, 1.0, 1.0), (1, 2, 0.0, 0.2, 3.0, 2.8), (1, 3, 0.0, 1.5, 2.4, 0.9)], "wall_id int, gap_id int, c double, a double, b double, overlap double")
     assert sorted(r.gap_id for r in openings.narrowest_apart(gaps).collect()) == [1, 3]
