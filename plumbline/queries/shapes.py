@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import contours as N
 from ..operators import geometry as X
 from ..operators import leaders as C
 from ..operators import overlay as V
@@ -55,7 +57,25 @@ def segmented_rooms(spark, d):
     return found.groupBy("capture", "what", "label", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("i"), F.min("j").alias("j"), F.sum("gap_id").alias("gaps"))
 
 
-QUERIES = {f.__name__: f for f in (segmented_rooms, hull_iou, fused_consistency, leader_clusters)}
+def simplified_paths(spark, d):
+    """Users' paths through their events without the points near a chord."""
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    e = table(spark, d, "events").select("user_id", k.alias("k"), (F.col("value") / 10).alias("x"), (F.col("event_id") % 40).cast("double").alias("z"))
+    return N.simplified(e, ("user_id",), "k", 8.0)
+
+
+def resolved_overlaps(spark, d):
+    """Suppliers' rooms in plans by nation: how many were scaled or pushed, and which pairs are left."""
+    s = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", ((F.col("s_suppkey") % 7) * 1.5).alias("x0"), ((F.floor("s_acctbal") % 5) * 1.3).alias("z0"), (F.col("s_suppkey") % 3 + 1.0).alias("w"), (F.col("s_suppkey") % 2 + 1.5).alias("h"), ((F.col("s_suppkey") % 11) / 10).alias("doubt"))
+    spots = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("x0") + F.col("w") * i).alias("x"), (F.col("z0") + F.col("h") * j).alias("z")) for k, (i, j) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1)])])
+    corners = s.select("s_nationkey", "s_suppkey", F.explode(spots).alias("c")).select("s_nationkey", "s_suppkey", "c.*")
+    _, changes, left = N.resolve_overlaps(corners, s.select("s_nationkey", "s_suppkey", "doubt"), "s_nationkey", "s_suppkey", "k")
+    rest = left.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n_left"), F.round(F.sum("common"), 6).alias("area_left"))
+    done = changes.groupBy("s_nationkey").agg(F.max("round").alias("rounds"), F.count_if(F.col("push") == 0).alias("n_scaled"), F.count_if(F.col("push") > 0).alias("n_pushed"), F.round(F.min("scale"), 6).alias("least_scale"))
+    return done.join(rest, "s_nationkey", "left").na.fill(0, ["n_left", "area_left"])
+
+
+QUERIES = {f.__name__: f for f in (simplified_paths, resolved_overlaps, segmented_rooms, hull_iou, fused_consistency, leader_clusters)}
 
 
 def _hull(points: str, keys: str) -> str:
@@ -105,6 +125,16 @@ ORACLE_SQL = {
         s AS (SELECT event_type, user_id, sum(common / joint) AS total FROM overlaid GROUP BY ALL)
         SELECT event_type, user_id, count(*) AS n_views, round(CASE WHEN count(*) = 1 THEN 1.0::DOUBLE ELSE coalesce(max(total), 0) / (count(*) * (count(*) - 1) / 2) END, 6) AS consistency
         FROM x LEFT JOIN s USING (event_type, user_id) GROUP BY ALL""",
+    "simplified_paths": """WITH RECURSIVE p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, value / 10 AS x, CAST(event_id % 40 AS DOUBLE) AS z FROM events),
+        r AS (
+            SELECT user_id, min(k) AS a, max(k) AS b FROM p GROUP BY user_id
+            UNION ALL
+            SELECT user_id, unnest([a, -m['k']]), unnest([-m['k'], b]) FROM (
+                SELECT user_id, a, b, max({'away': away, 'k': -k}) AS m
+                FROM (SELECT r.user_id, r.a, r.b, q.k, abs((b.x - a.x) * (q.z - a.z) - (b.z - a.z) * (q.x - a.x)) / sqrt((b.x - a.x) * (b.x - a.x) + (b.z - a.z) * (b.z - a.z)) AS away
+                      FROM r JOIN p a ON a.user_id = r.user_id AND a.k = r.a JOIN p b ON b.user_id = r.user_id AND b.k = r.b JOIN p q ON q.user_id = r.user_id AND q.k > r.a AND q.k < r.b)
+                GROUP BY user_id, a, b) WHERE m['away'] > 8)
+        SELECT DISTINCT p.user_id, p.k, p.x, p.z FROM r JOIN p ON p.user_id = r.user_id AND (p.k = r.a OR p.k = r.b)""",
     "leader_clusters": """WITH RECURSIVE p AS (
             SELECT event_type, event_id, (event_id * 37 % 1000) / 100 AS x, (user_id % 97) / 10 AS z, row_number() OVER (PARTITION BY event_type ORDER BY floor(value) DESC, event_id) AS k FROM events),
         r AS (

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import leaders, overlay
+from plumbline.operators import contours, leaders, overlay
 
 RING = "k string, x1 double, z1 double, x2 double, z2 double"
 
@@ -76,3 +76,52 @@ def test_leaders_equal_a_loop(spark):
     assert got == plain_leaders(points, 0.35)
     assert leaders.leader_clusters(df.where("false"), ("k",), "id", "x", "z", "size").count() == 0
     assert leaders.leader_clusters(df.withColumn("x", F.when(F.col("id") > 0, F.col("x"))), ("k",), "id", "x", "z", "size").where("id = 0").count() == 0
+
+
+def plain_simplified(points, tolerance):
+    """Kept indices of an open path, by recursion."""
+    if len(points) < 3:
+        return set(range(len(points)))
+    (ax, az), (bx, bz) = points[0], points[-1]
+    length = math.sqrt((bx - ax) ** 2 + (bz - az) ** 2)
+    away = [abs((bx - ax) * (z - az) - (bz - az) * (x - ax)) / length if length else math.sqrt((x - ax) ** 2 + (z - az) ** 2) for x, z in points[1:-1]]
+    k = max(range(len(away)), key=lambda i: (away[i], -i)) + 1
+    if away[k - 1] <= tolerance:
+        return {0, len(points) - 1}
+    return plain_simplified(points[: k + 1], tolerance) | {i + k for i in plain_simplified(points[k:], tolerance)}
+
+
+def test_simplified_paths_equal_recursion(spark):
+    rng = random.Random(9)
+    paths = {"walk": [(i * 0.1, math.sin(i / 9) + rng.uniform(-0.05, 0.05)) for i in range(300)], "line": [(i * 1.0, 0.0) for i in range(40)], "loop": [(math.cos(i), math.sin(i)) for i in range(30)] + [(1.0, 0.0)], "two": [(0.0, 0.0), (1.0, 1.0)], "dot": [(2.0, 2.0)], "still": [(1.0, 1.0)] * 6}
+    df = spark.createDataFrame([(k, i, *p) for k, v in paths.items() for i, p in enumerate(v)], "p string, k long, x double, z double")
+    got = contours.simplified(df, ("p",), "k", 0.1).collect()
+    assert {k: {r["k"] for r in got if r["p"] == k} for k in paths} == {k: plain_simplified(v, 0.1) for k, v in paths.items()} and len(got) == sum(len(plain_simplified(v, 0.1)) for v in paths.values())
+    assert contours.simplified(df.where("false"), ("p",), "k", 0.1).count() == 0
+
+
+def test_simplified_rings_keep_their_corners(spark):
+    """The border of an L drawn in steps of a cell, begun at any corner, comes down to its six corners."""
+    corners = [(0, 0), (8, 0), (8, 4), (4, 4), (4, 9), (0, 9)]
+    steps = [(x0 + (x1 > x0) * k - (x1 < x0) * k, z0 + (z1 > z0) * k - (z1 < z0) * k) for (x0, z0), (x1, z1) in zip(corners, (*corners[1:], corners[0]), strict=True) for k in range(abs(x1 - x0) + abs(z1 - z0))]
+    rows = [(f"r{start}", k, *map(float, steps[(start + k) % len(steps)])) for start in (0, 5, 17) for k in range(len(steps))]
+    got = contours.simplified_rings(spark.createDataFrame(rows, "r string, k long, x double, z double"), ("r",), "k", 0.5).collect()
+    for start in (0, 5, 17):
+        mine = sorted((r["k"], r["x"], r["z"]) for r in got if r["r"] == f"r{start}")
+        assert {(x, z) for _, x, z in mine} == set(corners) and len(mine) == 6 and all(steps[(start + k) % len(steps)] == (x, z) for k, x, z in mine)
+
+
+def test_overlaps_are_resolved_by_scale_then_by_push(spark):
+    box = lambda p, r, x0, z0, x1, z1: [(p, r, k, float(x), float(z)) for k, (x, z) in enumerate([(x0, z0), (x1, z0), (x1, z1), (x0, z1)])]
+    rows = box("scale", "a", 0, 0, 4, 4) + box("scale", "b", 3, 1, 7, 3) + box("push", "a", 0, 0, 4, 4) + box("push", "b", 1, 1, 5, 5) + box("clear", "a", 0, 0, 1, 1) + box("clear", "b", 1, 0, 2, 1)
+    rows += [r for k in range(12) for r in box("many", f"m{k:02}", 0, 0, 2, 2)]
+    corners = spark.createDataFrame(rows, "plan string, room string, k int, x double, z double")
+    doubt = spark.createDataFrame([("scale", "a", 0.1), ("scale", "b", 0.3), ("push", "a", 0.2), ("push", "b", 0.1)], "plan string, room string, doubt double")
+    now, changes, left = contours.resolve_overlaps(corners, doubt, "plan", "room", "k", rounds=3)
+    told = {(r["plan"], r["room"]): (r["round"], r["other"], r["scale"], r["push"]) for r in changes.where("plan <> 'many'").collect()}
+    assert told == {("scale", "b"): (1, "a", pytest.approx(0.5), 0.0), ("push", "a"): (1, "b", 0.4, pytest.approx(4 * 4 * 13 / 79))}
+    at = {(r["plan"], r["room"], r["k"]): (r["x"], r["z"]) for r in now.collect()}
+    assert at["scale", "b", 0] == pytest.approx((4.0, 1.5)) and at["clear", "b", 0] == (1.0, 0.0) and at["push", "a", 2][0] < 1
+    assert changes.where("plan = 'many'").count() == 3 and {r["plan"] for r in left.collect()} == {"many"}  # what three rounds leave is reported
+    again = contours.overlapping(now, "plan", "room", "k")
+    assert again.where("plan <> 'many'").count() == 0 and again.count() == left.count()
