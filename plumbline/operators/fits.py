@@ -133,8 +133,11 @@ def pair_ratios(moved: DataFrame, keys: tuple[str, ...], least: int = 200) -> Da
 def closed_chains(nodes: DataFrame, edges: DataFrame, key: str, iterations: int = 10, soft: float = 0.1) -> DataFrame:
     """(key, node, x, z, yaw): planar pose chains whose loop edges are balanced against their steps by damped least squares; the first pose stays.
 
-    `nodes` (key, node, x, z, yaw), `edges` (key, a, b, dx, dz, dyaw, loop): b as a sees it. A chain without a loop edge comes back as it is. A
-    capture's key frames (hundreds) are one group; large residuals count by a soft absolute value.
+    `nodes` (key, node, x, z, yaw), `edges` (key, a, b, dx, dz, dyaw, loop): b as a sees it. A chain
+    without a loop edge comes back as it is; large residuals count by a soft absolute value. A step of
+    the least squares is solved by conjugate gradients on the normal equations, which are never
+    formed: an edge acts on the six numbers of its two poses, so a chain (one group) takes memory and
+    time for a pass in proportion to its edges.
     """
     import numpy as np
     import pandas as pd
@@ -148,26 +151,45 @@ def closed_chains(nodes: DataFrame, edges: DataFrame, key: str, iterations: int
         a, b = (steps[c].map(place).to_numpy() for c in "ab")
         want = steps[["dx", "dz", "dyaw"]].to_numpy(float)
         at = chain[["x", "z", "yaw"]].to_numpy(float)
-        n, m = len(at), len(a)
-        rows = np.arange(m)
+        n = len(at)
         for _ in range(iterations):
             c, s = np.cos(at[a, 2]), np.sin(at[a, 2])
             d = at[b, :2] - at[a, :2]
             seen = np.stack([c * d[:, 0] + s * d[:, 1], -s * d[:, 0] + c * d[:, 1], at[b, 2] - at[a, 2]], 1)
             left = seen - want
             left[:, 2] = (left[:, 2] + np.pi) % (2 * np.pi) - np.pi
-            jac = np.zeros((m, 3, n, 3))
-            for sign, node in ((-1, a), (1, b)):
-                jac[rows, 0, node, 0] += sign * c
-                jac[rows, 0, node, 1] += sign * s
-                jac[rows, 1, node, 0] -= sign * s
-                jac[rows, 1, node, 1] += sign * c
-                jac[rows, 2, node, 2] += sign
-            jac[rows, 0, a, 2] += seen[:, 1]
-            jac[rows, 1, a, 2] -= seen[:, 0]
             weight = 1 / np.sqrt(1 + (left / soft) ** 2)
-            j = (jac * weight[:, :, None, None])[:, :, 1:].reshape(3 * m, -1)
-            at[1:] += np.linalg.lstsq(j, -(left * weight).ravel(), rcond=None)[0].reshape(-1, 3)
+
+            def moved(v: np.ndarray) -> np.ndarray:
+                """Change of the weighted residuals (edges, 3) with the poses' change v (poses, 3)."""
+                dx, dz = (v[b, :2] - v[a, :2]).T
+                turn = v[a, 2]
+                return weight * np.stack([c * dx + s * dz + seen[:, 1] * turn, -s * dx + c * dz - seen[:, 0] * turn, v[b, 2] - turn], 1)
+
+            def gathered(r: np.ndarray) -> np.ndarray:
+                """The transpose of moved(): what residuals ask of each pose; the first pose stays."""
+                r = weight * r
+                x, z = c * r[:, 0] - s * r[:, 1], s * r[:, 0] + c * r[:, 1]
+                out = np.zeros((n, 3))
+                np.add.at(out, b, np.stack([x, z, r[:, 2]], 1))
+                np.add.at(out, a, np.stack([-x, -z, seen[:, 1] * r[:, 0] - seen[:, 0] * r[:, 1] - r[:, 2]], 1))
+                out[0] = 0
+                return out
+
+            step, rest = np.zeros((n, 3)), -left * weight
+            asked = gathered(rest)
+            way, size = asked, float((asked**2).sum())
+            enough = size * 1e-24
+            for _ in range(6 * n):
+                if size <= enough:
+                    break
+                change = moved(way)
+                share = size / max(float((change**2).sum()), 1e-300)
+                step, rest = step + share * way, rest - share * change
+                asked = gathered(rest)
+                before, size = size, float((asked**2).sum())
+                way = asked + size / before * way
+            at += step
         chain[["x", "z", "yaw"]] = at
         return chain[[key, "node", "x", "z", "yaw"]]
 

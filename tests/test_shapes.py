@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import contours, leaders, overlay
+from plumbline.operators import contours, distances, leaders, overlay, trajectories
 
 RING = "k string, x1 double, z1 double, x2 double, z2 double"
 
@@ -125,3 +126,53 @@ def test_overlaps_are_resolved_by_scale_then_by_push(spark):
     assert changes.where("plan = 'many'").count() == 3 and {r["plan"] for r in left.collect()} == {"many"}  # what three rounds leave is reported
     again = contours.overlapping(now, "plan", "room", "k")
     assert again.where("plan <> 'many'").count() == 0 and again.count() == left.count()
+
+
+def test_border_distances_equal_brute_force(spark):
+    rng = random.Random(12)
+    masks = {"noise": {(rng.randrange(24), rng.randrange(20)) for _ in range(430)}, "ring": {(i, j) for i in range(20) for j in range(20) if 3 < math.hypot(i - 9.5, j - 9.5) < 9}, "one": {(5, -7)}, "bar": {(0, j) for j in range(30)}}
+    masks["noise"] |= {(i, j) for i in range(5, 17) for j in range(4, 15)}
+    df = spark.createDataFrame([(k, *c) for k, v in masks.items() for c in v], "k string, i long, j long")
+    got = {(r["k"], r["i"], r["j"]): r["d2"] for r in distances.border_distances(df, ("k",)).collect()}
+    for k, mask in masks.items():
+        outside = [(i, j) for i in range(-2, 32) for j in range(-10, 33) if (i, j) not in mask]
+        assert {c: got[k, *c] for c in mask} == {(i, j): min((i - a) ** 2 + (j - b) ** 2 for a, b in outside) for i, j in mask}
+    assert len(got) == sum(map(len, masks.values()))
+
+
+def test_rooms_joined_by_a_door_are_divided_and_wide_ones_stay(spark):
+    box = lambda label, i0, i1, j0, j1: [(i, j, label) for i in range(i0, i1) for j in range(j0, j1)]
+    rows = box(1, 0, 40, 0, 30) + box(1, 40, 42, 10, 18) + box(1, 42, 80, 0, 30)  # a neck of 0.8 m
+    rows += box(2, 100, 140, 0, 30) + box(2, 140, 142, 2, 28) + box(2, 142, 180, 0, 30)  # an opening of 2.6 m
+    rows += box(3, 0, 40, 50, 80) + box(3, 40, 42, 60, 68) + box(3, 42, 55, 54, 66)  # what lies behind the neck is no room
+    rows += box(4, 100, 105, 50, 55)  # too narrow for a core
+    got = distances.split_at_necks(spark.createDataFrame(rows, "i long, j long, label int"), 0.1).collect()
+    parts = {(r["label"], r["part"]) for r in got}
+    assert parts == {(1, 1), (1, 2), (2, 1), (3, 1), (4, 1)} and len(got) == len(rows)
+    assert {r["part"] for r in got if r["label"] == 1 and r["i"] < 40} == {1} and {r["part"] for r in got if r["label"] == 1 and r["i"] >= 42} == {2}
+
+
+def test_trajectory_errors_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for k, n, noise in (("long", 700, 0.02), ("exact", 40, 0.0), ("short", 2, 0.0), ("still", 5, 0.0)):
+        truth = np.cumsum(rng.normal(0, 0.2, (n, 3)), 0) if k != "still" else np.ones((n, 3))
+        turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+        turn *= np.sign(np.linalg.det(turn))
+        guess = (truth * np.linspace(1, 1.3, n)[:, None] if k == "long" else truth) @ turn * 0.7 + [1, 2, 3] + rng.normal(0, noise, (n, 3))
+        rows += [(k, i, *map(float, (*guess[i], *truth[i]))) for i in range(n)]
+        if n > 5:
+            a, b = guess - guess.mean(0), truth - truth.mean(0)
+            u, d, v = np.linalg.svd(b.T @ a)
+            s = np.diag([1, 1, np.sign(np.linalg.det(u) * np.linalg.det(v))])
+            scale = np.trace(np.diag(d) @ s) / (a**2).sum()
+            left = scale * a @ (u @ s @ v).T - b
+            steps = [np.linalg.norm(np.diff(x, axis=0), axis=1) for x in (guess, truth)]
+            ratio = (steps[0] / steps[1])[steps[1] > 0.01]
+            halves = [np.median(ratio[: len(ratio) // 2]), np.median(ratio[len(ratio) // 2 :])]
+            want[k] = (n, np.sqrt((left**2).sum(1).mean()), scale, abs(scale - 1) * 100, ratio.std(), abs(halves[1] - halves[0]) / halves[0] * 100)
+    df = spark.createDataFrame(rows, "k string, i long, a double, b double, c double, x double, y double, z double").repartition(5)
+    got = {r["k"]: tuple(r)[1:] for r in trajectories.trajectory_errors(df, ("k",), "i", ("a", "b", "c"), ("x", "y", "z")).collect()}
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-9)
+    assert got["short"][0] == 2 and got["still"][4:] == (None, None)
