@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import slices
 
 UNDETERMINED = "und"
+#: Bytes of text at once; its n-grams take some hundred times as much.
+_TEXT = 250_000
 _EDGE = (1 << 21) - 1  # stands for the boundary of a word; above all code points
 
 
@@ -105,7 +107,7 @@ def learn_profiles(docs: DataFrame, *, text_col: str = "text", lang_col: str = "
             return owner[first], code[first], np.add.reduceat(n, first)
 
         for batch in batches:
-            for at, texts in slices(batch.column("text"), 1_000_000):
+            for at, texts in slices(batch.column("text"), _TEXT):
                 langs = batch.column("lang").slice(at, len(texts)).to_pylist()
                 index = np.array([names.setdefault(x, len(names)) for x in langs])
                 owner, code, _ = grams(texts.to_pylist())
@@ -177,7 +179,7 @@ def _judged(rows: DataFrame, profiles: DataFrame, size: int, place: int | None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text") if place is None else batch.column("row").field(place)
-            for at, texts in slices(column, 500_000):
+            for at, texts in slices(column, _TEXT):
                 pred, score = judge(texts.to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, len(texts)), pa.array(pred, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
 
