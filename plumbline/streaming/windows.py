@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -59,14 +60,26 @@ def streaming_keyframes(rows: DataFrame, key: str, order: str, ident: str, coord
     return late.groupBy(key).applyInPandasWithState(keep, f"{key} {types[key]}, {ident} {types[ident]}", "x double, z double, turn double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_once(result: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
-    """Everything at hand run through a stream, batch by batch, into Parquet in the shared folder.
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """For streams started inside, state in RocksDB, which typed state and timers ask for; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def run_once(result: DataFrame, mode: str = "append", keys: list[str] | None = None, base: str | None = None) -> DataFrame:
+    """Everything at hand run through a stream, batch by batch, into Parquet in the shared folder, or under `base`, where a later call goes on from what this one left.
 
     In update mode only changed groups are written, and each group of `keys` is read as its last batch
     left it, so state behind the watermark goes; in complete mode (sessions) the last batch stays.
     """
     spark = result.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
@@ -78,3 +91,71 @@ def run_once(result: DataFrame, mode: str = "append", keys: list[str] | None = N
         return out.drop("_batch")
     others = [c for c in result.columns if c not in keys]
     return out.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("_m")).select(*keys, "_m.*")
+
+
+def streaming_chunks(rows: DataFrame, key: str, order: str, ident: str, coords: tuple[str, str], trusted: str, reach: float, late: str = "10 minutes", idle: str = "1 day") -> DataFrame:
+    """(key, ident, chunk, length, lx, lz) of each row once the watermark has passed it: its chunk of walked path, and the last trusted position up to it.
+
+    Rows of a key are taken in event-time order, whatever order they come in: a row waits in a list
+    state until the watermark passes it, when a timer of its key lets it go. A value state holds the
+    key's walked length, last position and last trusted position, so a row whose `trusted` is false
+    has the position of the last good one (null before the first). A new chunk begins each `reach` of
+    length. State is removed after `idle` of event time without a row. Rows later than `late` are
+    dropped, as in all windows here.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    types = dict(rows.dtypes)
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    class Chunks(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.path = handle.getValueState("path", "length double, x double, z double, lx double, lz double, idle long")
+            self.held = handle.getListState("held", f"at long, ident {types[ident]}, x double, z double, ok boolean")
+
+        def _released(self, name, upto: int) -> pd.DataFrame:
+            """Rows that the watermark has passed, in order; the others wait on."""
+            rows_held = sorted(tuple(r) for r in self.held.get()) if self.held.exists() else []
+            later = [r for r in rows_held if r[0] > upto]
+            length, x, z, lx, lz, idle_at = self.path.get()
+            out = []
+            for _, row, px, pz, ok in rows_held[: len(rows_held) - len(later)]:
+                length += 0.0 if x is None else math.hypot(px - x, pz - z)
+                x, z = px, pz
+                lx, lz = (px, pz) if ok else (lx, lz)
+                out.append((name, row, int(length // reach), length, lx, lz))
+            if out:
+                self.path.update((length, x, z, lx, lz, idle_at))
+                if later:
+                    self.held.put(later)
+                else:
+                    self.held.clear()
+            return pd.DataFrame(out, columns=[key, ident, "chunk", "length", "lx", "lz"])
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            new = pd.concat(list(rows))
+            at = (new[order].dt.as_unit("ms").astype("int64")).tolist()
+            self.held.appendList(list(zip(at, new[ident].tolist(), new[coords[0]].astype(float).tolist(), new[coords[1]].astype(float).tolist(), [x is not None and bool(x) for x in new[trusted].tolist()], strict=True)))
+            *path, idle_at = self.path.get() if self.path.exists() else (0.0, None, None, None, None, 0)
+            for t in set(at):
+                self.handle.registerTimer(t)
+            if max(at) + wait > idle_at:  # the state outlives its last row by `idle`
+                if idle_at:
+                    self.handle.deleteTimer(idle_at)
+                self.path.update((*path, max(at) + wait))
+                self.handle.registerTimer(max(at) + wait)
+            yield self._released(key[0], timerValues.getCurrentWatermarkInMs())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            if self.path.exists():
+                yield self._released(key[0], timerValues.getCurrentWatermarkInMs())
+                if expiredTimerInfo.getExpiryTimeInMs() >= self.path.get()[-1]:
+                    self.path.clear()
+
+        def close(self) -> None:
+            pass
+
+    form = f"{key} {types[key]}, {ident} {types[ident]}, chunk long, length double, lx double, lz double"
+    late_rows = rows.withWatermark(order, late)
+    return late_rows.groupBy(key).transformWithStateInPandas(statefulProcessor=Chunks(), outputStructType=form, outputMode="Append", timeMode="EventTime")

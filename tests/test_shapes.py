@@ -176,3 +176,35 @@ def test_trajectory_errors_equal_numpy(spark):
     for k in want:
         assert got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-9)
     assert got["short"][0] == 2 and got["still"][4:] == (None, None)
+
+
+def plain_notches(lines, seen=0.15, short=0.8, rounds=12):
+    lines = [list(x) for x in lines]  # k, axis, c, coverage
+    for _ in range(rounds):
+        n = len(lines)
+        size = [abs(lines[(i + 1) % n][2] - lines[i - 1][2]) for i in range(n)]
+        bad = [i for i in range(n) if n > 4 and lines[i][3] < seen and size[i] < short]
+        if not bad:
+            break
+        i = min(bad, key=lambda x: (size[x], lines[x][0]))
+        p, q = (i - 1) % n, (i + 1) % n
+        weight = [lines[x][3] * size[x] for x in (p, q)]
+        lines[p][2] = lines[p if weight[0] >= weight[1] else q][2]
+        lines[p][3] = sum(weight) / (size[p] + size[q]) if size[p] + size[q] else 0.0
+        lines = [x for j, x in enumerate(lines) if j not in (i, q)]
+    return lines
+
+
+def test_notches_are_flattened(spark):
+    # 6 x 4 m, with an unseen notch of 0.5 x 0.4 m in the upper wall, and a seen one in the left wall
+    notch = [(0, 1, 0.0, 1.0), (1, 0, 6.0, 1.0), (2, 1, 4.0, 0.9), (3, 0, 3.0, 0.0), (4, 1, 3.6, 0.1), (5, 0, 2.5, 0.0), (6, 1, 4.0, 0.8), (7, 0, 0.0, 1.0), (8, 1, 2.0, 0.9), (9, 0, 0.5, 0.9), (10, 1, 1.5, 0.9), (11, 0, 0.0, 1.0)]
+    rng = random.Random(21)
+    rings = {"notch": notch, "box": [(0, 1, 0.0, 0.0), (1, 0, 0.5, 0.0), (2, 1, 0.5, 0.0), (3, 0, 0.0, 0.0)]}
+    for r in range(12):
+        rings[f"r{r}"] = [(k, k % 2, round(rng.uniform(0, 2), 1), rng.choice([0.0, 0.1, 0.5, 1.0])) for k in range(2 * rng.randrange(2, 12))]
+    df = spark.createDataFrame([(r, *x) for r, v in rings.items() for x in v], "r string, k long, axis int, c double, coverage double")
+    found = contours.flattened_notches(df, ("r",)).collect()
+    got = {r: sorted((x["k"], x["axis"], x["c"], round(x["coverage"], 9)) for x in found if x["r"] == r) for r in rings}
+    assert got == {r: sorted((k, a, c, round(v, 9)) for k, a, c, v in plain_notches(x)) for r, x in rings.items()}
+    assert len(got["notch"]) == 8 and len(got["box"]) == 4
+    assert (6.0, 4.0) in {(x["x"], x["z"]) for x in found if x["r"] == "notch"}
