@@ -8,9 +8,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import contours as N
+from ..operators import distances as B
 from ..operators import geometry as X
 from ..operators import leaders as C
 from ..operators import overlay as V
+from ..operators import trajectories as J
+from ..operators.grids import label_components
 from ..plans import rooms as R
 from ..session import table
 from . import ordered as Q
@@ -75,7 +78,38 @@ def resolved_overlaps(spark, d):
     return done.join(rest, "s_nationkey", "left").na.fill(0, ["n_left", "area_left"])
 
 
-QUERIES = {f.__name__: f for f in (simplified_paths, resolved_overlaps, segmented_rooms, hull_iou, fused_consistency, leader_clusters)}
+def border_distances(spark, d):
+    """Squared distances of the mask's cells to the nearest cell outside it."""
+    c = PQ._cells(spark, d).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).where("(n * 7 + i * 3 + j) % 5 < 4")
+    return B.border_distances(c.select("i", "j"))
+
+
+def divided_rooms(spark, d):
+    """Regions of cells where few items lie, divided at their necks: the size of each part."""
+    c = PQ._cells(spark, d).withColumn("i", F.floor(F.col("i") / 8)).withColumn("j", F.floor(F.col("j") / 8)).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
+    dense = c.where("(n * 7 + i * 3 + j) % 5 < 4")
+    wide = dense.select("i", "j", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(8) for b in range(8)])).alias("s"))
+    cells = wide.select((F.col("i") * 8 + F.col("s.a")).alias("i"), (F.col("j") * 8 + F.col("s.b")).alias("j"))
+    return B.split_at_necks(label_components(cells), 0.1, core=0.35, door=1.0, least_core=0.1, least_room=0.5).groupBy("label", "part").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("i"), F.min("j").alias("j"))
+
+
+def trajectory_errors(spark, d):
+    """Errors of each user's path as scaled, turned and drifting copies of the events' own places."""
+    e = table(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("at"), (F.col("value") / 10).alias("x"), (F.col("event_id") % 40).cast("double").alias("y"), (F.hour("ts") / 4).alias("z"))
+    seen = e.withColumns({"a": F.col("y") * 0.8 + F.col("x") % 0.5, "b": -F.col("x") * 0.8 + 3, "c": F.col("z") * 0.8 + F.col("y") % 2 / 5})
+    out = J.trajectory_errors(seen, ("user_id",), "at", ("a", "b", "c"), ("x", "y", "z"))
+    return out.select("user_id", "n", *[F.round(c, 6).alias(c) for c in ("ate", "scale", "scale_error_pct", "ratio_sd", "drift_pct")])
+
+
+def flattened_notches(spark, d):
+    """Rings of lines by customers' orders, without short edges that little supports."""
+    o = table(spark, d, "orders").select("o_custkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("r"), "o_totalprice", "o_orderkey", F.count(F.lit(1)).over(Window.partitionBy("o_custkey")).alias("n"))
+    lines = o.where((F.col("r") <= F.floor(F.col("n") / 2) * 2) & (F.col("n") > 3)).select("o_custkey", (F.col("r") - 1).alias("k"), ((F.col("r") - 1) % 2).alias("axis"), (F.floor("o_totalprice") % 40 / 10).alias("c"), (F.col("o_orderkey") % 5 / 10).alias("coverage"))
+    found = N.flattened_notches(lines, ("o_custkey",))
+    return found.select("o_custkey", "k", "axis", "c", F.round("coverage", 6).alias("coverage"), "x", "z")
+
+
+QUERIES = {f.__name__: f for f in (border_distances, divided_rooms, trajectory_errors, flattened_notches, simplified_paths, resolved_overlaps, segmented_rooms, hull_iou, fused_consistency, leader_clusters)}
 
 
 def _hull(points: str, keys: str) -> str:
@@ -125,6 +159,10 @@ ORACLE_SQL = {
         s AS (SELECT event_type, user_id, sum(common / joint) AS total FROM overlaid GROUP BY ALL)
         SELECT event_type, user_id, count(*) AS n_views, round(CASE WHEN count(*) = 1 THEN 1.0::DOUBLE ELSE coalesce(max(total), 0) / (count(*) * (count(*) - 1) / 2) END, 6) AS consistency
         FROM x LEFT JOIN s USING (event_type, user_id) GROUP BY ALL""",
+    "border_distances": """WITH g AS (SELECT l_partkey % 64 AS i, l_suppkey % 64 AS j, count(*) AS n FROM lineitem GROUP BY ALL), c AS (SELECT i, j FROM g WHERE (n * 7 + i * 3 + j) % 5 < 4),
+        x AS (SELECT min(i) - 1 AS i0, max(i) + 1 AS i1, min(j) - 1 AS j0, max(j) + 1 AS j1 FROM c),
+        o AS (SELECT i, j FROM (SELECT unnest(range(i0, i1 + 1)) AS i FROM x), (SELECT unnest(range(j0, j1 + 1)) AS j FROM x) WHERE (i, j) NOT IN (SELECT (i, j) FROM c))
+        SELECT c.i, c.j, min((c.i - o.i) * (c.i - o.i) + (c.j - o.j) * (c.j - o.j)) AS d2 FROM c, o GROUP BY c.i, c.j""",
     "simplified_paths": """WITH RECURSIVE p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, value / 10 AS x, CAST(event_id % 40 AS DOUBLE) AS z FROM events),
         r AS (
             SELECT user_id, min(k) AS a, max(k) AS b FROM p GROUP BY user_id
