@@ -77,7 +77,7 @@ def token_weights(docs: DataFrame, text: str, k: int) -> Broadcast:
     """Heaviness class (0: as common as most) of each cell of a fixed table of shingle counts over all texts.
 
     Tasks count into 2**24 cells (up to 65,535) and send slices, compressed; these are added up in
-    two steps, so that no group grows with the number of tasks. 16 MB in all, whatever the input.
+    two steps, so a group has the slices of one task in 64 (512 KB each at most). 16 MB in all, whatever the input.
     The classes only order the tokens, so collisions cost time and not results: with more shingles
     than cells, tokens less common than about twice the mean of a cell are not told apart.
     """
