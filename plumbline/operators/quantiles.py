@@ -35,7 +35,7 @@ def exact_percentiles(df: DataFrame, keys: tuple[str, ...], value: str, shares:
     for k, s in enumerate(shares):
         low = F.when((F.lit(s) <= slack) | (n <= 4 * accuracy), F.col("_lo")).otherwise(F.col("_e")[2 * k])
         high = F.when((F.lit(s) >= 1 - slack) | (n <= 4 * accuracy), F.col("_hi")).otherwise(F.col("_e")[2 * k + 1])
-        spots.append(F.struct(F.lit(k).alias("_k"), low.alias("_a"), high.alias("_b"), (F.lit(s) * (n - 1)).alias("_at")))
+        spots.append(F.struct(F.lit(k).alias("_k"), low.alias("_a"), high.alias("_b"), F.when(n > 0, F.lit(s) * (n - 1)).alias("_at")))
     asked = sketch.select(*keys, F.array(*spots).alias("_asked"))
     met = with_key_values(rows, asked, keys).select(*keys, "_v", F.explode("_asked").alias("s")).select(*keys, "_v", "s.*")
     below = F.col("_v") < F.col("_a")
@@ -45,6 +45,6 @@ def exact_percentiles(df: DataFrame, keys: tuple[str, ...], value: str, shares:
     first, after = F.floor("_at"), F.ceil("_at")
     holds = lambda r: (F.col("_upto") > r) & (F.col("_upto") - F.col("_c") <= r)
     ends = ranked.groupBy(*keys, "_k", "_at").agg(F.max(F.when(holds(first), F.col("_v"))).alias("_a"), F.max(F.when(holds(after), F.col("_v"))).alias("_b"))
-    between = F.when(F.col("_at") < 0, F.lit(None).cast("double")).when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))
+    between = F.when(F.col("_at").isNull(), F.lit(None).cast("double")).when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))
     between = between.when(first == after, F.col("_a")).otherwise((after - F.col("_at")) * F.col("_a") + (F.col("_at") - first) * F.col("_b"))
     return ends.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", between.alias("p")))), lambda x: x["p"]).alias("p"))
