@@ -58,12 +58,12 @@ def rings_iou(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return overlay(a, b, keys).where("joint > 0").select(*keys, (F.col("common") / F.col("joint")).alias("iou"))
 
 
-def padded_hulls(points: DataFrame, keys: tuple[str, ...], x: str, z: str, pad: float, directions: int = 64) -> DataFrame:
+def padded_hulls(points: DataFrame, keys: tuple[str, ...], x: str, z: str, pad: float, directions: int = 64, parts: int = 1) -> DataFrame:
     """(keys, corner, x, z): each key's convex hull, widened by `pad` on all sides: its sum with a regular polygon of `directions` corners instead of a disc, which misses pad * (1 - cos(pi / directions)) at most."""
-    ring = hulls(points, keys, x, z)
+    ring = hulls(points, keys, x, z, parts)
     turn = F.array(*[F.struct(F.lit(pad * math.cos(2 * math.pi * k / directions)).alias("dx"), F.lit(pad * math.sin(2 * math.pi * k / directions)).alias("dz")) for k in range(directions)])
     wide = ring.withColumn("d", F.explode(turn)).select(*keys, (F.col("x") + F.col("d.dx")).alias("_x"), (F.col("z") + F.col("d.dz")).alias("_z"))
-    return hulls(wide, keys, "_x", "_z")
+    return hulls(wide, keys, "_x", "_z", parts)
 
 
 def view_consistency(points: DataFrame, keys: tuple[str, ...], view: str, u: str, v: str, *, pad: float = 0.02, directions: int = 64) -> DataFrame:
