@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,28 +74,44 @@ def lifted(matches: DataFrame, depth: str, u: str, v: str, out: tuple[str, str,
     return ok.withColumns({out[0]: (F.col(u) - F.col("cx")) / F.col("fx") * F.col(depth), out[1]: (F.col(v) - F.col("cy")) / F.col("fy") * F.col(depth), out[2]: F.col(depth).cast("double")})
 
 
-def triangulated_ratios(matches: DataFrame, keys: tuple[str, ...], *, least: int = 15, kept: int = 8) -> DataFrame:
+def triangulated_ratios(matches: DataFrame, keys: tuple[str, ...], *, least: int = 15, kept: int = 8, pixels: float = 2.0) -> DataFrame:
     """(keys, ratio): depth by triangulation over the depth that was estimated, for each match that holds.
 
-    A match has two rays in the world: origin and direction (ax, ay, az, adx, ady, adz and b...), a camera axis
-    (afx, afy, afz) for depth, and `mono`. The point is the middle of the shortest link of both rays; it
-    holds if it is 0.2 to 6 m before the first camera, before the second, the link is short for the
-    distance, and the rays meet at more than 2 degrees. All of it is one projection; pairs with fewer than `least` matches or `kept` good ones give no row.
+    A match has two rays in the world: origin and direction (ax, ay, az, adx, ady, adz and b...), the
+    cameras' axes (afx, afy, afz and bf...), their focal lengths in pixels of equal sides (afocal, bfocal)
+    and `mono`. The point is the middle of the shortest link of both rays. It holds if it lies 0.2 to 6 m
+    before the first camera and 0.2 m or more before the second, falls less than `pixels` beside the
+    matched pixel in both images, and is seen at more than 2 degrees from one camera and the other. On
+    the plane at distance 1 before a camera the point and the ray differ by the same length in the world's
+    axes as in the camera's, so the distance in pixels needs the camera's axis only. All of it is one
+    projection; pairs with fewer than `least` matches or `kept` good ones give no row, and of those only matches with mono > 0.1.
     """
     a, b = ([F.col(f"{s}{c}") for c in "xyz"] for s in "ab")
     da, db = ([F.col(f"{s}d{c}") for c in "xyz"] for s in "ab")
-    axis = [F.col(f"af{c}") for c in "xyz"]
     dot = lambda p, q: p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
-    w = [p - q for p, q in zip(a, b, strict=True)]
+    minus = lambda p, q: [x - y for x, y in zip(p, q, strict=True)]
+    w = minus(a, b)
     aa, bb, ab, aw, bw = dot(da, da), dot(db, db), dot(da, db), dot(da, w), dot(db, w)
     wide = aa * bb - ab * ab
     rows = matches.withColumn("_all", F.count(F.lit(1)).over(_window(keys))).where(F.col("_all") >= least).where(wide > 1e-12)
     rows = rows.withColumn("_ta", (ab * bw - bb * aw) / wide).withColumn("_tb", (aa * bw - ab * aw) / wide)
-    gap = [p + F.col("_ta") * u - q - F.col("_tb") * v for p, u, q, v in zip(a, da, b, db, strict=True)]
-    depth = F.col("_ta") * dot(da, axis)
-    good = (depth > 0.2) & (depth < 6.0) & (F.col("_tb") > 0) & (F.sqrt(dot(gap, gap)) < 0.02 * depth) & (ab / F.sqrt(aa * bb) < 0.9993908270190958) & (F.col("mono") > 0.1)
+    middle = [(p + F.col("_ta") * u + q + F.col("_tb") * v) / 2 for p, u, q, v in zip(a, da, b, db, strict=True)]
+    rows = rows.withColumns(dict(zip(("_mx", "_my", "_mz"), middle, strict=True)))
+    m = [F.col(f"_m{c}") for c in "xyz"]
+
+    def seen(s: str, origin: list, ray: list) -> tuple:
+        """Depth of the point before a camera, and its distance to the matched pixel."""
+        axis = [F.col(f"{s}f{c}") for c in "xyz"]
+        depth, at = dot(minus(m, origin), axis), F.nullif(dot(ray, axis), F.lit(0.0))
+        beside = [p / F.nullif(depth, F.lit(0.0)) - r / at for p, r in zip(minus(m, origin), ray, strict=True)]
+        return depth, F.sqrt(dot(beside, beside)) * F.col(f"{s}focal")
+
+    (depth, off_a), (depth_b, off_b) = seen("a", a, da), seen("b", b, db)
+    pa, pb = minus(m, a), minus(m, b)
+    narrow = dot(pa, pb) / F.greatest(F.sqrt(dot(pa, pa)) * F.sqrt(dot(pb, pb)), F.lit(1e-9))
+    good = (depth > 0.2) & (depth < 6.0) & (depth_b > 0.2) & (off_a < pixels) & (off_b < pixels) & (narrow < math.cos(math.radians(2.0)))
     rows = rows.where(good).withColumn("ratio", depth / F.col("mono")).withColumn("_kept", F.count(F.lit(1)).over(_window(keys)))
-    return rows.where(F.col("_kept") >= kept).select(*keys, "ratio")
+    return rows.where((F.col("_kept") >= kept) & (F.col("mono") > 0.1)).select(*keys, "ratio")
 
 
 def _window(keys: tuple[str, ...]):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,14 +35,14 @@ def in_boxes(points: DataFrame, boxes: DataFrame, x: str, z: str, cell: float) -
     return met.where((F.col(x) >= F.col("xmin")) & (F.col(x) < F.col("xmax")) & (F.col(z) >= F.col("zmin")) & (F.col(z) <= F.col("zmax")))
 
 
-def near_edges(points: DataFrame, ident: str, px: str, pz: str, edges: DataFrame, keys: tuple[str, ...], margin: float, cell: float) -> DataFrame:
+def near_edges(points: DataFrame, ident: str, px: str, pz: str, edges: DataFrame, keys: tuple[str, ...], margin: float, cell: float, within: tuple[str, ...] = ()) -> DataFrame:
     """(ident, keys) of points within `margin` of an edge (x1, z1, x2, z2): edges enter the rows of cells they span with the margin, then the distance to the segment decides."""
     e = edges.withColumn("_row", F.explode(F.sequence(F.floor((F.least("z1", "z2") - margin) / cell), F.floor((F.greatest("z1", "z2") + margin) / cell))))
     dx, dz = F.col("x2") - F.col("x1"), F.col("z2") - F.col("z1")
     t = ((F.col(px) - F.col("x1")) * dx + (F.col(pz) - F.col("z1")) * dz) / F.greatest(dx * dx + dz * dz, F.lit(1e-12))
     t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
     gx, gz = F.col(px) - (F.col("x1") + t * dx), F.col(pz) - (F.col("z1") + t * dz)
-    return points.withColumn("_row", F.floor(F.col(pz) / cell)).join(e, "_row").where(gx * gx + gz * gz <= margin * margin).select(ident, *keys).distinct()
+    return points.withColumn("_row", F.floor(F.col(pz) / cell)).join(e, [*within, "_row"]).where(gx * gx + gz * gz <= margin * margin).select(ident, *keys).distinct()
 
 
 def within_margin(points: DataFrame, ident: str, px: str, pz: str, edges: DataFrame, keys: tuple[str, ...], margin: float, cell: float) -> DataFrame:
@@ -169,18 +171,39 @@ def clean_rate(found: DataFrame, walls: DataFrame, keys: tuple[str, ...]) -> Dat
 def merge_close(df: DataFrame, keys: tuple[str, ...], value: str, strength: str, apart: float = 0.06) -> DataFrame:
     """(keys, value, strength): sorted values merged where one is less than `apart` above the kept one, which a stronger one replaces.
 
-    A fold over a key's sorted values (a room's candidate lines, a few tens).
+    Of equal values only the strongest can stay, and a value `apart` or more above the one before it
+    begins anew, whatever was kept. So a key's values are divided into stretches without such a gap,
+    which are dealt to tasks, sorted, and read through with one kept row in memory. Rows without a value go; a null strength is the least.
     """
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), F.col(strength).cast("double").alias("w")))).alias("l"))
-    start = F.slice("l", 1, 1)
-
-    def step(kept: Column, row: Column) -> Column:
-        last = F.element_at(kept, -1)
-        merged = F.when(row["w"] > last["w"], F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(row))).otherwise(kept)
-        return F.when(row["v"] - last["v"] < apart, merged).otherwise(F.concat(kept, F.array(row)))
-
-    folded = F.aggregate(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))), start, step)
-    return rows.select(*keys, F.explode(folded).alias("r")).select(*keys, F.col("r.v").alias(value), F.col("r.w").alias(strength))
+    import pandas as pd
+
+    rows = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias(value)).agg(F.coalesce(F.max(F.col(strength).cast("double")), F.lit(float("-inf"))).alias(strength))
+    w = Window.partitionBy(*keys).orderBy(value)
+    before = F.lag(value).over(w)
+    rows = rows.withColumn("_new", (before.isNull() | (F.col(value) - before >= apart)).cast("long"))
+    rows = rows.withColumn("_stretch", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ordered = rows.repartition(*keys, "_stretch").sortWithinPartitions(*keys, "_stretch", value).select(*keys, value, strength, "_new")
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            both = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            at, v, s, new = -1, both[value].to_numpy(), both[strength].to_numpy(), both["_new"].to_numpy()
+            done = []
+            for k in range(len(both)):
+                if at < 0 or new[k] or v[k] - v[at] >= apart:
+                    if at >= 0:
+                        done.append(at)
+                    at = k
+                elif s[k] > s[at]:
+                    at = k
+            if at >= 0:
+                held = both.iloc[[at]]
+                yield both.iloc[done]
+        if held is not None:
+            yield held
+
+    return ordered.mapInPandas(kept, ordered.schema).select(*keys, value, F.when(F.col(strength) > float("-inf"), F.col(strength)).alias(strength))
 
 
 def halves(df: DataFrame, keys: tuple[str, ...], order: list[str]) -> DataFrame:
