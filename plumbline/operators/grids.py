@@ -96,19 +96,20 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return ranges.join(F.broadcast(offsets), "_part").withColumn(name, number).drop("_part", "_before")
 
 
-def cell_components(cells: DataFrame) -> DataFrame:
-    """(i, j, component): 4-connected components of cells, named by the id of their first cell in raster order.
+def cell_components(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, i, j, component): 4-connected components of each key's cells, named by the id of their first cell in raster order (with the keys, if there are any).
 
     Cells of a row that touch are one run first, so the graph has a node a run and an edge for each
     two runs that lie beside each other, and takes fewer rounds.
     """
     ident = F.shiftleft(F.col("i").cast("long") + F.lit(1 << 30), 32) + (F.col("j").cast("long") + F.lit(1 << 30))
-    row = Window.partitionBy("i").orderBy("j")
-    own = cells.select("i", "j").distinct().withColumn("_new", F.coalesce(F.col("j") - F.lag("j").over(row) != 1, F.lit(True)))
-    own = cut(own.select("i", "j", F.last(F.when(F.col("_new"), ident), ignorenulls=True).over(row).alias("node")))
-    below = own.select((F.col("i") + 1).alias("i"), "j", F.col("node").alias("x"))
-    edges = below.join(own.withColumnRenamed("node", "y"), ["i", "j"]).select("x", "y").distinct()
-    return own.join(components(own, edges), "node").select("i", "j", "component")
+    ident = F.struct(*keys, ident.alias("at")) if keys else ident
+    row = Window.partitionBy(*keys, "i").orderBy("j")
+    own = cells.select(*keys, "i", "j").distinct().withColumn("_new", F.coalesce(F.col("j") - F.lag("j").over(row) != 1, F.lit(True)))
+    own = cut(own.select(*keys, "i", "j", F.last(F.when(F.col("_new"), ident), ignorenulls=True).over(row).alias("node")))
+    below = own.select(*keys, (F.col("i") + 1).alias("i"), "j", F.col("node").alias("x"))
+    edges = below.join(own.withColumnRenamed("node", "y"), [*keys, "i", "j"]).select("x", "y").distinct()
+    return own.join(components(own, edges), "node").select(*keys, "i", "j", "component")
 
 
 def label_components(cells: DataFrame) -> DataFrame:

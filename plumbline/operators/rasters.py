@@ -12,26 +12,27 @@ def _ident(i: str = "i", j: str = "j"):
     return F.shiftleft(F.col(i).cast("long") + F.lit(1 << 30), 32) + (F.col(j).cast("long") + F.lit(1 << 30))
 
 
-def holes(cells: DataFrame) -> DataFrame:
-    """(i, j, hole): empty cells of the bounding box that no 4-connected path of empty cells joins to its border, with the least cell's id of each hole."""
-    box = cells.agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1")).where("i0 is not null")
+def holes(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, i, j, hole): empty cells of each key's bounding box that no 4-connected path of empty cells joins to its border, with the least cell's id of each hole."""
+    box = cells.groupBy(*keys).agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1")).where("i0 is not null")
     every = box.withColumn("i", F.explode(F.sequence("i0", "i1"))).withColumn("j", F.explode(F.sequence("j0", "j1")))
-    empty = every.join(cells.select("i", "j").distinct(), ["i", "j"], "left_anti").withColumn("edge", (F.col("i") == F.col("i0")) | (F.col("i") == F.col("i1")) | (F.col("j") == F.col("j0")) | (F.col("j") == F.col("j1")))
-    empty = cut(empty.select("i", "j", "edge"))
-    found = cut(empty.join(cell_components(empty), ["i", "j"]))
+    at = [*keys, "i", "j"]
+    empty = every.join(cells.select(*at).distinct(), at, "left_anti").withColumn("edge", (F.col("i") == F.col("i0")) | (F.col("i") == F.col("i1")) | (F.col("j") == F.col("j0")) | (F.col("j") == F.col("j1")))
+    empty = cut(empty.select(*at, "edge"))
+    found = cut(empty.join(cell_components(empty, keys), at))
     open_ = found.where("edge").select("component").distinct()
-    return found.join(open_, "component", "left_anti").select("i", "j", F.col("component").alias("hole"))
+    return found.join(open_, "component", "left_anti").select(*at, F.col("component").alias("hole"))
 
 
-def fill_holes(cells: DataFrame, *, most: int | None = None, barrier: DataFrame | None = None, wall_share: float = 0.25) -> DataFrame:
+def fill_holes(cells: DataFrame, *, keys: tuple[str, ...] = (), most: int | None = None, barrier: DataFrame | None = None, wall_share: float = 0.25) -> DataFrame:
     """Cells with their holes filled: all, or those of fewer than `most` cells whose share of barrier cells is under `wall_share`."""
-    found = holes(cells)
+    found, at = holes(cells, keys), [*keys, "i", "j"]
     if most is not None or barrier is not None:
-        wall = barrier.select("i", "j").distinct().withColumn("_w", F.lit(1.0)) if barrier is not None else found.select("i", "j").where(F.lit(False)).withColumn("_w", F.lit(1.0))
-        stats = found.join(wall, ["i", "j"], "left").groupBy("hole").agg(F.count(F.lit(1)).alias("_n"), F.avg(F.coalesce("_w", F.lit(0.0))).alias("_s"))
+        wall = barrier.select(*at).distinct().withColumn("_w", F.lit(1.0)) if barrier is not None else found.select(*at).where(F.lit(False)).withColumn("_w", F.lit(1.0))
+        stats = found.join(wall, at, "left").groupBy("hole").agg(F.count(F.lit(1)).alias("_n"), F.avg(F.coalesce("_w", F.lit(0.0))).alias("_s"))
         small = stats.where((F.col("_n") < (most if most is not None else 1 << 62)) & (F.col("_s") < wall_share)).select("hole")
         found = found.join(small, "hole", "left_semi")
-    return cells.select("i", "j").unionByName(found.select("i", "j")).distinct()
+    return cells.select(*at).unionByName(found.select(*at)).distinct()
 
 
 def interior(barrier: DataFrame, floor_seen: DataFrame, free: DataFrame, res: float, furniture: float = 6.0) -> DataFrame:
