@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import measures, openings, ordered, points, rules, selection, shapes, spaces, streams
+from . import builds, measures, openings, ordered, points, rules, selection, shapes, spaces, streams
 
 FLAGSHIP = "lowest_level"
-_MODULES = (points, ordered, rules, streams, openings, selection, spaces, measures, shapes)
+_MODULES = (points, ordered, rules, streams, openings, selection, spaces, measures, shapes, builds)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
