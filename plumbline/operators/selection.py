@@ -35,6 +35,14 @@ def in_boxes(points: DataFrame, boxes: DataFrame, x: str, z: str, cell: float) -
     return met.where((F.col(x) >= F.col("xmin")) & (F.col(x) < F.col("xmax")) & (F.col(z) >= F.col("zmin")) & (F.col(z) <= F.col("zmax")))
 
 
+def counts_in_boxes(points: DataFrame, boxes: DataFrame, ident: str, x: str, z: str, cell: float) -> DataFrame:
+    """(ident, n): points in each box that holds any, as `in_boxes` finds them. Points in one place are counted before they meet the boxes, and boxes in one place meet them once."""
+    place = ["xmin", "xmax", "zmin", "zmax"]
+    spots = points.groupBy(x, z).agg(F.count(F.lit(1)).alias("_n"))
+    n = in_boxes(spots, boxes.select(*place).distinct(), x, z, cell).groupBy(*place).agg(F.sum("_n").alias("n"))
+    return boxes.join(n, place).groupBy(ident).agg(F.sum("n").alias("n"))
+
+
 def near_edges(points: DataFrame, ident: str, px: str, pz: str, edges: DataFrame, keys: tuple[str, ...], margin: float, cell: float, within: tuple[str, ...] = ()) -> DataFrame:
     """(ident, keys) of points within `margin` of an edge (x1, z1, x2, z2): edges enter the rows of cells they span with the margin, then the distance to the segment decides."""
     e = edges.withColumn("_row", F.explode(F.sequence(F.floor((F.least("z1", "z2") - margin) / cell), F.floor((F.greatest("z1", "z2") + margin) / cell))))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import openings as O
 from ..operators import rules as R
+from ..operators.quantiles import exact_percentiles
 from ..plans import levels as L
 from ..session import table
 from . import points as P
@@ -154,7 +155,8 @@ def wall_density(spark, d):
 
 def reference_density(spark, d):
     """The median of the walls' densities, 1 without walls."""
-    return _density(spark, d).agg(F.round(F.coalesce(F.percentile("density", 0.5), F.lit(1.0)), 6).alias("reference"))
+    middle = exact_percentiles(_density(spark, d), (), "density", [0.5])
+    return middle.agg(F.round(F.coalesce(F.max(F.col("p")[0]), F.lit(1.0)), 6).alias("reference"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -48,3 +48,12 @@ def test_nearest_plane_meets_planes_of_one_place_once(spark):
     most, rows = rows_made(spark, lambda: O.nearest_plane(points, "id", planes))
     assert most <= 9000  # three cells of each plane; 300,000 pairs
     assert {r.id: r.surface for r in rows} == {i: min(3000 - k for k in range(3000) if k % 20 == i % 20) for i in range(2000)}
+
+
+def test_wall_density_counts_a_place_once(spark):
+    points = spark.range(2000).select(F.lit(1.01).alias("x"), (F.col("id") % 50 / 10).alias("z"), F.lit(1.0).alias("h"))
+    walls = spark.range(500).select(F.col("id").alias("wall_id"), F.lit(0).alias("axis"), F.lit(1.0).alias("c"), (F.col("id") % 2).cast("double").alias("t0"), F.lit(4.0).alias("t1"), F.lit(1.0).alias("coverage"))
+    most, rows = rows_made(spark, lambda: O.wall_density(points, walls))
+    n = {s: sum(40 for k in range(50) if s + 0.1 < k / 10 < 3.9) for s in (0, 1)}
+    assert {r.wall_id: round(r.density, 6) for r in rows} == {w: round(n[w % 2] / ((3.8 - w % 2) * 1.9), 6) for w in range(500)}
+    assert most <= 12_000  # 600,000 pairs
