@@ -85,8 +85,7 @@ def gaps_on_walls(spark, d):
     """Lines as gaps, parts as walls: gaps and their overlap on each wall."""
     i = table(spark, d, "lineitem")
     gaps = i.select(F.col("l_orderkey").alias("gap_id"), (F.col("l_suppkey") % 2).cast("int").alias("axis"), (F.when(F.col("l_suppkey") % 2 == 0, F.col("l_suppkey")).otherwise(F.col("l_suppkey") % 10) + F.col("l_discount")).alias("c"), (F.col("l_tax") * 50).alias("a"), (F.col("l_tax") * 50 + F.col("l_quantity") / 40 + 0.5).alias("b"))
-    found = O.gaps_on_walls(gaps, _walls(spark, d))
-    return found.groupBy("wall_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("overlap"), 4).alias("overlap"))
+    return O.gap_totals(gaps, _walls(spark, d)).select("wall_id", "n", F.round("overlap", 4).alias("overlap"))
 
 
 def _gaps(spark, d):

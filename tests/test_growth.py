@@ -57,3 +57,12 @@ def test_wall_density_counts_a_place_once(spark):
     n = {s: sum(40 for k in range(50) if s + 0.1 < k / 10 < 3.9) for s in (0, 1)}
     assert {r.wall_id: round(r.density, 6) for r in rows} == {w: round(n[w % 2] / ((3.8 - w % 2) * 1.9), 6) for w in range(500)}
     assert most <= 12_000  # 600,000 pairs
+
+
+def test_gap_totals_are_those_of_the_pairs(spark):
+    gaps = spark.range(900).select(F.col("id").alias("gap_id"), (F.col("id") % 2).cast("int").alias("axis"), (F.col("id") % 7 / 4).alias("c"), (F.col("id") % 5 / 2).alias("a"), (F.col("id") % 5 / 2 + F.col("id") % 3 / 2 + 0.4).alias("b"))
+    walls = spark.range(200).select(F.col("id").alias("wall_id"), (F.col("id") % 2).cast("int").alias("axis"), (F.col("id") % 10 / 5 + 0.03).alias("c"), (F.col("id") % 4 / 3).alias("t0"), (F.col("id") % 4 / 3 + 1.2).alias("t1"))
+    most, rows = rows_made(spark, lambda: O.gap_totals(gaps, walls))
+    pairs = O.gaps_on_walls(gaps, walls).groupBy("wall_id").agg(F.count(F.lit(1)).alias("n"), F.sum("overlap").alias("overlap")).collect()
+    assert {r.wall_id: (r.n, round(r.overlap, 9)) for r in rows} == {r.wall_id: (r.n, round(r.overlap, 9)) for r in pairs}
+    assert most < sum(r.n for r in pairs)
