@@ -132,7 +132,7 @@ def door_pairs(doors: DataFrame, *, width: float = 0.35, facing: float = -0.6) -
 
     `doors` (room, door, nx, nz outward normal, width). Widths differ by at most `width` and the
     turned normals face each other; the least difference of widths wins, then the first turn and
-    doors. Doors meet in cells of width, the second in three.
+    doors. Doors meet in cells of width, the second in three; of a room's doors of one width and side only the first can win.
     """
     a = doors.select(*[F.col(c).alias(f"{c}_a") for c in ("room", "door", "nx", "nz", "width")], F.floor(F.col("width") / width).alias("_cell"))
     b = doors.select(*[F.col(c).alias(f"{c}_b") for c in ("room", "door", "nx", "nz", "width")], F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("width") / width) + k)).alias("_cell"))
@@ -141,6 +141,7 @@ def door_pairs(doors: DataFrame, *, width: float = 0.35, facing: float = -0.6) -
     dot = F.col("nx_a") * (F.col("nx_b") * F.col("_t.c") - F.col("nz_b") * F.col("_t.s")) + F.col("nz_a") * (F.col("nx_b") * F.col("_t.s") + F.col("nz_b") * F.col("_t.c"))
     best = met.where(dot <= facing).groupBy("room_a", "room_b").agg(F.min(F.struct("diff", F.col("_t.turns").alias("turns"), "door_a", "door_b")).alias("m"))
     return best.select("room_a", "room_b", "m.door_a", "m.door_b", "m.turns", "m.diff")
+    doors = doors.groupBy("room", "nx", "nz", "width").agg(F.min("door").alias("door"))
 
 
 def weighted_gauge(df: DataFrame, keys: tuple[str, ...], value: str, weight: str) -> DataFrame:

@@ -75,3 +75,10 @@ def test_counts_in_boxes_are_those_of_the_pairs(spark):
     pairs = K.in_boxes(points, boxes, "x", "z", 2.0).groupBy("id").count().collect()
     assert {r.id: r.n for r in rows} == {r.id: r["count"] for r in pairs}
     assert most <= 3000 < sum(r["count"] for r in pairs)
+
+
+def test_door_pairs_take_a_width_and_side_once(spark):
+    doors = spark.range(1200).select((F.col("id") % 3).alias("room"), F.col("id").alias("door"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0).alias("nx"), F.lit(0.0).alias("nz"), (F.col("id") % 5 / 10).alias("width"))
+    most, rows = rows_made(spark, lambda: K.door_pairs(doors))
+    assert {(r.room_a, r.room_b): (r.door_a, r.door_b, r.turns, r.diff) for r in rows} == {(0, 1): (0, 25, 0, 0.0), (0, 2): (0, 5, 0, 0.0), (1, 2): (1, 26, 0, 0.0)}
+    assert most < 5000  # 480,000 pairs
