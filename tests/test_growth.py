@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from plumbline.operators import geometry as X
+from plumbline.operators import joins as J
 from plumbline.operators import openings as O
 from plumbline.operators import selection as K
 
@@ -97,3 +98,19 @@ def test_spots_in_and_near_polygons_are_those_of_the_tests_of_all_edges(spark):
     assert got(X.spots_in_polygons(points, edges, ("k",), "id", "x", "z", 3.0)) == got(inside)
     most, rows = rows_made(spark, lambda: K.near_edges(points, "id", "x", "z", edges, ("k",), 0.5, 2.0))
     assert sorted((r.id, r.k) for r in rows) == got(near)
+
+
+def test_nearest_vectors_are_those_of_all_distances(spark):
+    v = spark.range(900).select("id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda d: ((F.col("id") % 300 * (d + 3)) % 17 / 5).cast("float")).alias("v"))
+    most, rows = rows_made(spark, lambda: J.nearest_vectors(v.where("id % 10 = 0"), v, "id", "v", 3, block=100))
+    pairs = v.where("id % 10 = 0").select(F.col("id").alias("q"), F.col("v").alias("a")).crossJoin(v.select(F.col("id").alias("other"), F.col("v").alias("b"))).where("q <> other")
+    truth: dict = {}
+    for r in pairs.select("q", "other", F.round(J.squared_distance(F.col("a"), F.col("b")), 9).alias("d2")).collect():
+        truth.setdefault(r.q, []).append((r.d2, r.other))
+    assert {(r.id, r.rank): (r.d2, r.other) for r in rows} == {(q, k + 1): d for q, found in truth.items() for k, d in enumerate(sorted(found)[:3])}
+    assert most < 40_000  # 81,000 pairs
+
+
+def test_nearest_vectors_pass_over_vectors_with_nulls(spark):
+    v = spark.createDataFrame([(0, [0.0, 0.0]), (1, None), (2, [1.0, None]), (3, [3.0, 4.0]), (4, [1.0])], "id long, v array<float>")
+    assert [(r.id, r.rank, r.other, r.d2) for r in J.nearest_vectors(v.where("id = 0"), v, "id", "v", 3).collect()] == [(0, 1, 3, 25.0)]
