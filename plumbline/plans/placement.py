@@ -51,12 +51,14 @@ def placed_boxes(boxes: DataFrame, poses: DataFrame, keys: tuple[str, ...]) -> D
 
 
 def overlaps(boxes: DataFrame, key: str, slack: float = 0.0, cell: float = 4.0) -> DataFrame:
-    """(key, a, b, area): pairs of rooms of one plan whose boxes overlap by more than `slack` both ways, with the common area; boxes of one room must not overlap. Boxes meet in cells of their x."""
-    rows = boxes.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell))))
-    a, b = (rows.select(key, "_cell", *[F.col(c).alias(f"{c}_{s}") for c in ("room", "x0", "z0", "x1", "z1")]) for s in "ab")
+    """(key, a, b, area): pairs of rooms of one plan whose boxes overlap by more than `slack` both ways, with the common area; boxes of one room must not overlap. Boxes meet in cells of both axes."""
+    rows = boxes
+    for c in "xz":
+        rows = rows.withColumn(f"_{c}", F.explode(F.sequence(F.floor(F.col(f"{c}0") / cell), F.floor(F.col(f"{c}1") / cell))))
+    a, b = (rows.select(key, "_x", "_z", *[F.col(c).alias(f"{c}_{s}") for c in ("room", "x0", "z0", "x1", "z1")]) for s in "ab")
     w, h = (F.least(f"{c}1_a", f"{c}1_b") - F.greatest(f"{c}0_a", f"{c}0_b") for c in "xz")
-    first = F.floor(F.greatest("x0_a", "x0_b") / cell) == F.col("_cell")
-    met = a.join(b, [key, "_cell"]).where("room_a < room_b").withColumn("_w", w).withColumn("_h", h).where((F.col("_w") > slack) & (F.col("_h") > slack) & first)
+    first = (F.floor(F.greatest("x0_a", "x0_b") / cell) == F.col("_x")) & (F.floor(F.greatest("z0_a", "z0_b") / cell) == F.col("_z"))
+    met = a.join(b, [key, "_x", "_z"]).where("room_a < room_b").withColumn("_w", w).withColumn("_h", h).where((F.col("_w") > slack) & (F.col("_h") > slack) & first)
     return met.groupBy(key, F.col("room_a").alias("a"), F.col("room_b").alias("b")).agg(F.sum(F.col("_w") * F.col("_h")).alias("area"))
 
 
