@@ -10,6 +10,7 @@ from plumbline.operators import geometry as X
 from plumbline.operators import joins as J
 from plumbline.operators import openings as O
 from plumbline.operators import selection as K
+from plumbline.plans import rooms as R
 
 
 def rows_made(spark, run) -> tuple[int, list]:
@@ -114,3 +115,23 @@ def test_nearest_vectors_are_those_of_all_distances(spark):
 def test_nearest_vectors_pass_over_vectors_with_nulls(spark):
     v = spark.createDataFrame([(0, [0.0, 0.0]), (1, None), (2, [1.0, None]), (3, [3.0, 4.0]), (4, [1.0])], "id long, v array<float>")
     assert [(r.id, r.rank, r.other, r.d2) for r in J.nearest_vectors(v.where("id = 0"), v, "id", "v", 3).collect()] == [(0, 1, 3, 25.0)]
+
+
+def test_rooms_in_a_row_meet_their_own_edges(spark):
+    rooms = spark.range(60).select(F.lit(0).alias("capture"), F.col("id").alias("room"), (F.col("id") * 12.0).alias("x0"))
+    corners = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("dx"), F.lit(z).alias("z")) for k, (x, z) in enumerate([(0.0, 0.0), (5.0, 0.0), (5.0, 3.0), (0.0, 3.0)])])
+    edges = X.edges(rooms.withColumn("s", F.explode(corners)).select("capture", "room", "s.k", (F.col("x0") + F.col("s.dx")).alias("x"), F.col("s.z").alias("z")), ("capture", "room"), "k")
+    points = spark.range(1800).select(F.lit(0).alias("capture"), "id", (F.col("id") % 360 * 2 + 0.3).alias("x"), (F.floor(F.col("id") / 360) * 0.6 + 0.2).alias("z"))
+    most, rows = rows_made(spark, lambda: X.points_in_polygons(points, edges, ("capture", "room"), "id", "x", "z", 0.5, ("capture",)))
+    assert {(r.id, r.room) for r in rows} == {(i, i % 360 * 2 // 12) for i in range(1800) if i % 360 * 2 % 12 + 0.3 < 5}
+    assert most < 6000  # 60 right edges are beside each point of the first rooms
+
+
+def test_wall_points_meet_the_edges_along_them(spark):
+    sides = spark.range(60).select(F.lit(0).alias("capture"), F.col("id").alias("edge"), F.lit(1).alias("axis"), F.lit(3.0).alias("c"), (F.col("id") * 12.0).alias("lo"), (F.col("id") * 12.0 + 5).alias("hi"), F.lit(1).alias("out"))
+    points = spark.range(3000).select(F.lit(0).alias("capture"), (F.col("id") % 60 * 12.0 + F.floor(F.col("id") / 60) / 10 + 0.01).alias("x"), F.lit(3.02).alias("z"), F.lit(0.0).alias("nx"), F.lit(-1.0).alias("nz"), F.lit(1.0).alias("h"), F.lit(1.0).alias("w"))
+    p, e = R.along_edges(points, sides, ("capture",), 0.5)
+    most, rows = rows_made(spark, lambda: p.join(e, ["capture", "axis", "_cell", "_along"]))
+    assert most <= 6000  # 180,000 by line alone
+    found = {r.edge: (round(r.c, 6), r.n) for r in R.refined_edges(points, sides, within=("capture",)).collect()}
+    assert found == {k: (3.02, 49) for k in range(60)}  # 0.11 to 4.91 along, 8 cm off both ends
