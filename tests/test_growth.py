@@ -135,3 +135,23 @@ def test_wall_points_meet_the_edges_along_them(spark):
     assert most <= 6000  # 180,000 by line alone
     found = {r.edge: (round(r.c, 6), r.n) for r in R.refined_edges(points, sides, within=("capture",)).collect()}
     assert found == {k: (3.02, 49) for k in range(60)}  # 0.11 to 4.91 along, 8 cm off both ends
+
+
+def test_rays_meet_gaps_in_the_cell_of_the_crossing(spark):
+    rays = spark.range(400).select(F.col("id").alias("ray"), (F.col("id") * 37 % 101 / 40 - 1).alias("cx"), F.lit(0.5).alias("cy"), (F.col("id") * 53 % 97 / 20 - 2.5).alias("cz"), (F.col("id") * 71 % 89 / 40 - 1).alias("px"), F.lit(1.0).alias("py"), (F.col("id") * 29 % 83 / 20 - 2).alias("pz"))
+    upright = rays.select((F.col("ray") + 400).alias("ray"), "cx", "cy", "cz", F.col("cx").alias("px"), "py", "pz")  # along a column of cells
+    rays = rays.unionByName(upright)
+    gaps = spark.range(200).select(F.col("id").alias("gap_id"), (F.col("id") % 20 / 8 - 1.25).alias("gx"), (F.col("id") % 9 / 4 - 1).alias("gz"), F.when(F.col("id") % 3 == 0, 0.6).otherwise(0.0).alias("nx"), F.when(F.col("id") % 3 == 0, 0.8).otherwise(1.0).alias("nz"), (F.col("id") % 5 / 2 + 1).alias("width"), F.lit(-1.0).alias("floor_y"))
+    most, rows = rows_made(spark, lambda: O.rays_through(rays, gaps))
+    truth = set()
+    for r in rays.collect():
+        for g in gaps.collect():
+            sp, sc = -((r.px - g.gx) * g.nx + (r.pz - g.gz) * g.nz), -((r.cx - g.gx) * g.nx + (r.cz - g.gz) * g.nz)
+            if 0.1 < sp < 4 and sc < -0.05:
+                t = sc / (sc - sp)
+                along = -(r.cx + t * (r.px - r.cx) - g.gx) * g.nz + (r.cz + t * (r.pz - r.cz) - g.gz) * g.nx
+                height = r.cy + t * (r.py - r.cy) - g.floor_y
+                if abs(along) < g.width / 2 - 0.03 and 0.1 < height < 2:
+                    truth.add((g.gap_id, r.ray, round(along, 9), round(height, 9)))
+    assert {(r.gap_id, r.ray, round(r.along, 9), round(r.height, 9)) for r in rows} == truth and len(truth) == len(rows) > 1000
+    assert most < 120_000  # of 160,000 pairs, each is made in few cells
