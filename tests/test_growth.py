@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import random
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from plumbline.operators import geometry as X
 from plumbline.operators import joins as J
 from plumbline.operators import openings as O
+from plumbline.operators import overlay as V
 from plumbline.operators import selection as K
 from plumbline.plans import rooms as R
 
@@ -155,3 +160,24 @@ def test_rays_meet_gaps_in_the_cell_of_the_crossing(spark):
                     truth.add((g.gap_id, r.ray, round(along, 9), round(height, 9)))
     assert {(r.gap_id, r.ray, round(r.along, 9), round(r.height, 9)) for r in rows} == truth and len(truth) == len(rows) > 1000
     assert most < 120_000  # of 160,000 pairs, each is made in few cells
+
+
+def test_overlap_of_convex_rings_is_that_of_the_sweep(spark):
+    rng = random.Random(5)
+    turns = [(0.2 * math.cos(math.pi * k / 4), 0.2 * math.sin(math.pi * k / 4)) for k in range(8)]
+    wide = lambda points: X.chain((x + dx, z + dz) for x, z in points for dx, dz in turns)
+    spot = lambda: (rng.randint(0, 8) / 5, rng.randint(0, 8) / 5)
+    pairs = [([spot() for _ in range(rng.randint(1, 3))], [spot() for _ in range(rng.randint(1, 3))]) for _ in range(150)]
+    pairs = [(wide(a), wide(b if k % 3 else [*b, a[0]])) for k, (a, b) in enumerate(pairs)]  # every third shares a corner, so edges lie on each other
+    pairs += [([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)], b) for b in ([(1.0, 0.0), (2.0, 0.0), (2.0, 1.0), (1.0, 1.0)], [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)], [(0.5, 0.0), (1.0, 0.0), (1.0, 0.5), (0.5, 0.5)], [(0.25, 0.25), (0.5, 0.25), (0.5, 0.5)])]
+    edges = lambda side: spark.createDataFrame([(k, *r[i], *r[(i + 1) % len(r)]) for k, p in enumerate(pairs) for r in [p[side]] for i in range(len(r))], "k int, x1 double, z1 double, x2 double, z2 double")
+    truth = {r.k: r.common / r.joint for r in V.overlay(edges(0), edges(1), ("k",)).collect()}
+    got = V.convex_iou(*[pd.Series([np.array([c[i] for c in p[side]]) for p in pairs]) for side in (0, 1) for i in (0, 1)])
+    assert max(abs(got[k] - truth[k]) for k in range(len(pairs))) < 1e-9
+
+
+def test_view_consistency_hands_few_rows_to_python(spark):
+    views = spark.range(6000).select((F.col("id") % 300).alias("c"), F.floor(F.col("id") / 1500).alias("view"), (F.col("id") % 7 / 4).alias("u"), (F.col("id") % 5 / 4).alias("v"))
+    most, rows = rows_made(spark, lambda: V.view_consistency(views, ("c",), "view", "u", "v", pad=0.2, directions=8))
+    assert len(rows) == 300 and {r.n_views for r in rows} == {4}
+    assert most <= 6000  # the sweep makes a row for each strip and edge
