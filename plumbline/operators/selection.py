@@ -118,20 +118,26 @@ def loop_closures(frames: DataFrame, key: str, place: str, coords: tuple[str, st
 
     Candidates are earlier frames within `radius`, the nearest first, and then up to `anchors` evenly
     spaced earlier ones; of those that `accept` (over place, other, dist) takes, the first `most` stay.
+
+    Cells are three radii wide, so that an earlier frame enters about three of them; a frame lies in one, in which the first
+    `most` of its near candidates are chosen before they move. Each (key, place) is one frame.
     """
     x, z = coords
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    wide = 3 * radius
+    cells_of = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius * 1.000001) / wide), F.floor((F.col(c) + radius * 1.000001) / wide)))
     a = frames.select(key, place, F.col(x).alias("_x"), F.col(z).alias("_z"))
     b = frames.select(key, F.col(place).alias("other"), F.col(x).alias("_ox"), F.col(z).alias("_oz"))
-    cells = b.withColumn("_s", F.explode(steps)).withColumn("_i", F.floor(F.col("_ox") / radius) + F.col("_s.i")).withColumn("_j", F.floor(F.col("_oz") / radius) + F.col("_s.j")).drop("_s")
+    cells = b.withColumn("_i", cells_of("_ox")).withColumn("_j", cells_of("_oz"))
     dist = F.round(F.sqrt((F.col("_x") - F.col("_ox")) ** 2 + (F.col("_z") - F.col("_oz")) ** 2), 9)
-    near = a.withColumn("_i", F.floor(F.col("_x") / radius)).withColumn("_j", F.floor(F.col("_z") / radius)).join(cells, [key, "_i", "_j"])
-    near = near.where(F.col("other") <= F.col(place) - gap).withColumn("dist", dist).where(F.col("dist") < radius).select(key, place, "other", "dist", F.lit(0).alias("_late"))
-    spaced = a.where(F.col(place) >= gap).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(anchors - 1)))).withColumn("other", F.floor(F.col("_k") * (F.col(place) - gap) / max(1, anchors - 1)).cast("long")).drop("_k").distinct()
-    far = spaced.join(b, [key, "other"]).withColumn("dist", dist).select(key, place, "other", "dist", F.lit(1).alias("_late"))
-    both = near.unionByName(far).groupBy(key, place, "other").agg(F.min("dist").alias("dist"), F.min("_late").alias("_late"))
+    near = a.withColumn("_i", F.floor(F.col("_x") / wide)).withColumn("_j", F.floor(F.col("_z") / wide)).join(cells, [key, "_i", "_j"])
+    near = near.where(F.col("other") <= F.col(place) - gap).withColumn("dist", dist).where(F.col("dist") < radius).where(accept).select(key, "_i", "_j", place, "other", "dist", F.lit(0).alias("_late"))
+    inside = Window.partitionBy(key, "_i", "_j", place).orderBy("dist", "other")  # as the join's rows lie: nothing moves
+    near = near.withColumn("_r", F.row_number().over(inside)).where(F.col("_r") <= most).drop("_r", "_i", "_j")
+    spots = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(anchors - 1)), lambda k: F.floor(k * (F.col(place) - gap) / max(1, anchors - 1)).cast("long")))
+    far = a.where(F.col(place) >= gap).withColumn("other", F.explode(spots)).join(b, [key, "other"]).withColumn("dist", dist).where(accept)
+    far = far.where(~F.coalesce(F.col("dist") < radius, F.lit(False))).select(key, place, "other", "dist", F.lit(1).alias("_late"))  # a nearer one is among the candidates before
     order = Window.partitionBy(key, place).orderBy("_late", F.when(F.col("_late") == 0, F.col("dist")), "other")
-    return both.where(accept).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).select(key, place, "other", "dist")
+    return near.unionByName(far).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).select(key, place, "other", "dist")
 
 
 def door_pairs(doors: DataFrame, *, width: float = 0.35, facing: float = -0.6) -> DataFrame:

@@ -181,3 +181,42 @@ def test_view_consistency_hands_few_rows_to_python(spark):
     most, rows = rows_made(spark, lambda: V.view_consistency(views, ("c",), "view", "u", "v", pad=0.2, directions=8))
     assert len(rows) == 300 and {r.n_views for r in rows} == {4}
     assert most <= 6000  # the sweep makes a row for each strip and edge
+
+
+def test_near_values_make_the_pairs_of_the_result_only(spark):
+    rows = spark.range(1200).select((F.col("id") % 3).alias("k"), "id", (F.col("id") % 40 / 10).alias("v"))
+    other = rows.select("k", F.col("id").alias("other"), F.col("v").alias("w"))
+    most, found = rows_made(spark, lambda: J.near_join_of_values(rows, other, "v", "w", 0.25, ("k",)))
+    truth = {(a, b) for a in range(1200) for b in range(a % 3, 1200, 3) if abs(a % 40 / 10 - b % 40 / 10) <= 0.25}
+    assert {(r.id, r.other) for r in found} == truth and len(found) == len(truth)
+    assert most <= len(truth)
+
+
+def test_greedy_pairs_read_many_keys_at_once(spark):
+    rows = spark.range(6000).select((F.col("id") % 500).alias("k"), (F.floor(F.col("id") / 500) % 4).alias("a"), (F.floor(F.col("id") / 2000)).alias("b"), (F.col("id") * 7919 % 101 / 10).alias("s"))
+    for best_first in (True, False):
+        df = J.greedy_pairs(rows, ("k",), "a", "b", "s", best_first=best_first)
+        truth = []
+        for k in range(500):
+            used_a, used_b = set(), set()
+            for r in sorted([(i // 500 % 4, i // 2000, i * 7919 % 101 / 10) for i in range(k, 6000, 500)], key=lambda r: (-r[2], r[0], r[1]) if best_first else (r[0], -r[2], r[1])):
+                if r[0] not in used_a and r[1] not in used_b:
+                    used_a.add(r[0])
+                    used_b.add(r[1])
+                    truth.append((k, *r))
+        assert sorted(map(tuple, df.collect())) == sorted(truth)
+        assert "FlatMapGroups" not in df._jdf.queryExecution().toString()  # a call for each key
+
+
+def test_loop_closures_send_a_frame_to_few_cells(spark):
+    frames = spark.range(1200).select((F.col("id") % 30).alias("u"), F.floor(F.col("id") / 30).alias("place"), (F.floor(F.col("id") / 30) % 8 * 2.0 - 3).alias("x"), (F.floor(F.col("id") / 30) % 5 * 2.0 - 3).alias("z"))
+    most, rows = rows_made(spark, lambda: K.loop_closures(frames, "u", "place", ("x", "z"), F.lit(True), gap=3))
+    def plain():
+        for p in range(3, 40):
+            near = sorted((round(math.dist((p % 8 * 2, p % 5 * 2), (o % 8 * 2, o % 5 * 2)), 9), o) for o in range(p - 2))
+            late = [(round(math.dist((p % 8 * 2, p % 5 * 2), (o % 8 * 2, o % 5 * 2)), 9), o) for o in sorted({k * (p - 3) // 4 for k in range(5)})]
+            both = [x for x in near if x[0] < 1.2] + [x for x in late if x[0] >= 1.2]
+            yield from ((p, o, d) for d, o in both[:2])
+    truth = set(plain())
+    assert {(r.u, r.place, r.other, r.dist) for r in rows} == {(u, *t) for u in range(30) for t in truth}
+    assert most <= 5600  # five spaced ones of 37 places; 9 cells a frame were 10,800
