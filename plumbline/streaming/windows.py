@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import uuid
 from collections.abc import Iterator
@@ -97,8 +98,8 @@ def streaming_chunks(rows: DataFrame, key: str, order: str, ident: str, coords:
     """(key, ident, chunk, length, lx, lz) of each row once the watermark has passed it: its chunk of walked path, and the last trusted position up to it.
 
     Rows of a key are taken in event-time order, whatever order they come in: a row waits in a list
-    state until the watermark passes it, when a timer of its key lets it go. A value state holds the
-    key's walked length, last position and last trusted position, so a row whose `trusted` is false
+    state until the watermark passes it, when a timer of its key, set at the first row that waits, lets
+    go all that have been passed. A value state holds the key's walked length, last position and last trusted position, so a row whose `trusted` is false
     has the position of the last good one (null before the first). A new chunk begins each `reach` of
     length. State is removed after `idle` of event time without a row. Rows later than `late` are
     dropped, as in all windows here.
@@ -111,46 +112,53 @@ def streaming_chunks(rows: DataFrame, key: str, order: str, ident: str, coords:
     class Chunks(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            self.path = handle.getValueState("path", "length double, x double, z double, lx double, lz double, idle long")
+            self.path = handle.getValueState("path", "length double, x double, z double, lx double, lz double, idle long, wake long")
             self.held = handle.getListState("held", f"at long, ident {types[ident]}, x double, z double, ok boolean")
 
-        def _released(self, name, upto: int) -> pd.DataFrame:
-            """Rows that the watermark has passed, in order; the others wait on."""
-            rows_held = sorted(tuple(r) for r in self.held.get()) if self.held.exists() else []
-            later = [r for r in rows_held if r[0] > upto]
-            length, x, z, lx, lz, idle_at = self.path.get()
+        def _released(self, name, rows_held: list[tuple], upto: int) -> pd.DataFrame:
+            """Rows that the watermark has passed, in order; the others wait on, with a timer at the first of them."""
+            rows_held.sort()
+            n = bisect.bisect_right(rows_held, upto, key=lambda r: r[0])
+            length, x, z, lx, lz, idle_at, wake = self.path.get()
             out = []
-            for _, row, px, pz, ok in rows_held[: len(rows_held) - len(later)]:
+            for _, row, px, pz, ok in rows_held[:n]:
                 length += 0.0 if x is None else math.hypot(px - x, pz - z)
                 x, z = px, pz
                 lx, lz = (px, pz) if ok else (lx, lz)
                 out.append((name, row, int(length // reach), length, lx, lz))
-            if out:
-                self.path.update((length, x, z, lx, lz, idle_at))
-                if later:
-                    self.held.put(later)
-                else:
-                    self.held.clear()
+            later = rows_held[n:]
+            if later:
+                self.held.put(later)
+            elif self.held.exists():
+                self.held.clear()
+            first = later[0][0] if later else 0
+            if first != wake:
+                if wake > upto:
+                    self.handle.deleteTimer(wake)
+                if first and first != idle_at:
+                    self.handle.registerTimer(first)
+            self.path.update((length, x, z, lx, lz, idle_at, first if first != idle_at else 0))
             return pd.DataFrame(out, columns=[key, ident, "chunk", "length", "lx", "lz"])
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             new = pd.concat(list(rows))
             at = (new[order].dt.as_unit("ms").astype("int64")).tolist()
-            self.held.appendList(list(zip(at, new[ident].tolist(), new[coords[0]].astype(float).tolist(), new[coords[1]].astype(float).tolist(), [x is not None and bool(x) for x in new[trusted].tolist()], strict=True)))
-            *path, idle_at = self.path.get() if self.path.exists() else (0.0, None, None, None, None, 0)
-            for t in set(at):
-                self.handle.registerTimer(t)
+            waiting = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+            waiting += zip(at, new[ident].tolist(), new[coords[0]].astype(float).tolist(), new[coords[1]].astype(float).tolist(), [x is not None and bool(x) for x in new[trusted].tolist()], strict=True)
+            *path, idle_at, wake = self.path.get() if self.path.exists() else (0.0, None, None, None, None, 0, 0)
             if max(at) + wait > idle_at:  # the state outlives its last row by `idle`
                 if idle_at:
                     self.handle.deleteTimer(idle_at)
-                self.path.update((*path, max(at) + wait))
-                self.handle.registerTimer(max(at) + wait)
-            yield self._released(key[0], timerValues.getCurrentWatermarkInMs())
+                idle_at = max(at) + wait
+                self.handle.registerTimer(idle_at)
+                self.path.update((*path, idle_at, wake))
+            yield self._released(key[0], waiting, timerValues.getCurrentWatermarkInMs())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             if self.path.exists():
-                yield self._released(key[0], timerValues.getCurrentWatermarkInMs())
-                if expiredTimerInfo.getExpiryTimeInMs() >= self.path.get()[-1]:
+                if self.held.exists():
+                    yield self._released(key[0], [tuple(r) for r in self.held.get()], timerValues.getCurrentWatermarkInMs())
+                if expiredTimerInfo.getExpiryTimeInMs() >= self.path.get()[-2]:
                     self.path.clear()
 
         def close(self) -> None:

@@ -43,3 +43,30 @@ def test_chunks_go_on_after_a_restart(spark, tmp_path):
         out = windows.run_once(windows.streaming_chunks(spark.readStream.schema(SCHEMA).parquet(folder), "k", "ts", "id", ("x", "z"), "ok", 3.0, late="25 minutes", idle="2 hours"), base=base)
     last = out.where("id = 1000").first()
     assert (last["chunk"], last["length"], last["lx"]) == (0, 0.0, None)
+
+
+def test_a_key_keeps_few_timers(spark, tmp_path):
+    from pyspark.sql.streaming.listener import StreamingQueryListener
+
+    class Seen(StreamingQueryListener):
+        timers = 0
+
+        def onQueryStarted(self, event): ...
+        def onQueryTerminated(self, event): ...
+        def onQueryIdle(self, event): ...
+        def onQueryProgress(self, event):
+            Seen.timers += sum(int(s.customMetrics.get("numRegisteredTimers", 0)) for s in event.progress.stateOperators)
+
+    start = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    rows = [(k, i, start + datetime.timedelta(minutes=i), i * 0.5, float(i % 3), i % 4 != 0) for k in "abc" for i in range(60)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in")
+    listener = Seen()
+    spark.streams.addListener(listener)
+    try:
+        with windows.rocksdb_state(spark):
+            out = windows.run_once(windows.streaming_chunks(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), "k", "ts", "id", ("x", "z"), "ok", 3.0, late="10 minutes", idle="2 hours"), base=f"file://{tmp_path}/run")
+            assert {(r["k"], r["id"]): (r["chunk"], round(r["length"], 9), r["lx"], r["lz"]) for r in out.collect()} == plain(rows, 3.0, start + datetime.timedelta(minutes=49))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(listener)
+    assert 0 < Seen.timers <= 9  # not one for each of 180 rows
