@@ -14,6 +14,7 @@ from plumbline.operators import geometry as X
 from plumbline.operators import joins as J
 from plumbline.operators import openings as O
 from plumbline.operators import overlay as V
+from plumbline.operators import quantiles as Q
 from plumbline.operators import selection as K
 from plumbline.plans import rooms as R
 
@@ -220,3 +221,12 @@ def test_loop_closures_send_a_frame_to_few_cells(spark):
     truth = set(plain())
     assert {(r.u, r.place, r.other, r.dist) for r in rows} == {(u, *t) for u in range(30) for t in truth}
     assert most <= 5600  # five spaced ones of 37 places; 9 cells a frame were 10,800
+
+
+def test_percentiles_of_few_keys_move_no_rows(spark):
+    df = spark.range(50_000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 50_021 / 10).alias("v"))
+    found = Q.exact_percentiles(df, ("k",), "v", [0.5, 0.9])
+    rows = {r.k: r.p for r in found.collect()}
+    assert rows == {r.k: r.p for r in df.groupBy("k").agg(F.percentile("v", F.array(F.lit(0.5), F.lit(0.9))).alias("p")).collect()}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
