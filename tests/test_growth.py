@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from plumbline.operators import contours as N
 from plumbline.operators import geometry as X
 from plumbline.operators import joins as J
 from plumbline.operators import openings as O
@@ -230,3 +231,13 @@ def test_percentiles_of_few_keys_move_no_rows(spark):
     assert rows == {r.k: r.p for r in df.groupBy("k").agg(F.percentile("v", F.array(F.lit(0.5), F.lit(0.9))).alias("p")).collect()}
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_rooms_of_one_shape_are_overlaid_once(spark):
+    rooms = spark.range(300).select((F.col("id") % 3).alias("plan"), "id", (F.col("id") % 5 * 0.4).alias("x0"))
+    spots = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("dx"), F.lit(z).alias("z")) for k, (x, z) in enumerate([(0.0, 0.0), (1.0, 0.0), (1.0, 2.0), (0.0, 2.0)])])
+    corners = rooms.withColumn("s", F.explode(spots)).select("plan", "id", "s.k", (F.col("x0") + F.col("s.dx")).alias("x"), F.col("s.z").alias("z"))
+    most, rows = rows_made(spark, lambda: N.overlapping(corners, "plan", "id", "k"))
+    truth = {(a % 3, a, b): round(2 * (1 - 0.4 * abs(a % 5 - b % 5)), 6) for a in range(300) for b in range(a + 1, 300) if a % 3 == b % 3 and abs(a % 5 - b % 5) < 3}
+    assert {(r.plan, r.a, r.b): round(r.common, 6) for r in rows} == truth and len(rows) == len(truth)
+    assert most <= 3 * len(truth)  # no strips and edges for each pair
