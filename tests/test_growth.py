@@ -241,3 +241,88 @@ def test_rooms_of_one_shape_are_overlaid_once(spark):
     truth = {(a % 3, a, b): round(2 * (1 - 0.4 * abs(a % 5 - b % 5)), 6) for a in range(300) for b in range(a + 1, 300) if a % 3 == b % 3 and abs(a % 5 - b % 5) < 3}
     assert {(r.plan, r.a, r.b): round(r.common, 6) for r in rows} == truth and len(rows) == len(truth)
     assert most <= 3 * len(truth)  # no strips and edges for each pair
+
+
+def _gap_by_gap(inner, visited, gaps, res, door=1.3, area=1.0, split=0.5, sliver=1.5):
+    """One plan's rooms and closures with every gap decided by itself on the cells."""
+    def line(x1, z1, x2, z2):
+        n = max(2, math.ceil(math.hypot(x2 - x1, z2 - z1) / (res * 0.5)))
+        spots = {(math.floor((x1 + (x2 - x1) * (k / (n - 1))) / res), math.floor((z1 + (z2 - z1) * (k / (n - 1))) / res)) for k in range(n)}
+        return {(i + a, j + b) for i, j in spots for a in (-1, 0, 1) for b in (-1, 0, 1)}
+
+    cross = ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))
+    order = sorted((w, g, line(*at)) for g, *at, w in gaps)
+    over = {g: cells for _, g, cells in order}
+    ring = {g: {(i + a + c, j + b + d) for i, j in cells for a, b in cross for c, d in cross} for g, cells in over.items()}
+
+    def regions(shut):
+        left, found = inner - set().union(*(over[g] for g in shut)), {}
+        while left:
+            first = min(left)
+            frontier, group = [first], set()
+            left.remove(first)
+            while frontier:
+                i, j = frontier.pop()
+                group.add((i, j))
+                near = {(i + a, j + b) for a, b in cross} & left
+                left -= near
+                frontier += near
+            found[first] = group
+        return found
+
+    def around(g, found):
+        return {k for k, group in found.items() if group & ring[g]}
+
+    doors = [g for w, g, _ in order if w <= door]
+    found = regions(doors)
+    shut = {g: "door" for g in doors if len(around(g, found)) > 1}
+    for w, g, _ in order:
+        if w > door:
+            found = regions({g, *shut})
+            sides = around(g, found)
+            if len(sides) > 1 and any(found[k] & visited for k in sides) and any(len(found[k]) * res * res > split for k in sides if not found[k] & visited):
+                shut[g] = "window_or_glass"
+    while True:
+        found = regions(shut)
+        clips = lambda g: len(around(g, found)) > 1 and any(found[k] & visited and len(found[k]) * res * res < sliver for k in around(g, found))  # noqa: E731, B023
+        clipping = next((g for g in shut if shut[g] == "door" and clips(g)), None)
+        if clipping is None:
+            break
+        del shut[clipping]
+    rooms = [found[k] for k in sorted(found) if found[k] & visited and len(found[k]) * res * res >= area]
+    return {(i, j, n) for n, group in enumerate(rooms, 1) for i, j in group}, shut
+
+
+def test_gaps_of_one_line_are_decided_as_each_by_itself(spark):
+    """Sixteen plans whose gaps repeat lines in mixed order and with other widths: rooms and closures as gap by gap."""
+    rng, res = random.Random(7), 0.25
+    plans = {}
+    for k in range(16):
+        inner = {(i, j) for i in range(16) for j in range(16) if rng.random() < 0.85}
+        visited = {c for c in inner if rng.random() < (0.02 if k % 2 else 0.15)}
+        lines = []
+        for _ in range(14):
+            x, z, long = rng.randrange(16) * res, rng.randrange(16) * res, rng.randrange(2, 9) * res
+            lines.append((x, z, x, z + long) if rng.random() < 0.5 else (x, z, x + long, z))
+        plans[f"p{k}"] = inner, visited, [(g, *rng.choice(lines), rng.choice((0.8, 1.2, 1.5, 2.0))) for g in range(45)]
+    cells = lambda at: spark.createDataFrame([(p, *c) for p, v in plans.items() for c in sorted(v[at])], "capture string, i long, j long")
+    gaps = spark.createDataFrame([(p, *g) for p, v in plans.items() for g in v[2]], "capture string, gap_id long, x1 double, z1 double, x2 double, z2 double, width double")
+    rows = R.segment_rooms(cells(0), cells(1), gaps, res).collect()
+    opened = kinds = 0
+    for p, (inner, visited, given) in plans.items():
+        room_cells, shut = _gap_by_gap(inner, visited, given, res)
+        assert {(r.i, r.j, r.label) for r in rows if r.capture == p and r.what == "cell"} == room_cells
+        assert {r.gap_id: r.kind for r in rows if r.capture == p and r.what == "closure"} == shut
+        kinds += len(set(shut.values())) > 1
+        opened += shut != _gap_by_gap(inner, visited, given, res, sliver=0.0)[1]
+    assert kinds > 3 and opened > 3  # windows were shut and doors opened again in several plans
+
+
+def test_copies_of_gaps_are_drawn_once(spark):
+    inner = spark.range(61 * 20).select(F.lit("k").alias("capture"), F.floor(F.col("id") / 20).alias("i"), (F.col("id") % 20).alias("j")).where("i <> 30 or j between 6 and 14")
+    visited = inner.where("i between 10 and 50 and j between 9 and 10")
+    gaps = spark.range(3000).select(F.lit("k").alias("capture"), F.col("id").alias("gap_id"), F.lit(3.05).alias("x1"), F.lit(0.55).alias("z1"), F.lit(3.05).alias("x2"), F.lit(1.55).alias("z2"), F.lit(0.9).alias("width"))
+    most, rows = rows_made(spark, lambda: R.segment_rooms(inner, visited, gaps, 0.1))
+    assert {r.gap_id: r.kind for r in rows if r.what == "closure"} == {g: "door" for g in range(3000)}
+    assert len({r.label for r in rows if r.what == "cell"}) == 2
+    assert most < 20_000  # 3000 gaps have a hundred cells and more each
