@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,40 +122,62 @@ def outline(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def traced(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, ring, k, i, j): outlines put together to rings of corners, straight runs as one edge. A key's outline (one room's) is one group.
+    """(keys, ring, k, i, j): outlines put together to rings of corners, straight runs as one edge. A key's outline (one room's) is held at a time.
 
-    Where four edges meet the ring turns right, so cells that touch at a corner stay apart.
+    Where four edges meet the ring turns right, so cells that touch at a corner stay apart. Keys are dealt to 64 tasks, which read them in order.
     """
     import pandas as pd
 
-    def trace(rows: pd.DataFrame) -> pd.DataFrame:
+    def trace(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
         after: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for e in sorted(rows[["i1", "j1", "i2", "j2"]].itertuples(index=False, name=None)):
+        for e in rows:
             after.setdefault(e[:2], []).append(e[2:])
         out = []
         ring = 0
-        while after:
-            start = at = min(after)
-            step, corners = None, []
-            while True:
-                options = after[at]
-                turn = (lambda p: (step[0] * (p[1] - at[1]) - step[1] * (p[0] - at[0]))) if step else (lambda p: 0)
-                to = max(options, key=turn)  # a left turn keeps cells that touch at a corner apart
-                options.remove(to)
-                if not options:
-                    del after[at]
-                new = (to[0] - at[0], to[1] - at[1])
-                if new != step:
-                    corners.append(at)
-                step, at = new, to
-                if at == start:
-                    break
-            if len(corners) > 1 and (corners[1][0] - corners[0][0] == 0) == (step[0] == 0) and (corners[1][1] - corners[0][1] == 0) == (step[1] == 0):
-                corners = corners[1:]  # the first corner lies on a straight run
-            out += [{**{k: rows[k].iloc[0] for k in keys}, "ring": ring, "k": n, "i": int(c[0]), "j": int(c[1])} for n, c in enumerate(corners)]
-            ring += 1
-        return pd.DataFrame(out)
-
-    types = dict(edges.dtypes)
-    grouped = edges.groupBy(*keys) if keys else edges.withColumn("_all", F.lit(True)).groupBy("_all")
-    return grouped.applyInPandas(trace, ", ".join([*(f"{k} {types[k]}" for k in keys), "ring int, k int, i long, j long"]))
+        for start in sorted(after):
+            while start in after:
+                at, step, corners = start, None, []
+                while True:
+                    options = after[at]
+                    turn = (lambda p: (step[0] * (p[1] - at[1]) - step[1] * (p[0] - at[0]))) if step else (lambda p: 0)
+                    to = max(options, key=turn)  # a left turn keeps cells that touch at a corner apart
+                    options.remove(to)
+                    if not options:
+                        del after[at]
+                    new = (to[0] - at[0], to[1] - at[1])
+                    if new != step:
+                        corners.append(at)
+                    step, at = new, to
+                    if at == start:
+                        break
+                if len(corners) > 1 and (corners[1][0] - corners[0][0] == 0) == (step[0] == 0) and (corners[1][1] - corners[0][1] == 0) == (step[1] == 0):
+                    corners = corners[1:]  # the first corner lies on a straight run
+                out += [(ring, n, *c) for n, c in enumerate(corners)]
+                ring += 1
+        return out
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+
+        def rings(rows: pd.DataFrame, starts: list[int]) -> pd.DataFrame:
+            values = list(rows[["i1", "j1", "i2", "j2"]].itertuples(index=False, name=None))
+            found = [(a, c) for a, b in zip(starts, [*starts[1:], len(rows)], strict=True) for c in trace(values[a:b])]
+            own = rows[list(by)].iloc[[a for a, _ in found]].reset_index(drop=True)
+            return pd.concat([own, pd.DataFrame([c for _, c in found], columns=["ring", "k", "i", "j"])], axis=1)
+
+        for batch in batches:
+            both = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            starts = both["_new"].to_numpy().nonzero()[0].tolist()
+            if len(starts) > 1:
+                yield rings(both.iloc[: starts[-1]], starts[:-1])
+            held = both.iloc[starts[-1] :].reset_index(drop=True) if starts else None
+        if held is not None:
+            yield rings(held, [0])
+
+    by = keys or ("_all",)
+    rows = edges if keys else edges.withColumn("_all", F.lit(True))
+    order = [*by, "i1", "j1", "i2", "j2"]
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(*order[len(by) :])) == 1
+    rows = rows.select(*order).repartition(64, *by).withColumn("_new", first).sortWithinPartitions(*order)
+    types = dict(rows.dtypes)
+    return rows.mapInPandas(read, ", ".join([*(f"{k} {types[k]}" for k in by), "ring int, k int, i long, j long"])).select(*keys, "ring", "k", "i", "j")
