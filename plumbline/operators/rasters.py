@@ -7,7 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grids import CROSS, SQUARE, _offsets, cell_components, closed, components, cut, dilate, opened
+from .grids import CROSS, SQUARE, _offsets, cell_components, closed, components, cut, dilate, opened, row_runs
+from .quantiles import with_key_values
 
 
 def _ident(i: str = "i", j: str = "j"):
@@ -16,11 +17,20 @@ def _ident(i: str = "i", j: str = "j"):
 
 def holes(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, i, j, hole): empty cells of each key's bounding box that no 4-connected path of empty cells joins to its border, with the least cell's id of each hole."""
-    box = cells.groupBy(*keys).agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1")).where("i0 is not null")
-    every = box.withColumn("i", F.explode(F.sequence("i0", "i1"))).withColumn("j", F.explode(F.sequence("j0", "j1")))
-    at = [*keys, "i", "j"]
-    empty = every.join(cells.select(*at).distinct(), at, "left_anti").withColumn("edge", (F.col("i") == F.col("i0")) | (F.col("i") == F.col("i1")) | (F.col("j") == F.col("j0")) | (F.col("j") == F.col("j1")))
-    empty = cut(empty.select(*at, "edge"))
+    return run_holes(cut(row_runs(cells, keys)), keys)
+
+
+def run_holes(runs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, i, j, hole) as `holes`, of cells in runs (keys, i, lo, hi): the empty cells of a row lie between its runs, and between those and the box."""
+    box = runs.groupBy(*keys).agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("lo").alias("j0"), F.max("hi").alias("j1")).where("i0 is not null")
+    row = [*keys, "i"]
+    ends = box.withColumn("i", F.explode(F.sequence("i0", "i1"))).withColumn("e", F.explode(F.array(F.col("j0") - 1, F.col("j1") + 1)))
+    both = runs.select(*row, "lo", "hi").unionByName(ends.select(*row, F.col("e").alias("lo"), F.col("e").alias("hi")))
+    gaps = both.withColumns({"_from": F.col("hi") + 1, "_to": F.lead("lo").over(Window.partitionBy(*row).orderBy("lo")) - 1}).where("_to >= _from")
+    empty = with_key_values(gaps.select(*row, "_from", "_to"), box, keys).withColumn("j", F.explode(F.sequence("_from", "_to")))
+    edge = (F.col("i") == F.col("i0")) | (F.col("i") == F.col("i1")) | (F.col("j") == F.col("j0")) | (F.col("j") == F.col("j1"))
+    at = [*row, "j"]
+    empty = cut(empty.select(*at, edge.alias("edge")))
     found = cut(empty.join(cell_components(empty, keys), at))
     open_ = found.where("edge").select("component").distinct()
     return found.join(open_, "component", "left_anti").select(*at, F.col("component").alias("hole"))

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import contours as N
 from plumbline.operators import geometry as X
+from plumbline.operators import grids as G
 from plumbline.operators import joins as J
 from plumbline.operators import openings as O
 from plumbline.operators import overlay as V
 from plumbline.operators import quantiles as Q
+from plumbline.operators import rasters as T
 from plumbline.operators import selection as K
 from plumbline.plans import rooms as R
 
@@ -326,3 +328,62 @@ def test_copies_of_gaps_are_drawn_once(spark):
     assert {r.gap_id: r.kind for r in rows if r.what == "closure"} == {g: "door" for g in range(3000)}
     assert len({r.label for r in rows if r.what == "cell"}) == 2
     assert most < 20_000  # 3000 gaps have a hundred cells and more each
+
+
+def test_rooms_in_a_row_meet_their_own_lines(spark):
+    """300 rooms of 2.5 m in a row, all with walls on the same two lines along it; of close lines the one that is longer beside the room stays, copies counted, cells of a long one not."""
+    k = spark.range(300).select(F.lit("p").alias("capture"), F.col("id").alias("room"), (F.col("id") * 4.0).alias("x0"))
+    cells = k.crossJoin(spark.range(100)).select("capture", "room", (F.col("x0") * 4 + F.floor(F.col("id") / 10)).cast("long").alias("i"), (F.col("id") % 10).alias("j"))
+    given = [(1, -0.01, 0.0, 2.5), (1, 2.51, 0.0, 2.5), (1, -0.03, 0.5, 1.8), (1, -0.03, 0.5, 1.8)]  # 2 * 1.3 are more than 2.5
+    lines = k.select("capture", "x0", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(c).alias("c"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for a, c, lo, hi in given])).alias("e"))
+    lines = lines.select("capture", "e.axis", "e.c", (F.col("x0") + F.col("e.lo")).alias("a"), (F.col("x0") + F.col("e.hi")).alias("b"))
+    lines = lines.unionByName(spark.createDataFrame([("p", 1, 2.53, -1e4, 1203.0), ("q", 1, -0.04, 0.0, 2000.0)], lines.schema))
+    most, rows = rows_made(spark, lambda: R.snapped_outline(cells, lines, 0.25, keys=("capture", "room"), within=("capture",)))
+    got = {}
+    for r in rows:
+        got.setdefault(r.room, set()).add((r.x, r.z))
+    assert got == {n: {(4.0 * n + x, z) for x in (0.0, 2.5) for z in (-0.03, 2.51)} for n in range(300)}
+    assert most <= 70_000  # 14 for each of 16 rows of a room, closed; 360,000 pairs of rooms and lines
+
+
+def test_squares_close_by_runs(spark):
+    rng = random.Random(3)
+    cells = spark.createDataFrame([(k, rng.randrange(-12, 12), rng.randrange(-40, 40) * (1 + k)) for k in range(3) for _ in range(250)], "room int, i int, j long")
+    for times in (1, 3):
+        stepped = cells
+        for step in (G.dilate, G.erode):
+            for _ in range(times):
+                stepped = step(stepped, G.SQUARE, ("room",))
+        got = G.closed(cells, times=times, keys=("room",))
+        rows = [tuple(r) for r in got.collect()]
+        assert got.dtypes == cells.dtypes and len(rows) == len(set(rows)) and set(rows) == {tuple(r) for r in stepped.collect()}
+
+
+def test_holes_lie_between_runs(spark):
+    rng = random.Random(4)
+    own = {(k, i, j) for k in range(3) for i in range(14) for j in range(20) if rng.random() < 0.55 and i != 7 * (k == 1)}
+    want = set()
+    for k in range(3):
+        at = {c[1:] for c in own if c[0] == k}
+        i0, i1, j0, j1 = min(i for i, _ in at), max(i for i, _ in at), min(j for _, j in at), max(j for _, j in at)
+        empty = {(i, j) for i in range(i0, i1 + 1) for j in range(j0, j1 + 1)} - at
+        frontier = [c for c in empty if c[0] in (i0, i1) or c[1] in (j0, j1)]
+        while frontier:
+            i, j = frontier.pop()
+            if (i, j) in empty:
+                empty.remove((i, j))
+                frontier += [(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)]
+        want |= {(k, *c) for c in empty}
+    got = T.holes(spark.createDataFrame(sorted(own), "room int, i long, j long"), ("room",)).collect()
+    assert {(r.room, r.i, r.j) for r in got} == want and len(got) == len(want) > 20
+
+
+def test_outlines_are_traced_across_batches(spark):
+    cells = spark.range(400).where("id % 7 <> 3").select(F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("room"), (F.col("id") * 13 % 9).alias("i"), (F.col("id") * 7 % 11).alias("j"))
+    traced = lambda: sorted(T.traced(T.outline(cells.where("room is not null"), ("room",)), ("room",)).collect())
+    whole, size = traced(), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert traced() == whole and {r.room for r in whole} == {1, 2, 3, 4}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
