@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grids import numbered
+from .grids import cut, numbered
 from .quantiles import exact_percentiles, settled, with_key_values
 
 
@@ -144,17 +145,46 @@ def door_pairs(doors: DataFrame, *, width: float = 0.35, facing: float = -0.6) -
     """(room_a, room_b, door_a, door_b, turns, diff): for each pair of rooms the two doors, and the quarter turn of the second room, that fit best.
 
     `doors` (room, door, nx, nz outward normal, width). Widths differ by at most `width` and the
-    turned normals face each other; the least difference of widths wins, then the first turn and
-    doors. Doors meet in cells of width, the second in three; of a room's doors of one width and side only the first can win.
+    turned normals face each other; the least difference of widths wins, then the first turn and doors.
+    The least difference is between neighbours in the order of both rooms' widths, so a door is one row for each other room; only doors that
+    differ by just that much then meet. A pair of rooms whose neighbours do not face each other is ordered again for each two sides that do.
     """
-    doors = doors.groupBy("room", "nx", "nz", "width").agg(F.min("door").alias("door"))
-    a = doors.select(*[F.col(c).alias(f"{c}_a") for c in ("room", "door", "nx", "nz", "width")], F.floor(F.col("width") / width).alias("_cell"))
-    b = doors.select(*[F.col(c).alias(f"{c}_b") for c in ("room", "door", "nx", "nz", "width")], F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("width") / width) + k)).alias("_cell"))
-    turned = F.array(*[F.struct(F.lit(k).alias("turns"), F.lit(float(c)).alias("c"), F.lit(float(s)).alias("s")) for k, (c, s) in enumerate([(1, 0), (0, 1), (-1, 0), (0, -1)])])
-    met = a.join(b, "_cell").where("room_a < room_b").withColumn("diff", F.round(F.abs(F.col("width_a") - F.col("width_b")), 9)).where(F.col("diff") <= width).withColumn("_t", F.explode(turned))
-    dot = F.col("nx_a") * (F.col("nx_b") * F.col("_t.c") - F.col("nz_b") * F.col("_t.s")) + F.col("nz_a") * (F.col("nx_b") * F.col("_t.s") + F.col("nz_b") * F.col("_t.c"))
-    best = met.where(dot <= facing).groupBy("room_a", "room_b").agg(F.min(F.struct("diff", F.col("_t.turns").alias("turns"), "door_a", "door_b")).alias("m"))
-    return best.select("room_a", "room_b", "m.door_a", "m.door_b", "m.turns", "m.diff")
+    side, pair = ["nx", "nz"], ["room_a", "room_b"]
+    doors = cut(doors.where(F.col("room").isNotNull() & (F.abs("width") < float("inf"))).groupBy("room", *side, "width").agg(F.min("door").alias("door")))  # of a room's doors of one width and side only the first can win
+    turns = [(1, 0), (0, 1), (-1, 0), (0, -1)]
+    dot = lambda a, b, c, s: a["nx"] * (b["nx"] * float(c) - b["nz"] * float(s)) + a["nz"] * (b["nx"] * float(s) + b["nz"] * float(c))
+    fits = lambda a, b: reduce(lambda x, y: x | y, [F.coalesce(dot(a, b, c, s) <= facing, F.lit(False)) for c, s in turns])
+
+    def least(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """`near` and `diff`: the least difference of neighbours in the order of widths of which one is of either room, and of those that also face each other."""
+        own = F.struct("room", "width", *side)
+        met = rows.withColumn("_a", F.lag(own).over(Window.partitionBy(*keys).orderBy("width", "room"))).withColumn("_b", own).where("_a.room <> _b.room")
+        apart = F.round(F.col("_b.width") - F.col("_a.width"), 9)
+        first = F.col("_a.room") == F.col("room_a")
+        facing_ = F.when(first, fits(F.col("_a"), F.col("_b"))).otherwise(fits(F.col("_b"), F.col("_a")))
+        return met.groupBy(*pair).agg(F.min(apart).alias("near"), F.min(F.when(facing_, apart)).alias("diff")).where(F.col("near") <= width)
+
+    rooms = doors.select("room").distinct()
+    pairs = rooms.select(F.col("room").alias("room_a")).join(rooms.select(F.col("room").alias("room_b")), F.col("room_a") < F.col("room_b"))
+    both = lambda df: df.withColumn("room", F.explode(F.array(*pair)))
+    found = cut(least(both(pairs).join(doors, "room"), pair))
+    sides = doors.select("room", F.struct(*side).alias("_side")).distinct()
+    open_ = found.where("diff is null or diff > near").select(*pair)
+    for r in pair:
+        open_ = open_.join(sides.select(F.col("room").alias(r), F.col("_side").alias(f"_{r}")), r)
+    open_ = open_.where(fits(F.col("_room_a"), F.col("_room_b")))
+    again = open_.withColumn("_s", F.explode(F.array(*[F.struct(F.col(r).alias("room"), F.col(f"_{r}.nx").alias("nx"), F.col(f"_{r}.nz").alias("nz")) for r in pair])))
+    again = again.select(*pair, "_room_a", "_room_b", "_s.*").join(doors, ["room", *side])
+    settled_ = found.where("diff = near").unionByName(least(again, [*pair, "_room_a", "_room_b"])).where(F.col("diff") <= width).select(*pair, "diff")
+
+    fine = 1e-8  # some roundings wide
+    ends = {s: doors.select(F.col("room").alias(f"room_{s}"), F.col("door").alias(f"door_{s}"), F.col("width").alias(f"width_{s}"), F.struct(*side).alias(f"_{s}")) for s in "ab"}
+    a = ends["a"].join(settled_, "room_a").withColumn("_at", F.explode(F.array_distinct(F.array(F.col("width_a") - F.col("diff"), F.col("width_a") + F.col("diff"))))).withColumn("_cell", F.floor(F.col("_at") / fine))
+    b = ends["b"].withColumn("_cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("width_b") / fine) + k)))
+    met = a.join(b, ["room_b", "_cell"]).where(F.round(F.abs(F.col("width_a") - F.col("width_b")), 9) == F.col("diff"))
+    met = met.withColumn("_t", F.explode(F.array(*[F.struct(F.lit(k).alias("turns"), dot(F.col("_a"), F.col("_b"), c, s).alias("dot")) for k, (c, s) in enumerate(turns)]))).where(F.col("_t.dot") <= facing)
+    best = met.groupBy(*pair).agg(F.min(F.struct("diff", F.col("_t.turns").alias("turns"), "door_a", "door_b")).alias("m"))
+    return best.select(*pair, "m.door_a", "m.door_b", "m.turns", "m.diff")
 
 
 def weighted_gauge(df: DataFrame, keys: tuple[str, ...], value: str, weight: str) -> DataFrame:

@@ -95,6 +95,26 @@ def test_door_pairs_take_a_width_and_side_once(spark):
     assert most < 5000  # 480,000 pairs
 
 
+def test_door_pairs_of_different_widths_meet_their_neighbours(spark):
+    rng = random.Random(5)
+    normals = [(1.0, 0.0), (0.0, 1.0), (0.6, -0.8), (0.0, 0.0), (0.7, 0.0)]  # of the last two one faces nothing, one not all
+    rows = [(k % 4, k, *normals[k % 3], rng.random()) for k in range(1600)]
+    rows += [(4, 1600 + k, *normals[3 + k % 2], rng.random()) for k in range(40)] + [(5, 1700 + k, *normals[4], 0.3 + k * 1e-17) for k in range(9)]
+    rows += [(6, 1802, 1.0, 0.0, 0.1 + 0.2), (6, 1801, 1.0, 0.0, 0.3), (7, 1803, 0.0, 1.0, 0.3), (7, 1804, None, 1.0, 0.3), (8, 1805, 1.0, 0.0, None), (9, 1806, 1.0, 0.0, 9.0), (9, 1807, 1.0, 0.0, float("nan"))]
+    doors = spark.createDataFrame(rows, "room int, door long, nx double, nz double, width double")
+    most, found = rows_made(spark, lambda: K.door_pairs(doors))
+    truth: dict = {}
+    for room, door, nx, nz, width in rows:
+        for other, second, mx, mz, wide in rows:
+            if room < other and None not in (nx, width, mx, wide) and (diff := round(abs(width - wide), 9)) <= 0.35:
+                for turns, (c, s) in enumerate([(1, 0), (0, 1), (-1, 0), (0, -1)]):
+                    if nx * (mx * c - mz * s) + nz * (mx * s + mz * c) <= -0.6:
+                        truth[room, other] = min(truth.get((room, other), (9.0,)), (diff, turns, door, second))
+    assert {(r.room_a, r.room_b): (r.diff, r.turns, r.door_a, r.door_b) for r in found} == truth
+    assert truth[6, 7] == (0.0, 1, 1801, 1803) and len(truth) > 15
+    assert most < 40_000  # about 600,000 pairs within 35 cm
+
+
 def test_spots_in_and_near_polygons_are_those_of_the_tests_of_all_edges(spark):
     ring = spark.range(120).select((F.col("id") % 4).alias("k"), "id", (F.col("id") * 7919 % 101 / 5).alias("x"), (F.col("id") * 104729 % 103 / 5).alias("z"))
     edges = X.edges(ring, ("k",), "id")
