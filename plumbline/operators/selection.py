@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +38,54 @@ def in_boxes(points: DataFrame, boxes: DataFrame, x: str, z: str, cell: float) -
     return met.where((F.col(x) >= F.col("xmin")) & (F.col(x) < F.col("xmax")) & (F.col(z) >= F.col("zmin")) & (F.col(z) <= F.col("zmax")))
 
 
-def counts_in_boxes(points: DataFrame, boxes: DataFrame, ident: str, x: str, z: str, cell: float) -> DataFrame:
-    """(ident, n): points in each box that holds any, as `in_boxes` finds them. Points in one place are counted before they meet the boxes, and boxes in one place meet them once."""
+def _weights_within(x: np.ndarray, z: np.ndarray, w: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """The weight of the points in each box (xmin, xmax, zmin, zmax): sorted along x, a box is a few blocks of 1, 2, 4 and so on points, each ordered by z and summed up."""
+    order = np.argsort(x, kind="stable")
+    x, z, w, n = x[order], z[order], w[order], len(x)
+    heights = np.sort(z)
+    left, right = (np.searchsorted(x, boxes[:, k], "left") for k in (0, 1))
+    low, high = np.searchsorted(heights, boxes[:, 2], "left"), np.searchsorted(heights, boxes[:, 3], "right")
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(z, kind="stable")] = np.arange(n)
+    found, at, level = np.zeros(len(boxes), np.int64), np.arange(n), 0
+    live = np.flatnonzero((left < right) & (low < high))
+    while len(live):
+        key = (at >> level) * n + rank[at]
+        sort = np.argsort(key, kind="stable")  # two ordered halves of each block
+        at, key = at[sort], key[sort]
+        upto = np.concatenate([[0], np.cumsum(w[at])])
+        for k, odd in ((left, 0), (right, -1)):
+            some = live[(k[live] & 1) == 1]
+            block = (k[some] + odd) * n
+            found[some] += upto[np.searchsorted(key, block + high[some])] - upto[np.searchsorted(key, block + low[some])]
+        left, right, level = (left + 1) >> 1, right >> 1, level + 1
+        live = live[left[live] < right[live]]
+    return found
+
+
+def counts_in_boxes(points: DataFrame, boxes: DataFrame, ident: str, x: str, z: str, cell: float, most: int = 500_000) -> DataFrame:
+    """(ident, n): points in each box that holds any, as `in_boxes` finds them, without a row for each pair.
+
+    Points in one place are counted before they meet the boxes, and boxes in one place meet them once. Cells along x make slabs of about
+    `most` places; a fuller slab is dealt to parts by a hash. Each part counts what it holds of the boxes that reach into its slab.
+    """
     place = ["xmin", "xmax", "zmin", "zmax"]
-    spots = points.groupBy(x, z).agg(F.count(F.lit(1)).alias("_n"))
-    n = in_boxes(spots, boxes.select(*place).distinct(), x, z, cell).groupBy(*place).agg(F.sum("_n").alias("n"))
+    boxes = boxes.select(ident, *[F.col(c).cast("double").alias(c) for c in place])
+    points = points.select(F.col(x).cast("double").alias("x"), F.col(z).cast("double").alias("z")).where("x is not null and z is not null")
+    cells = points.groupBy(F.floor(F.col("x") / cell).alias("_cell")).agg(F.approx_count_distinct(F.xxhash64("x", "z")).alias("_n"))
+    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    slabs = cells.withColumn("_slab", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / most))
+    slabs = settled(slabs.select("_cell", "_slab", F.ceil(F.sum("_n").over(Window.partitionBy("_slab")) / most).cast("int").alias("_parts")))
+    spots = points.groupBy("x", "z").agg(F.count(F.lit(1)).alias("_n")).withColumn("_cell", F.floor(F.col("x") / cell)).join(slabs, "_cell")
+    spots = spots.select("_slab", F.pmod(F.xxhash64("x", "z"), F.col("_parts")).cast("int").alias("_part"), "x", "z", "_n")
+    asked = boxes.select(*place).distinct().where("xmin < xmax and zmin <= zmax").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("xmin") / cell), F.floor(F.col("xmax") / cell)))).join(slabs, "_cell")
+    asked = asked.select("_slab", "_parts", *place).distinct().select(F.col("_slab").alias("_slab"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), *place)
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        n = _weights_within(*(left[c].to_numpy() for c in ("x", "z", "_n")), np.stack([right[c].to_numpy() for c in place], axis=1))
+        return pa.table({**{c: right[c] for c in place}, "n": pa.array(n)}).filter(pa.array(n > 0))
+
+    n = spots.groupBy("_slab", "_part").cogroup(asked.groupBy("_slab", "_part")).applyInArrow(count, ", ".join([*(f"{c} double" for c in place), "n long"])).groupBy(*place).agg(F.sum("n").alias("n"))
     return boxes.join(n, place).groupBy(ident).agg(F.sum("n").alias("n"))
 
 

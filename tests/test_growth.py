@@ -88,6 +88,17 @@ def test_counts_in_boxes_are_those_of_the_pairs(spark):
     assert most <= 3000 < sum(r["count"] for r in pairs)
 
 
+def test_counts_in_boxes_make_no_row_for_a_pair_of_different_places(spark):
+    points = spark.range(4000).select(F.when(F.col("id") % 5 == 0, 3.0).otherwise(F.col("id") * 7919 % 4001 / 400).alias("x"), (F.col("id") * 104729 % 3989 / 400).alias("z"))  # a fifth of them in one line
+    points = points.unionByName(points.limit(1)).unionByName(spark.createDataFrame([(None, 1.0), (1.0, None)], "x double, z double"))
+    boxes = spark.range(400).select("id", (F.col("id") % 97 / 10 - 1).alias("xmin"), (F.col("id") % 97 / 10 + F.col("id") % 7 - 1).alias("xmax"), (F.col("id") % 9).alias("zmin"), (F.col("id") % 9 + F.col("id") % 4).alias("zmax"))
+    pairs = K.in_boxes(points, boxes, "x", "z", 2.0).groupBy("id").count().collect()
+    for size in (300, 500_000):
+        most, rows = rows_made(spark, lambda size=size: K.counts_in_boxes(points, boxes, "id", "x", "z", 2.0, size))
+        assert {r.id: r.n for r in rows} == {r.id: r["count"] for r in pairs}
+        assert most < 8000 < sum(r["count"] for r in pairs) / 7
+
+
 def test_door_pairs_take_a_width_and_side_once(spark):
     doors = spark.range(1200).select((F.col("id") % 3).alias("room"), F.col("id").alias("door"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0).alias("nx"), F.lit(0.0).alias("nz"), (F.col("id") % 5 / 10).alias("width"))
     most, rows = rows_made(spark, lambda: K.door_pairs(doors))
