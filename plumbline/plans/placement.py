@@ -51,15 +51,28 @@ def placed_boxes(boxes: DataFrame, poses: DataFrame, keys: tuple[str, ...]) -> D
 
 
 def overlaps(boxes: DataFrame, key: str, slack: float = 0.0, cell: float = 4.0) -> DataFrame:
-    """(key, a, b, area): pairs of rooms of one plan whose boxes overlap by more than `slack` both ways, with the common area; boxes of one room must not overlap. Boxes meet in cells of both axes."""
-    rows = boxes
+    """(key, a, b, area): pairs of rooms of one plan whose boxes overlap by more than `slack` both ways, with the common area; boxes of one room must not overlap.
+
+    Boxes meet in cells of both axes, and a pair of boxes is taken in the first cell that they share. Rooms of one box each are a pair once, which
+    does not move any more; only pairs with a room of several boxes are brought together and summed up.
+    """
+    many = boxes.groupBy(key, "room").agg((F.count(F.lit(1)) > 1).alias("_many"))
+    rows = boxes.join(many, [key, "room"])
     for c in "xz":
         rows = rows.withColumn(f"_{c}", F.explode(F.sequence(F.floor(F.col(f"{c}0") / cell), F.floor(F.col(f"{c}1") / cell))))
-    a, b = (rows.select(key, "_x", "_z", *[F.col(c).alias(f"{c}_{s}") for c in ("room", "x0", "z0", "x1", "z1")]) for s in "ab")
+    dealt = lambda df: df.repartition(256, key, "_x", "_z")  # noqa: E731  # few bytes make many pairs
+    side = lambda s, some: dealt(rows.where(some).select(key, "_x", "_z", *[F.col(c).alias(f"{c}_{s}") for c in ("room", "x0", "z0", "x1", "z1")]))
     w, h = (F.least(f"{c}1_a", f"{c}1_b") - F.greatest(f"{c}0_a", f"{c}0_b") for c in "xz")
     first = (F.floor(F.greatest("x0_a", "x0_b") / cell) == F.col("_x")) & (F.floor(F.greatest("z0_a", "z0_b") / cell) == F.col("_z"))
-    met = a.join(b, [key, "_x", "_z"]).where("room_a < room_b").withColumn("_w", w).withColumn("_h", h).where((F.col("_w") > slack) & (F.col("_h") > slack) & first)
-    return met.groupBy(key, F.col("room_a").alias("a"), F.col("room_b").alias("b")).agg(F.sum(F.col("_w") * F.col("_h")).alias("area"))
+
+    def met(one: str, two: str) -> DataFrame:
+        found = side("a", one).join(side("b", two).hint("merge"), [key, "_x", "_z"]).where("room_a < room_b").where((w > slack) & (h > slack) & first)
+        return found.select(key, F.col("room_a").alias("a"), F.col("room_b").alias("b"), (w * h).alias("area"))
+
+    if many.where("_many").isEmpty():
+        return met("true", "true")
+    summed = met("_many", "true").unionByName(met("not _many", "_many")).groupBy(key, "a", "b").agg(F.sum("area").alias("area"))
+    return met("not _many", "not _many").unionByName(summed)
 
 
 def attach_rooms(boxes: DataFrame, doors: DataFrame, key: str, *, wall: float = 0.15, width: float = 0.35, facing: float = -0.6, slack: float = 0.04) -> DataFrame:

@@ -19,11 +19,12 @@ from plumbline.operators import overlay as V
 from plumbline.operators import quantiles as Q
 from plumbline.operators import rasters as T
 from plumbline.operators import selection as K
+from plumbline.plans import placement as L
 from plumbline.plans import rooms as R
 
 
-def rows_made(spark, run) -> tuple[int, list]:
-    """The rows of the plan node that made most of them, of all queries that `run` runs, and the rows of its result."""
+def rows_made(spark, run, metric: str = "number of output rows") -> tuple[int, list]:
+    """The rows (or another metric) of the plan node that made most of them, of all queries that `run` runs, and the rows of its result."""
     sc = spark.sparkContext._jsc.sc()
     store = spark._jsparkSession.sharedState().statusStore()
     sc.listenerBus().waitUntilEmpty()
@@ -38,7 +39,7 @@ def rows_made(spark, run) -> tuple[int, list]:
         metrics = done.metrics()
         for k in range(metrics.size()):
             m = metrics.apply(k)
-            if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+            if m.name() == metric and values.contains(m.accumulatorId()):
                 most = max(most, int(re.sub(r"\D", "", values.apply(m.accumulatorId())) or 0))
     return most, rows
 
@@ -126,6 +127,28 @@ def test_door_pairs_of_different_widths_meet_their_neighbours(spark):
     assert most < 40_000  # about 600,000 pairs within 35 cm
 
 
+def test_overlapping_boxes_are_paired_without_moving_the_pairs(spark):
+    rng = random.Random(3)
+    made = [(k % 2, k, x := rng.random() * 6, z := rng.random() * 6, x + 1 + rng.random() * 3, z + 1 + rng.random() * 3) for k in range(300)]
+    form = "plan int, room int, x0 double, z0 double, x1 double, z1 double"
+
+    def truth(rows) -> dict:
+        areas: dict = {}
+        for p, a, ax, az, bx, bz in rows:
+            for q, b, cx, cz, dx, dz in rows:
+                w, h = min(bx, dx) - max(ax, cx), min(bz, dz) - max(az, cz)
+                if p == q and a < b and w > 0.5 and h > 0.5:
+                    areas[p, a, b] = areas.get((p, a, b), 0) + w * h
+        return {k: round(v, 9) for k, v in areas.items()}
+
+    most, rows = rows_made(spark, lambda: L.overlaps(spark.createDataFrame(made, form), "plan", 0.5), "shuffle records written")
+    assert {(r.plan, r.a, r.b): round(r.area, 9) for r in rows} == truth(made) and len(rows) == len(truth(made))
+    assert most < 2000 < len(rows)
+    made += [(k % 2, k, x + 20, z, x + 22, z + 2) for k in range(0, 300, 3) for x, z in [(rng.random() * 9, rng.random() * 9)]]  # a second box of some rooms
+    rows = L.overlaps(spark.createDataFrame(made, form), "plan", 0.5).collect()
+    assert {(r.plan, r.a, r.b): round(r.area, 9) for r in rows} == truth(made) and len(rows) == len(truth(made))
+
+
 def test_spots_in_and_near_polygons_are_those_of_the_tests_of_all_edges(spark):
     ring = spark.range(120).select((F.col("id") % 4).alias("k"), "id", (F.col("id") * 7919 % 101 / 5).alias("x"), (F.col("id") * 104729 % 103 / 5).alias("z"))
     edges = X.edges(ring, ("k",), "id")
