@@ -220,6 +220,21 @@ def test_rays_meet_gaps_in_the_cell_of_the_crossing(spark):
     assert most < 120_000  # of 160,000 pairs, each is made in few cells
 
 
+def test_hits_of_rays_lie_by_gap_and_do_not_move(spark):
+    rays = spark.range(4000).select(F.col("id").alias("ray"), (F.col("id") * 37 % 101 / 40 - 1).alias("cx"), F.lit(0.5).alias("cy"), (F.col("id") * 53 % 97 / 20 - 2.5).alias("cz"), (F.col("id") * 71 % 89 / 40 - 1).alias("px"), (F.col("id") % 11 / 10).alias("py"), (F.col("id") * 29 % 83 / 20 - 2).alias("pz"))
+    gaps = spark.range(100).select(F.col("id").alias("gap_id"), (F.col("id") % 20 / 8 - 1.25).alias("gx"), (F.col("id") % 9 / 4 - 1).alias("gz"), F.lit(0.0).alias("nx"), F.when(F.col("id") % 3 == 0, -1.0).otherwise(1.0).alias("nz"), (F.col("id") % 5 / 2 + 1).alias("width"), F.lit(-1.0).alias("floor_y"))
+    hits: dict = {}
+    for r in O.rays_through(rays, gaps).collect():
+        hits.setdefault(r.gap_id, []).append(r.height)
+    most, rows = rows_made(spark, lambda: O.through_ratio(O.rays_through(rays, gaps), gaps, F.lit(2.0)), "shuffle records written")
+    assert len(rows) == 100 and max(len(h) for h in hits.values()) >= 50 > min(len(h) for h in hits.values())
+    for r in rows:
+        h = hits.get(r.gap_id, [])
+        assert r.hits == len(h)
+        assert (r.low, r.high) == (None, None) if len(h) < 50 else np.allclose([r.low, r.high], np.percentile(h, [3, 97]), atol=1e-12)
+    assert most <= 100 < sum(len(h) for h in hits.values()) / 100  # a gap is one row
+
+
 def test_overlap_of_convex_rings_is_that_of_the_sweep(spark):
     rng = random.Random(5)
     turns = [(0.2 * math.cos(math.pi * k / 4), 0.2 * math.sin(math.pi * k / 4)) for k in range(8)]
