@@ -21,6 +21,7 @@ from plumbline.operators import rasters as T
 from plumbline.operators import selection as K
 from plumbline.plans import placement as L
 from plumbline.plans import rooms as R
+from plumbline.queries import QUERIES
 
 
 def rows_made(spark, run, metric: str = "number of output rows") -> tuple[int, list]:
@@ -164,6 +165,18 @@ def test_spots_in_and_near_polygons_are_those_of_the_tests_of_all_edges(spark):
     assert sorted((r.id, r.k) for r in rows) == got(near)
 
 
+def test_places_inside_polygons_do_not_move_with_their_parts(spark, small_dir):
+    off = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for k in off:
+        spark.conf.set(k, "-1")  # as for tables that are not small
+    try:
+        most, rows = rows_made(spark, lambda: QUERIES["points_in_polygons"](spark, small_dir), "shuffle records written")
+    finally:
+        for k, v in off.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(rows) == 355 and most <= 1000  # the events; heights of edges are 24 times as many
+
+
 def test_nearest_vectors_are_those_of_all_distances(spark):
     v = spark.range(900).select("id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda d: ((F.col("id") % 300 * (d + 3)) % 17 / 5).cast("float")).alias("v"))
     most, rows = rows_made(spark, lambda: J.nearest_vectors(v.where("id % 10 = 0"), v, "id", "v", 3, block=100))
