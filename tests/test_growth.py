@@ -177,6 +177,17 @@ def test_places_inside_polygons_do_not_move_with_their_parts(spark, small_dir):
     assert len(rows) == 355 and most <= 1000  # the events; heights of edges are 24 times as many
 
 
+def test_hulls_of_many_keys_go_through_python_together(spark):
+    points = spark.range(9000).select(F.when(F.col("id") % 1500 > 0, F.col("id") % 1500).alias("k"), (F.col("id") * 7919 % 13 / 4).alias("x"), (F.col("id") * 104729 % 17 / 4).alias("z"))
+    empty = spark.createDataFrame([(1, None, 1.0), (1, 9.0, None), (2000, None, None)], "k long, x double, z double")  # points with a null are none
+    found = X.hulls(points.unionByName(empty), ("k",), "x", "z")
+    rings: dict = {}
+    for r in points.collect():
+        rings.setdefault(r.k, []).append((r.x, r.z))
+    assert {(r.k, r.corner): (r.x, r.z) for r in found.collect()} == {(k, n): p for k, v in rings.items() for n, p in enumerate(X.chain(v))}
+    assert None in rings and "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()  # some milliseconds for each key and part
+
+
 def test_nearest_vectors_are_those_of_all_distances(spark):
     v = spark.range(900).select("id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda d: ((F.col("id") % 300 * (d + 3)) % 17 / 5).cast("float")).alias("v"))
     most, rows = rows_made(spark, lambda: J.nearest_vectors(v.where("id % 10 = 0"), v, "id", "v", 3, block=100))
