@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import contours as N
 from plumbline.operators import geometry as X
 from plumbline.operators import grids as G
+from plumbline.operators import histograms as H
 from plumbline.operators import joins as J
 from plumbline.operators import openings as O
 from plumbline.operators import overlay as V
@@ -188,6 +189,19 @@ def test_hulls_of_many_keys_go_through_python_together(spark):
     assert None in rings and "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()  # some milliseconds for each key and part
 
 
+def test_levels_of_small_keys_are_those_of_the_rounds(spark, monkeypatch):
+    values = spark.range(4000).select(F.when(F.col("id") % 90 > 0, F.col("id") % 90).alias("k"), ((F.col("id") * 7919 % 211 - 105) / 700 + F.when(F.col("id") % 11 == 0, 0.2).otherwise(0.0)).alias("v"), F.lit(0.01).alias("g"))
+    values = values.unionByName(spark.createDataFrame([(500, 0.02, 0.01), (500, None, 0.01), (501, 9.0, 0.01)], "k long, v double, g double"))
+    told = lambda: {r.k: (round(r.level, 10), round(r.sd, 10), r.n) for r in H.robust_level(values, "v", "g", 0.3, keys=("k",)).collect()}
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsCount()
+    held = told()
+    runs = store.executionsCount() - runs
+    monkeypatch.setattr(H, "HELD", 0)
+    assert held == told() and len(held) == 90 and held[500] == (0.01, 0.3, 1)
+    assert runs <= 3  # written, counted and read; each round was some more
+
+
 def test_nearest_vectors_are_those_of_all_distances(spark):
     v = spark.range(900).select("id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda d: ((F.col("id") % 300 * (d + 3)) % 17 / 5).cast("float")).alias("v"))
     most, rows = rows_made(spark, lambda: J.nearest_vectors(v.where("id % 10 = 0"), v, "id", "v", 3, block=100))
